@@ -121,38 +121,43 @@ def _grid(low: Column, high: Column, step: Column) -> Column:
 def eer_threshold(pairs: DataFrame, score: str = "distance", genuine_low: bool = True) -> DataFrame:
     """One row (threshold, far, frr): where false accepts and rejects meet.
 
-    Each row is put into the first grid step that accepts it, so the data is
-    read once and reduced to at most 200 x 2 counts; the curve is a running sum
-    over those. ``genuine_low`` = small scores are genuine (distances)."""
-    value = F.col(score) if genuine_low else -F.col(score)
-    rows = pairs.select(value.alias("_v"), F.col("label").cast("int").alias("_l")).where(F.col(score).isNotNull())
+    Each row is reduced to the outermost grid step that still accepts it, so the
+    data is read once and shrinks to at most 200 x 2 counts; the error curves
+    are running sums over those. ``genuine_low`` = small scores are genuine
+    (distances); otherwise large ones are (similarities), and a threshold is
+    given only where both classes occur."""
+    rows = pairs.where(F.col(score).isNotNull()).select(F.col(score).alias("_v"), F.col("label").cast("int").alias("_l"))
     bounds = rows.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("b")).scalar()
     last = V.EER_STEPS - 1
-    bound = rows.select("_v", "_l", bounds.alias("b"))
-    lo, hi = F.col("b.lo"), F.col("b.hi")
-    width = (hi - lo) / F.lit(float(last))
-    guess = F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(last), F.ceil((F.col("_v") - lo) / width).cast("int")))).otherwise(0)
-    nudged = F.when((guess > 0) & (_grid(lo, hi, guess - 1) >= F.col("_v")), guess - 1).when(
-        _grid(lo, hi, guess) < F.col("_v"), guess + 1).otherwise(guess)
-    counts = bound.groupBy(nudged.alias("step")).agg(
-        F.count_if(F.col("_l") == 1).alias("g"), F.count_if(F.col("_l") == 0).alias("f"), F.first("b").alias("b"))
+    lo, hi, v = F.col("b.lo"), F.col("b.hi"), F.col("_v")
+    place = (v - lo) / ((hi - lo) / F.lit(float(last)))
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), c.cast("int")))
+    at = lambda step: _grid(lo, hi, step)
+    if genuine_low:  # first step with threshold >= score
+        guess = inside(F.ceil(place))
+        step = F.when((guess > 0) & (at(guess - 1) >= v), guess - 1).when(at(guess) < v, guess + 1).otherwise(guess)
+        accepted = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    else:  # last step with threshold <= score
+        guess = inside(F.floor(place))
+        step = F.when((guess < last) & (at(guess + 1) <= v), guess + 1).when(at(guess) > v, guess - 1).otherwise(guess)
+        accepted = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)
+    step = F.when(hi > lo, step).otherwise(0)
+    counts = rows.withColumn("b", bounds).groupBy(step.alias("step")).agg(
+        F.count_if(F.col("_l") == 1).alias("g"), F.count_if(F.col("_l") == 0).alias("f"))
     steps = pairs.sparkSession.range(V.EER_STEPS).select(F.col("id").cast("int").alias("step"))
-    full = steps.join(F.broadcast(counts.select("step", "g", "f")), "step", "left").withColumn("b", bounds)
-    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
+    full = steps.join(F.broadcast(counts), "step", "left").fillna(0, ["g", "f"]).withColumn("b", bounds)
+    whole = Window.partitionBy()  # 200 rows
     curve = full.select(
-        "step", _grid(F.col("b.lo"), F.col("b.hi"), F.col("step")).alias("t"),
-        F.sum(F.coalesce("f", F.lit(0))).over(upto).alias("fa"), F.sum(F.coalesce("f", F.lit(0))).over(whole).alias("fn"),
-        F.sum(F.coalesce("g", F.lit(0))).over(upto).alias("ga"), F.sum(F.coalesce("g", F.lit(0))).over(whole).alias("gn"))
+        "step", at(F.col("step")).alias("t"), F.sum("f").over(accepted).alias("fa"), F.sum("f").over(whole).alias("fn"),
+        F.sum("g").over(accepted).alias("ga"), F.sum("g").over(whole).alias("gn"))
     far = F.coalesce(F.col("fa") / F.nullif("fn", F.lit(0)), F.lit(0.0))
     frr = F.coalesce((F.col("gn") - F.col("ga")) / F.nullif("gn", F.lit(0)), F.lit(0.0))
-    rated = curve.select("step", F.col("t"), far.alias("far"), frr.alias("frr"), (F.col("fn") > 0).alias("two"), (F.col("gn") > 0).alias("one"))
-    best = rated.agg(F.min_by(F.struct("t", "far", "frr", "one", "two"), F.struct(F.abs(F.col("far") - F.col("frr")), "step")).alias("r"))
-    sign = 1.0 if genuine_low else -1.0
-    threshold = F.col("r.t") * sign
-    if not genuine_low:  # the stamp form needs both classes
-        threshold = F.when(F.col("r.one") & F.col("r.two"), threshold)
-    return best.select(threshold.alias("threshold"), F.col("r.far").alias("far"), F.col("r.frr").alias("frr"))
+    both = (F.col("fn") > 0) & (F.col("gn") > 0)
+    rated = curve.select("step", "t", far.alias("far"), frr.alias("frr"), both.alias("both"))
+    best = rated.agg(F.min_by(F.struct("t", "far", "frr", "both"),
+                              F.struct(F.abs(F.col("far") - F.col("frr")), "step")).alias("r"))
+    kept = F.lit(True) if genuine_low else F.col("r.both")
+    return best.select(F.when(kept, F.col("r.t")).alias("threshold"), F.col("r.far").alias("far"), F.col("r.frr").alias("frr"))
 
 
 def similarity_to_group_reference(training: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
