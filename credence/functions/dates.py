@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted layouts in order, with the width each one reads.
+# Accepted layouts in order, the width each one reads, its shape.
 PROVENANCE_LAYOUTS = (
-    ("yyyy:MM:dd HH:mm:ss", 19),
-    ("yyyy-MM-dd'T'HH:mm:ss", 19),
-    ("yyyy-MM-dd HH:mm:ss", 19),
-    ("yyyyMMddHHmmss", 14),
-    ("yyyy-MM-dd", 10),
-    ("yyyy:MM:dd", 10),
+    ("y:M:d H:m:s", 19, r"^\d{4}:\d{1,2}:\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("y-M-d'T'H:m:s", 19, r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("y-M-d H:m:s", 19, r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyyMMddHHmmss", 14, r"^\d{14}$"),
+    ("y-M-d", 10, r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("y:M:d", 10, r"^\d{4}:\d{1,2}:\d{1,2}$"),
 )
 
 
 def parse_provenance(value: Column) -> Column:
     """First layout that reads the value wins; longer text is cut to the layout's
-    width, which drops any trailing zone. Unreadable text gives NULL."""
+    width, which drops any trailing zone. Unreadable text gives NULL. The shape
+    test comes first because a failed parse costs an exception per row."""
     text = F.trim(F.regexp_replace(F.trim(value), "^[D:]+", ""))
-    return F.coalesce(*[
-        F.try_to_timestamp(F.substring(text, 1, width), F.lit(layout)).cast("timestamp_ntz")
-        for layout, width in PROVENANCE_LAYOUTS
-    ])
+    readings = []
+    for layout, width, shape in PROVENANCE_LAYOUTS:
+        part = F.substring(text, 1, width)
+        readings.append(F.when(part.rlike(shape), F.try_to_timestamp(part, F.lit(layout)).cast("timestamp_ntz")))
+    return F.coalesce(*readings)
 
 
 def whole_hours_between(earlier: Column, later: Column) -> Column:

@@ -360,5 +360,8 @@ def metadata_checks(spark, folder):
                 .when(key % 4 == 2, F.date_format(changed, "yyyy-MM-dd")).otherwise("unknown"))
     created = F.when(key % 11 != 0, F.date_format(day + F.expr("INTERVAL 9 HOURS"), "yyyy:MM:dd HH:mm:ss"))
     issued = F.when(key % 7 != 0, F.date_format(day + F.expr("INTERVAL 2 DAYS"), "yyyy-MM-dd")).otherwise("MAR 2017")
-    rows = D.table(spark, folder, "orders").select(key.alias("document_id"), forensics.metadata_check(tools, F.lit(None).cast("string"), created, modified, issued).alias("m"))
-    return rows.select("document_id", "m.score", "m.editor", F.array_join("m.flags", "; ").alias("flags"))
+    files = D.table(spark, folder, "orders").select(
+        key.alias("document_id"), tools.alias("software"), F.lit(None).cast("string").alias("producer"), created.alias("create_date"),
+        modified.alias("modify_date"), issued.alias("issue_date"))
+    rows = forensics.metadata_checks(files)
+    return rows.select("document_id", "score", "editor", F.array_join("flags", "; ").alias("flags"))
