@@ -17,6 +17,7 @@ LEADING_NOISE = r"[ \t|/\\,.;:!?\-–—_=+~^*]+"
 TRAILING_NOISE = r"[ \t|/\\,;:!?\-–—_=+~^*]+"
 CAPTION_SEPARATORS = r"[ \t:.\-–—/()|,]"
 VALUE_EDGE = r"[ :.\-–—]+"
+TOKEN_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
 def strip(text: Column) -> Column:
@@ -78,15 +79,21 @@ def norm_token(word: Column) -> Column:
 
 
 def fuzzy_token_eq(a: Column, b: Column | str, max_typos: int = 0, normalised: bool = False) -> Column:
-    """Equal within max_typos edits, capped one below the shorter token."""
+    """Equal within max_typos edits, capped one below the shorter token. Lengths
+    are compared first, so the edit distance runs on few tokens only."""
     left = a if normalised else norm_token(a)
-    right = norm_token(F.lit(b) if isinstance(b, str) else b)
+    if isinstance(b, str):
+        plain = "".join(ch for ch in b.upper() if ch in TOKEN_CHARACTERS)
+        right, size = F.lit(plain), F.lit(len(plain))
+    else:
+        right = norm_token(b)
+        size = F.length(right)
     both = (left != "") & (right != "")
     if max_typos < 1:
         return both & (left == right)
-    tolerance = F.least(F.lit(max_typos), F.least(F.length(left), F.length(right)) - 1)
-    near = (tolerance >= 1) & (F.levenshtein(left, right) <= tolerance)
-    return both & ((left == right) | near)
+    tolerance = F.least(F.lit(max_typos), F.length(left) - 1, size - 1)
+    comparable = (tolerance >= 1) & (F.abs(F.length(left) - size) <= max_typos)
+    return both & ((left == right) | (comparable & (F.levenshtein(left, right) <= tolerance)))
 
 
 def escape_regex(text: str) -> str:
@@ -130,7 +137,7 @@ def looks_noisy(value: Column) -> Column:
     letters = lambda t: F.regexp_replace(t, r"\P{L}", "")
     short_caps = F.exists(tokens, lambda t: letters(t).rlike(r"^\p{Lu}{1,2}$"))
     fused = F.exists(tokens, lambda t: (F.length(t) > 4) & t.rlike(r"[A-Za-z]\d|\d[A-Za-z]"))
-    hard_to_say = F.exists(tokens, lambda t: (F.length(letters(t)) >= 4) & (
+    hard_to_say = F.exists(tokens, lambda t: (F.length(F.upper(letters(t))) >= 4) & (
         ~F.upper(letters(t)).rlike("[AEIOUY]")
         | F.upper(letters(t)).rlike("[^AEIOUY]{%d}" % NOISE_CONSONANT_RUN)))
     return (

@@ -24,34 +24,29 @@ def first_group(text: Column, pattern: str, blind: bool = False) -> Column:
 
 
 def _line(lines: Column, at: Column) -> Column:
-    return F.try_element_at(lines, at)
+    return F.get(lines, at - 1)
 
 
-def caption_region(lines: Column, upper: Column, at: Column, labels: list[str], same_line: bool) -> Column:
-    """What follows the caption on its line, else the next line; '' when the
-    caption stands alone, NULL when it is absent."""
-    line, big = _line(lines, at), _line(upper, at)
+def caption_tail(line: Column, upper: Column, labels: list[str]) -> Column:
+    """What follows the caption on its own line, captions and separators peeled."""
     tail = None
     for label in labels:
-        rest = strip_leading_captions(line.substr(F.instr(big, F.lit(label)) + len(label), F.length(line)), labels)
-        tail = F.when(big.contains(label), rest) if tail is None else tail.when(big.contains(label), rest)
-    follow = F.lit("") if same_line else F.coalesce(strip(_line(lines, at + 1)), F.lit(""))
-    return F.when(at == 0, None).when(tail != "", tail).otherwise(follow)
+        rest = strip_leading_captions(line.substr(F.instr(upper, F.lit(label)) + len(label), F.length(line)), labels)
+        tail = F.when(upper.contains(label), rest) if tail is None else tail.when(upper.contains(label), rest)
+    return tail
 
 
-def region_above(lines: Column, at: Column) -> Column:
-    """The line above the caption (lines are never blank)."""
-    return F.when(at == 0, None).when(at == 1, "").otherwise(_line(lines, at - 1))
-
-
-def header_name(lines: Column, upper: Column) -> Column:
-    """Name printed under the TIN | NAME | REGISTRATION DATE header, captions
-    matched with a few typos, flanking number, date and bars removed."""
+def header_at(upper: Column) -> Column:
+    """Line of the TIN | NAME | REGISTRATION DATE header, a few typos allowed."""
     def is_header(line: Column) -> Column:
         tokens = F.transform(F.split(line, " "), norm_token)
         near = lambda word, typos: F.exists(tokens, lambda t: fuzzy_token_eq(t, word, typos, normalised=True))
         return (F.size(tokens) >= 3) & near("NAME", 1) & near("REGISTRATION", 4) & near("DATE", 1)
-    at = first_match(upper, is_header)
+    return first_match(upper, is_header)
+
+
+def header_name(lines: Column, at: Column) -> Column:
+    """Name printed under the header, flanking number, date and bars removed."""
     one, two = _line(lines, at + 1), _line(lines, at + 2)
     stops = lambda text: F.upper(text).rlike(V.HEADER_STOP)
     block = F.when(one.isNull() | stops(one), "").when(two.isNull() | stops(two), one).otherwise(F.concat_ws(" ", one, two))
@@ -60,48 +55,70 @@ def header_name(lines: Column, upper: Column) -> Column:
     return F.when(at > 0, F.nullif(F.regexp_replace(tidy, r"^[ :|\-]+|[ :|\-]+$", ""), F.lit("")))
 
 
-def certified_line(lines: Column, upper: Column, number: int) -> Column:
+def certified_line(lines: Column, upper: Column, at: Column, number: int) -> Column:
     """First or second line of the "this certifies that" block."""
-    at = first_line_with(upper, [V.CERTIFIED_CAPTION])
     stops = lambda i: F.coalesce(_line(upper, at + i).rlike(V.CERTIFIED_STOP), F.lit(True))
     blocked = stops(1) if number == 1 else stops(1) | stops(2)
     return F.when((at > 0) & ~blocked, _line(lines, at + number))
 
 
-def field_value(spec: dict, lines: Column, upper: Column, text: Column) -> Column:
-    """Raw value of one field specification."""
-    mode, pattern = spec["mode"], spec.get("regex")
-    if mode == "global":
-        return first_group(text, pattern)
-    if mode == "header_name":
-        return header_name(lines, upper)
-    if mode in ("certified_1", "certified_2"):
-        return certified_line(lines, upper, int(mode[-1]))
-    at = first_line_with(upper, spec["labels"])
-    region = (region_above(lines, at) if mode == "above"
-              else caption_region(lines, upper, at, spec["labels"], spec.get("same_line", False)))
-    if not pattern:
-        return region
-    value = F.when(region.isNotNull(), F.coalesce(first_group(region, pattern), region))
-    return F.coalesce(value, first_group(text, pattern)) if spec.get("global_fallback") else value
-
-
 def extract(pages: DataFrame, template: str) -> DataFrame:
     """Long field rows of all pages of one template.
 
-    pages: page_id, text (other columns are dropped)."""
+    pages: page_id, text (other columns are dropped). The work is laid out in
+    projections - lines, caption positions, regions, values - so that no part is
+    evaluated twice for one field."""
     specs = V.TEMPLATE_FIELDS[template]
+    lines, upper, text = F.col("_lines"), F.col("_upper"), F.col("_text")
+    captioned = [s for s in specs if s["mode"] in ("label", "above")]
+    modes = {s["mode"] for s in specs}
+    places = {s["key"]: first_line_with(upper, s["labels"]) for s in captioned}
+    if "header_name" in modes:
+        places["header"] = header_at(upper)
+    if "certified_1" in modes:
+        places["certified"] = first_line_with(upper, [V.CERTIFIED_CAPTION])
     lined = pages.select("page_id", clean_lines(F.col("text")).alias("_lines"))
     ready = lined.select("page_id", "_lines", F.transform("_lines", F.upper).alias("_upper"), F.array_join("_lines", "\n").alias("_text"))
-    raw = ready.select("page_id", *[field_value(s, F.col("_lines"), F.col("_upper"), F.col("_text")).alias(s["key"]) for s in specs])
-    rows = []
-    for order, spec in enumerate(specs):
-        value = F.col(spec["key"])
-        final = F.when(value != "", normalise_value(spec["key"], value))
-        rows.append(F.struct(
-            F.lit(order).alias("ord"), F.lit(spec["key"]).alias("field_key"), F.lit(spec["name"]).alias("name"), final.alias("value"),
-            F.lit(spec["required"]).alias("required"), final.isNotNull().alias("matched")))
-    return raw.select("page_id", F.lit(template).alias("template"), F.inline(F.array(*rows)))
+    placed = ready.withColumns({f"_at_{k}": at for k, at in places.items()})
+    at = lambda key: F.col(f"_at_{key}")
+
+    tails = {f"_tail_{s['key']}": caption_tail(_line(lines, at(s["key"])), _line(upper, at(s["key"])), s["labels"])
+             for s in captioned if s["mode"] == "label"}
+    tailed = placed.withColumns(tails) if tails else placed
+    regions = {}
+    for s in captioned:
+        here = at(s["key"])
+        if s["mode"] == "above":
+            regions[f"_region_{s['key']}"] = F.when(here == 0, None).when(here == 1, "").otherwise(_line(lines, here - 1))
+        else:
+            follow = F.lit("") if s.get("same_line") else F.coalesce(strip(_line(lines, here + 1)), F.lit(""))
+            tail = F.col(f"_tail_{s['key']}")
+            regions[f"_region_{s['key']}"] = F.when(here == 0, None).when(tail != "", tail).otherwise(follow)
+    located = tailed.withColumns(regions) if regions else tailed
+
+    def value(s: dict) -> Column:
+        pattern = s.get("regex")
+        if s["mode"] == "global":
+            return first_group(text, pattern)
+        if s["mode"] == "header_name":
+            return header_name(lines, at("header"))
+        if s["mode"] in ("certified_1", "certified_2"):
+            return certified_line(lines, upper, at("certified"), int(s["mode"][-1]))
+        region = F.col(f"_region_{s['key']}")
+        if not pattern:
+            return region
+        found = F.when(region.isNotNull(), F.coalesce(first_group(region, pattern), region))
+        return F.coalesce(found, first_group(text, pattern)) if s.get("global_fallback") else found
+
+    raw = located.select("page_id", *[value(s).alias(s["key"]) for s in specs])
+    final = raw.select("page_id", *[F.when(F.col(s["key"]) != "", normalise_value(s["key"], F.col(s["key"]))).alias(s["key"]) for s in specs])
+    long = final.unpivot("page_id", [s["key"] for s in specs], "field_key", "value")
+    listed = lambda values: ", ".join("'" + v + "'" if isinstance(v, str) else str(v).lower() for v in values)
+    keys, names, needed = (listed([s[c] for s in specs]) for c in ("key", "name", "required"))
+    order = F.expr(f"cast(array_position(array({keys}), field_key) as int)")
+    return long.withColumn("ord", order - 1).select(
+        "page_id", F.lit(template).alias("template"), "ord", "field_key", F.expr(f"get(array({names}), ord)").alias("name"), "value",
+        F.expr(f"get(array({needed}), ord)").alias("required"), F.col("value").isNotNull().alias("matched"))
 
 
 def extract_all(pages: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def _records(spark, folder, kind):
     source, key, record = {"bir": ("customer", "c_custkey", S.bir_record), "permit": ("supplier", "s_suppkey", S.permit_record),
                            "dti": ("part", "p_partkey", S.dti_record)}[kind]
     rows = D.table(spark, folder, source).select(F.col(key).alias("k"))
-    return rows.select("k", *[v.alias(n) for n, v in record(F.col("k")).items()])
+    return rows.select("k", *[v.alias(n) for n, v in record("k").items()])
 
 
 def certificates(spark, folder):
@@ -263,7 +263,8 @@ def field_confidence(spark, folder):
 
 
 _TOK = "regexp_split_to_array(trim(v), '\\s+')"
-_LET = "regexp_replace(t, '[^\\p{L}]', '', 'g')"
+_LET = "upper(replace(regexp_replace(t, '[^\\p{L}]', '', 'g'), 'ß', 'SS'))"
+_CAPS = "regexp_replace(t, '[^\\p{L}]', '', 'g')"
 
 
 def noisy_sql(v: str) -> str:
@@ -271,10 +272,10 @@ def noisy_sql(v: str) -> str:
     values whose words are separated by blanks."""
     body = f"""(length(trim(v)) < 3 OR regexp_matches(trim(v), '[|~^\\\\_«»§¢£¥°¬{{}}\\[\\]<>*+=@]')
       OR length(regexp_replace(trim(v), '[A-Za-z0-9 .,&/''#()-]', '', 'g')) / length(trim(v)) > 0.15
-      OR len(list_filter({_TOK}, lambda t: regexp_matches(t, '(^|[^\\w.])[A-Za-z]($|[^\\w.])'))) > 1
-      OR (regexp_matches(trim(v), '\\p{{Ll}}') AND len(list_filter({_TOK}, lambda t: regexp_matches({_LET}, '^\\p{{Lu}}{{1,2}}$'))) > 0)
+      OR len(list_filter({_TOK}, lambda t: regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_.])[A-Za-z]($|[^\\p{{L}}\\p{{N}}_.])'))) > 1
+      OR (regexp_matches(trim(v), '\\p{{Ll}}') AND len(list_filter({_TOK}, lambda t: regexp_matches({_CAPS}, '^\\p{{Lu}}{{1,2}}$'))) > 0)
       OR len(list_filter({_TOK}, lambda t: length(t) > 4 AND regexp_matches(t, '[A-Za-z][0-9]|[0-9][A-Za-z]'))) > 0
-      OR len(list_filter({_TOK}, lambda t: length({_LET}) >= 4 AND (NOT regexp_matches(upper({_LET}), '[AEIOUY]') OR regexp_matches(upper({_LET}), '[^AEIOUY]{{5}}')))) > 0)"""
+      OR len(list_filter({_TOK}, lambda t: length({_LET}) >= 4 AND (NOT regexp_matches({_LET}, '[AEIOUY]') OR regexp_matches({_LET}, '[^AEIOUY]{{5}}')))) > 0)"""
     return body.replace("trim(v)", f"trim({v})")
 
 
@@ -428,7 +429,7 @@ def city_names(spark, folder):
 
 @query("fuzzy_captions", "B4 B5", """
     SELECT doc_id, count(*) AS tokens, count(*) FILTER (t <> '' AND (t = 'TION' OR levenshtein(t, 'TION') <= least(2, least(length(t), 4) - 1))) AS near, count(*) FILTER (t = 'THE') AS exact
-    FROM (SELECT doc_id, regexp_replace(upper(unnest(regexp_split_to_array(text, '[ \\n]+'))), '[^A-Z0-9]', '', 'g') AS t FROM documents) GROUP BY 1""")
+    FROM (SELECT doc_id, regexp_replace(upper(replace(unnest(regexp_split_to_array(text, '[ \\n]+')), 'ß', 'SS')), '[^A-Z0-9]', '', 'g') AS t FROM documents) GROUP BY 1""")
 def fuzzy_captions(spark, folder):
     tokens = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "[ \n]+"), T.norm_token)).alias("t"))
     return tokens.groupBy("doc_id").agg(
@@ -459,12 +460,12 @@ _RECORD_COLUMNS = sorted(["city_issued", "name_of_proprietor", "trade_name", "bu
     + " || ',' || ".join(f"'\"{c}\":\"' || {c} || '\"'" for c in _RECORD_COLUMNS) + " || '}') AS content_hash FROM permit", extra={"permit": RECORDS["permit"]}))
 def permit_records(spark, folder):
     rows = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
-    return S.with_record(rows, S.permit_record(F.col("k")))
+    return S.with_record(rows, S.permit_record("k"))
 
 
 @query("new_records", "G5 L5", with_views(
     """SELECT record_id, business_key, row_number() OVER (ORDER BY record_id) + (SELECT max(index) FROM ledger) AS index FROM (
-         SELECT business_key, min(record_id) AS record_id, any_value(content_hash) AS content_hash FROM (SELECT content_hash, min(record_id) AS record_id, any_value(business_key) AS business_key FROM cand GROUP BY 1) GROUP BY 1) c
+         SELECT business_key, min(record_id) AS record_id, arg_min(content_hash, record_id) AS content_hash FROM (SELECT content_hash, min(record_id) AS record_id, arg_min(business_key, record_id) AS business_key FROM cand GROUP BY 1) GROUP BY 1) c
        WHERE content_hash NOT IN (SELECT content_hash FROM ledger) AND business_key NOT IN (SELECT business_key FROM ledger)""",
     extra={"cand": "SELECT c_custkey AS record_id, 'K' || (c_custkey % 1100) AS business_key, sha1(CAST(c_custkey % 1300 AS VARCHAR)) AS content_hash FROM customer",
            "ledger": "SELECT s_suppkey + 1 AS index, 'K' || (s_suppkey * 3) AS business_key, sha1(CAST(s_suppkey * 7 AS VARCHAR)) AS content_hash FROM supplier"}))
@@ -492,7 +493,7 @@ def _nested(steps: dict[str, str], source: str) -> str:
     revenue - cost - expenses - CAST(floor(greatest(0, revenue - cost - expenses) / 4000) * 1000 AS BIGINT) AS net_income, '' AS faults FROM {_nested(_financial_sql('k'), '(SELECT s_suppkey AS k FROM supplier)')}""")
 def financial_statements(spark, folder):
     rows = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
-    rows = rows.withColumns(S.financials(F.col("k")))
+    rows = rows.withColumns(S.financials("k"))
     return rows.select("k", "total_assets", "cash", "receivables", "inventories", "ppe", "total_liabilities", "total_equity", "revenue", "gross_profit", "net_income",
                        F.array_join(S.footing_faults(), "; ").alias("faults"))
 
@@ -505,7 +506,7 @@ _MEAT = f"CASE WHEN {_pick(S.KINDS, 'kb', 'k')} IN ('RESTAURANT', 'FOOD SERVICE
     FROM (SELECT k, {_MEAT} AS meat, {_FEE_SUM} + {_MEAT} AS sub FROM (SELECT s_suppkey AS k FROM supplier))""")
 def permit_fees(spark, folder):
     rows = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
-    fees = S.fee_table(F.col("k"), S.permit_record(F.col("k"))["kind_of_business"])
+    fees = S.fee_table("k", S.permit_record("k")["kind_of_business"])
     return rows.select("k", fees["meat_inspection_fee"].cast("long").alias("meat_inspection_fee"), fees["fsi_fee"].alias("fsi_fee"), S.pesos(fees["total"]).alias("total"))
 
 
