@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions.hashing import hash32
 from credence.functions.numbers import round_to
+from credence.operators.sequences import running_sum
 
 
 def training_pairs(pool: DataFrame, vendor: str, item: str, pairs: int) -> DataFrame:
@@ -41,25 +42,13 @@ def group_safe_split(files: DataFrame, seed: str = "42") -> DataFrame:
     stems = files.select("class", "group_stem").distinct()
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("group_stem")))
     keyed = stems.withColumn("_d", digest).withColumn("_prefix", F.substring("_d", 1, 3))
-    ranked = rank_by_prefix(keyed, ["class"], "_prefix", ["_d", "group_stem"])
+    ranked = running_sum(keyed, ["class"], "_prefix", ["_d", "group_stem"], F.lit(1), "rank")
     total = stems.groupBy("class").agg(F.count("*").alias("_n"))
     chosen = ranked.join(F.broadcast(total), "class").select(
         "class", "group_stem", F.when(F.col("rank") <= F.floor(F.col("_n") / 2), "test").otherwise("val").alias("split"))
     return files.join(chosen, ["class", "group_stem"])
 
 
-def rank_by_prefix(rows: DataFrame, keys: list[str], prefix: str, order: list[str]) -> DataFrame:
-    """Rank within keys by an order whose leading part is ``prefix``: 4096
-    prefixes per key share the work of a large key."""
-
-    sizes = rows.groupBy(*keys, prefix).agg(F.count("*").alias("_k"))
-    before = Window.partitionBy(*keys).orderBy(prefix).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, prefix, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, prefix).orderBy(*order))
-    placed = rows.withColumn("_place", inside).join(offsets, [*keys, prefix])
-    return placed.withColumn("rank", F.col("_before") + F.col("_place")).drop("_before", "_place")
-
-
 def split_counts(groups: DataFrame, fraction: float) -> DataFrame:
     """Rows for training and validation per group: round(n * f), at least one
     for validation when there is more than one row. groups: group, n."""

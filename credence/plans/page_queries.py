@@ -29,9 +29,9 @@ PAGES = {"pages_": """
     FROM line_facts"""}
 
 
-def pages(spark, folder):
+def pages(spark, folder, items=None):
     """One row per page: a line item is a page of its order's document."""
-    items = D.table(spark, folder, "lineitem")
+    items = D.table(spark, folder, "lineitem") if items is None else items
     qty, price, disc = D.whole("l_quantity"), D.whole("l_extendedprice"), D.hundredths("l_discount")
     part, ret = F.col("l_partkey"), F.col("l_returnflag")
     base = items.select(
