@@ -341,7 +341,7 @@ def clone_scores(spark, folder):
     return forensics.clone_scores(points, forensics.offset_votes(forensics.nearest_descriptors(points)))
 
 
-@query("metadata_checks", "B12 E34", with_views(
+@query("metadata_checks", "B12 E34 G10", with_views(
     """SELECT document_id, CAST(round(CAST(greatest(0.0, 1.0 - (CASE WHEN editor IS NOT NULL THEN 0.6 ELSE 0 END + CASE WHEN later THEN 0.3 ELSE 0 END + CASE WHEN after THEN 0.5 ELSE 0 END)) AS DECIMAL(20,9)), 4) AS DOUBLE) AS score, editor,
        array_to_string(list_filter([CASE WHEN editor IS NOT NULL THEN 'File last written by an image editor (''' || editor || ''') — not an issuing/scanning system' END,
          CASE WHEN later THEN 'Last-modified (' || strftime(modified, '%Y-%m-%d') || ') is after creation (' || strftime(created, '%Y-%m-%d') || ')' END,

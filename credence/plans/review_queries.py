@@ -132,7 +132,7 @@ def dashboard_kpis(spark, folder):
     return review.dashboard_kpis(rows, F.lit(REVIEW_DAY).cast("timestamp_ntz"))
 
 
-@query("status_kpis_by_vendor", "E1 E2 E8", with_views(
+@query("status_kpis_by_vendor", "A1 E1 E2 E8", with_views(
     """SELECT vendor_id, count(*) AS total, count(*) FILTER (status IN ('processing', 'pending_review')) AS in_progress,
        count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'resubmission_requested') AS resubmission_requested
        FROM submission_rows GROUP BY vendor_id""", "submission_rows"))

@@ -5,6 +5,7 @@ a restart after a lost executor or driver repeats no effect."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,10 +76,39 @@ def scored_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 # --- one active job per document --------------------------------------------------
+class UniqueJobProcessor(StatefulProcessor):
+    """Keeps the start of a document's running job."""
+
+    def __init__(self, seconds: int) -> None:
+        self._seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._since = handle.getValueState("since", "ts timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stamps = pd.concat([chunk["ts"] for chunk in rows]).sort_values()
+        since = pd.Timestamp(self._since.get()[0]) if self._since.exists() else None
+        started = []
+        for ts in stamps:
+            if since is None or (ts - since).total_seconds() >= self._seconds:
+                since = ts
+                started.append(ts)
+        if started:
+            self._since.update((since.to_pydatetime(),))
+        yield pd.DataFrame({"document_id": [key[0]] * len(started), "ts": pd.Series(started, dtype="datetime64[us]")})
+
+    def close(self) -> None:
+        pass
+
+
 def unique_jobs(stream: DataFrame, seconds: int = V.UNIQUE_SECONDS) -> DataFrame:
-    """Drop requests for a document that was requested within the last seconds."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(["document_id"])
+    """Requests that start a job: those that come at least ``seconds`` after the
+    last start for the same document. The state of a document is one time; the
+    rows of a micro-batch are limited by the source's trigger options. Needs the
+    RocksDB state store."""
+    timed = stream.select("document_id", F.col("ts").cast("timestamp").alias("ts"))
+    return timed.groupBy("document_id").transformWithStateInPandas(
+        statefulProcessor=UniqueJobProcessor(seconds), outputStructType="document_id long, ts timestamp", outputMode="Append", timeMode="None")
 
 
 # --- retries -----------------------------------------------------------------------
@@ -122,9 +152,16 @@ def retry_decisions(stream: DataFrame) -> DataFrame:
         statefulProcessor=RetryProcessor(), outputStructType=RETRY_SCHEMA, outputMode="Append", timeMode="None")
 
 
-def with_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Run a stateful stream on the RocksDB store, then restore the setting."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 # --- submission barrier -----------------------------------------------------------
