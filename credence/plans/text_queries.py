@@ -305,7 +305,7 @@ def field_warnings(spark, folder):
 @query("noisy_names", "B11", f"SELECT doc_id, line, {noisy_sql('line')} AS noisy FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> ''")
 def noisy_names(spark, folder):
     """The noise grade of every line of every document."""
-    lines = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), F.trim)).alias("line"))
+    lines = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line"))
     return lines.where(F.col("line") != "").select("doc_id", "line", T.looks_noisy(F.col("line")).alias("noisy"))
 
 
