@@ -11,37 +11,47 @@ from credence.functions.numbers import round_to
 MAX_OFFICERS = 10000
 
 
+def person(user: Column, staff: bool) -> Column:
+    return F.struct(user.alias("user_id"), F.lit(staff).alias("staff"))
+
+
 def officer_list(users: DataFrame) -> Column:
-    """The ids of all officers and admins as a scalar subquery. The list is as
-    long as the staff, and its size is checked before it is used."""
-    staff = users.where(F.col("role").isin("admin", "compliance_officer"))
-    ids = F.array_sort(F.collect_list("user_id"))
-    checked = F.when(F.count("*") <= MAX_OFFICERS, ids).otherwise(
-        F.raise_error(F.lit("more officers than the fan-out allows")).cast("array<bigint>"))
-    return staff.agg(checked.alias("ids")).scalar()
+    """All officers and admins as a scalar subquery. The list is as long as the
+    staff, and its size is checked before it is used."""
+    team = users.where(F.col("role").isin("admin", "compliance_officer"))
+    people = F.array_sort(F.collect_list(person(F.col("user_id"), True)))
+    refused = F.raise_error(F.lit("more officers than the fan-out allows")).cast("array<struct<user_id:bigint,staff:boolean>>")
+    return team.agg(F.when(F.count("*") <= MAX_OFFICERS, people).otherwise(refused).alias("people")).scalar()
+
+
+def fan_out(rows: DataFrame, users: DataFrame, to_vendor: dict[str, Column], to_staff: dict[str, Column]) -> DataFrame:
+    """One notice to the vendor's user (when there is one) and one to each
+    officer. Texts are composed once per submission, below the fan-out."""
+    composed = rows.select(
+        "submission_id", "user_id", *[c.alias(f"_v_{n}") for n, c in to_vendor.items()], *[c.alias(f"_s_{n}") for n, c in to_staff.items()])
+    own = F.filter(F.array(person(F.col("user_id"), False)), lambda p: p["user_id"].isNotNull())
+    spread = composed.withColumn("_p", F.explode(F.concat(own, officer_list(users))))
+    return spread.select("_p.user_id", *[F.when(F.col("_p.staff"), F.col(f"_s_{n}")).otherwise(F.col(f"_v_{n}")).alias(n) for n in to_vendor],
+                         "submission_id")
 
 
 def processed(submissions: DataFrame, vendors: DataFrame, users: DataFrame) -> DataFrame:
-    """Notices for processed submissions: one to the vendor, one to each officer.
+    """Notices for processed submissions.
 
     Needs submission_id, vendor_id, composite_risk_score, risk_level and flags."""
     rows = submissions.join(vendors.select("vendor_id", "user_id", "company_name"), "vendor_id", "left")
     company = F.coalesce("company_name", F.lit("a vendor"))
     high, flagged = F.coalesce(F.col("risk_level") == "high", F.lit(False)), F.size("flags") > 0
     score = F.coalesce(round_to(F.col("composite_risk_score"), 0).cast("long"), F.lit(0)).cast("string")
-    kind = F.when(high, "high_risk_alert").when(flagged, "document_flagged").otherwise("general")
-    subject = (F.when(high, "High-risk submission").when(flagged, "Submission flagged")
-               .otherwise("Submission ready for review"))
-    body = (F.when(high, F.concat(F.lit("High-risk submission detected (score: "), score, F.lit("/100) from "), company, F.lit(".")))
-            .when(flagged, F.concat(F.lit("Submission from "), company, F.lit(" has been flagged: "),
-                                    F.array_join(F.slice("flags", 1, 3), "; "), F.lit(".")))
-            .otherwise(F.concat(F.lit("Submission from "), company, F.lit(" is ready for review."))))
-    to_vendor = rows.where(F.col("user_id").isNotNull()).select(
-        "user_id", F.lit("processing_complete").alias("type"), F.lit("Processing complete").alias("subject"),
-        F.lit("Your submission has been processed and is awaiting review.").alias("body"), "submission_id")
-    to_staff = rows.select(F.explode(officer_list(users)).alias("user_id"), kind.alias("type"),
-                           subject.alias("subject"), body.alias("body"), "submission_id")
-    return to_vendor.unionByName(to_staff)
+    return fan_out(rows, users, {
+        "type": F.lit("processing_complete"), "subject": F.lit("Processing complete"),
+        "body": F.lit("Your submission has been processed and is awaiting review.")}, {
+        "type": F.when(high, "high_risk_alert").when(flagged, "document_flagged").otherwise("general"),
+        "subject": F.when(high, "High-risk submission").when(flagged, "Submission flagged").otherwise("Submission ready for review"),
+        "body": F.when(high, F.concat(F.lit("High-risk submission detected (score: "), score, F.lit("/100) from "), company, F.lit(".")))
+        .when(flagged, F.concat(F.lit("Submission from "), company, F.lit(" has been flagged: "),
+                                F.array_join(F.slice("flags", 1, 3), "; "), F.lit(".")))
+        .otherwise(F.concat(F.lit("Submission from "), company, F.lit(" is ready for review.")))})
 
 
 def decided(decisions: DataFrame, vendors: DataFrame, users: DataFrame) -> DataFrame:
@@ -53,19 +63,13 @@ def decided(decisions: DataFrame, vendors: DataFrame, users: DataFrame) -> DataF
     reason = F.trim(F.coalesce("review_comments", F.lit("")))
     tail = F.when(reason != "", F.concat(F.lit(" Reason: "), reason)).otherwise("")
     officer, company = F.coalesce("officer", F.lit("An officer")), F.coalesce("company_name", F.lit("a vendor"))
-    vendor_body = F.when(approved, "Your accreditation has been approved.").otherwise(F.concat(F.lit(
-        "Your submission requires resubmission — please correct the flagged documents and submit again."), tail))
-    staff_body = F.when(approved, F.concat(officer, F.lit(" approved the submission from "), company, F.lit("."))).otherwise(
-        F.concat(officer, F.lit(" requested resubmission from "), company, F.lit("."), tail))
-    kind = F.lit("decision_made").alias("type")
-    to_vendor = rows.where(F.col("user_id").isNotNull()).select(
-        "user_id", kind, F.when(approved, "Accreditation approved").otherwise("Resubmission requested").alias("subject"),
-        vendor_body.alias("body"), "submission_id")
-    to_staff = rows.select(
-        F.explode(officer_list(users)).alias("user_id"), kind,
-        F.when(approved, "Submission approved").otherwise("Resubmission requested").alias("subject"),
-        staff_body.alias("body"), "submission_id")
-    return to_vendor.unionByName(to_staff)
+    return fan_out(rows, users, {
+        "type": F.lit("decision_made"), "subject": F.when(approved, "Accreditation approved").otherwise("Resubmission requested"),
+        "body": F.when(approved, "Your accreditation has been approved.").otherwise(F.concat(F.lit(
+            "Your submission requires resubmission — please correct the flagged documents and submit again."), tail))}, {
+        "type": F.lit("decision_made"), "subject": F.when(approved, "Submission approved").otherwise("Resubmission requested"),
+        "body": F.when(approved, F.concat(officer, F.lit(" approved the submission from "), company, F.lit("."))).otherwise(
+            F.concat(officer, F.lit(" requested resubmission from "), company, F.lit("."), tail))})
 
 
 def received(submissions: DataFrame, vendors: DataFrame) -> DataFrame:

@@ -222,10 +222,11 @@ def _blend_sql() -> str:
 
 @query("tamper_blend", "E19 E36", _blend_sql())
 def tamper_blend(spark, folder):
-    scores = {n: F.expr(f"CASE WHEN {c} THEN CAST({e} AS DOUBLE) END") for n, (c, e) in _TECH.items()}
-    verdict = forensics.blend(scores)
-    rows = pages(spark, folder).select("document_id", "page_index", verdict.alias("v"), F.array_join(forensics.unavailable_flags(scores), "; ").alias("unavailable"))
-    return rows.select("document_id", "page_index", "v.*", "unavailable").drop("flags")
+    named = pages(spark, folder).select("document_id", "page_index", *[
+        F.expr(f"CASE WHEN {c} THEN CAST({e} AS DOUBLE) END").alias(f"{n}_") for n, (c, e) in _TECH.items()])
+    scores = {n: F.col(f"{n}_") for n in _TECH}
+    rows = forensics.blend(named, scores).withColumn("unavailable", F.array_join(forensics.unavailable_flags(scores), "; "))
+    return rows.select("document_id", "page_index", "tamper_score", "tamper_authenticity", "tamper_confidence", "hard_flag", "tamper_passed", "unavailable")
 
 
 WORD_VIEW = {"words": r"""SELECT doc_id AS page_id, CAST(pos AS INTEGER) AS pos, text, 30 + h % 70 AS conf, length(text) * (9 + h % 3) AS width,

@@ -424,24 +424,22 @@ _FLAG_LISTS = """SELECT submission_id, list(flag ORDER BY f) AS flags FROM (SELE
 
 
 @query("processed_notices", "H6 H11", with_views(
-    """SELECT user_id, type, count(*) AS n, count(DISTINCT body) AS bodies, min(body) AS first_body, max(body) AS last_body, count(DISTINCT submission_id) AS submissions FROM (
+    """SELECT user_id, type, body, submission_id FROM (
        SELECT v.user_id, 'processing_complete' AS type, 'Your submission has been processed and is awaiting review.' AS body, submission_id
        FROM ready JOIN vendors v USING (vendor_id) UNION ALL
        SELECT o.user_id, CASE WHEN risk_level = 'high' THEN 'high_risk_alert' WHEN len(flags) > 0 THEN 'document_flagged' ELSE 'general' END,
          CASE WHEN risk_level = 'high' THEN 'High-risk submission detected (score: ' || CAST(round(CAST(composite_risk_score AS DECIMAL(20,9)), 0) AS BIGINT) || '/100) from ' || company_name || '.'
               WHEN len(flags) > 0 THEN 'Submission from ' || company_name || ' has been flagged: ' || array_to_string(flags[1:3], '; ') || '.'
               ELSE 'Submission from ' || company_name || ' is ready for review.' END, submission_id
-       FROM ready JOIN vendors v USING (vendor_id), officers o) GROUP BY 1, 2""", "submissions", "vendors", "officers", "results",
+       FROM ready JOIN vendors v USING (vendor_id), officers o)""", "submissions", "vendors", "officers", "results",
     extra={"flag_lists": _FLAG_LISTS, "ready": """SELECT s.*, coalesce(f.flags, []) AS flags FROM submissions s LEFT JOIN flag_lists f USING (submission_id) WHERE status = 'pending_review'"""}))
 def processed_notices(spark, folder):
-    """Fan-out of the processed notices, counted per recipient and type."""
+    """Fan-out of the notices of every submission that awaits review."""
     lists = distinct_in_order(flag_rows(D.results(spark, folder)), ["submission_id"], "flag", ["document_id", "pos"], "_flags")
     ready = D.submissions(spark, folder).where(F.col("status") == "pending_review").join(lists, "submission_id", "left")
     ready = ready.withColumn("flags", F.coalesce("_flags", F.array().cast("array<string>")))
     rows = notices.processed(ready, D.vendors(spark, folder), D.users(spark, folder))
-    return rows.groupBy("user_id", "type").agg(
-        F.count("*").alias("n"), F.count_distinct("body").alias("bodies"), F.min("body").alias("first_body"),
-        F.max("body").alias("last_body"), F.count_distinct("submission_id").alias("submissions"))
+    return rows.select("user_id", "type", "body", "submission_id")
 
 
 @query("decision_notices", "H6 H11", with_views(

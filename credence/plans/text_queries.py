@@ -114,7 +114,7 @@ RECORDS = {
 def _records(spark, folder, kind):
     source, key, record = {"bir": ("customer", "c_custkey", S.bir_record), "permit": ("supplier", "s_suppkey", S.permit_record),
                            "dti": ("part", "p_partkey", S.dti_record)}[kind]
-    rows = D.table(spark, folder, source).select(F.col(key).alias("k"))
+    rows = D.spread(D.table(spark, folder, source).select(F.col(key).alias("k")), "k")
     return rows.select("k", *[v.alias(n) for n, v in record("k").items()])
 
 
@@ -305,7 +305,7 @@ def field_warnings(spark, folder):
 @query("noisy_names", "B11", f"SELECT doc_id, line, {noisy_sql('line')} AS noisy FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> ''")
 def noisy_names(spark, folder):
     """The noise grade of every line of every document."""
-    lines = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line"))
+    lines = D.spread(D.table(spark, folder, "documents"), "doc_id").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line"))
     return lines.where(F.col("line") != "").select("doc_id", "line", T.looks_noisy(F.col("line")).alias("noisy"))
 
 
@@ -406,7 +406,7 @@ def _tidy_sql() -> str:
 
 @query("tidied_documents", "B2", f"SELECT doc_id, {_tidy_sql()} AS text FROM documents")
 def tidied_documents(spark, folder):
-    return D.table(spark, folder, "documents").select("doc_id", T.tidy_text(F.col("text")).alias("text"))
+    return D.spread(D.table(spark, folder, "documents"), "doc_id").select("doc_id", T.tidy_text(F.col("text")).alias("text"))
 
 
 @query("tidied_turns", "B2", f"SELECT conv_id, turn, {_tidy_sql()} AS text FROM conversations")
@@ -431,7 +431,7 @@ def city_names(spark, folder):
     SELECT doc_id, count(*) AS tokens, count(*) FILTER (t <> '' AND (t = 'TION' OR levenshtein(t, 'TION') <= least(2, least(length(t), 4) - 1))) AS near, count(*) FILTER (t = 'THE') AS exact
     FROM (SELECT doc_id, regexp_replace(upper(replace(unnest(regexp_split_to_array(text, '[ \\n]+')), 'ß', 'SS')), '[^A-Z0-9]', '', 'g') AS t FROM documents) GROUP BY 1""")
 def fuzzy_captions(spark, folder):
-    tokens = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "[ \n]+"), T.norm_token)).alias("t"))
+    tokens = D.spread(D.table(spark, folder, "documents"), "doc_id").select("doc_id", F.explode(F.transform(F.split("text", "[ \n]+"), T.norm_token)).alias("t"))
     return tokens.groupBy("doc_id").agg(
         F.count("*").alias("tokens"), F.count_if(T.fuzzy_token_eq(F.col("t"), "TION", 2, normalised=True)).alias("near"),
         F.count_if(T.fuzzy_token_eq(F.col("t"), "THE", normalised=True)).alias("exact"))

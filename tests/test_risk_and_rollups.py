@@ -35,9 +35,12 @@ def test_missing_component_keeps_null_score(one):
     ({"ela": .2}, .8, 0.0, False, False),
     ({"copy_move": .1, "metadata": 1.0, "ela": 1.0, "font": 1.0, "cross_reference": 1.0}, .225, .9, True, False),
     ({}, 0.0, 0.0, False, True)])
-def test_blend(one, scores, tampered, confidence, hard, passed):
+def test_blend(spark, scores, tampered, confidence, hard, passed):
     names = ("metadata", "ela", "copy_move", "font", "cross_reference")
-    got = one(forensics.blend({n: F.lit(scores.get(n)).cast("double") for n in names}))
+    flags = {n: F.array(F.lit(n), F.lit("shared")) for n in names}
+    got = forensics.blend(spark.range(1), {n: F.lit(scores.get(n)).cast("double") for n in names}, flags).first()
+    ran = [n for n in names if n in scores]
+    assert got.tamper_flags == (ran[:1] + ["shared"] + ran[1:] if ran else [])
     assert (got.tamper_score, got.tamper_confidence, got.hard_flag, got.tamper_passed) == (tampered, confidence, hard, passed)
 
 
