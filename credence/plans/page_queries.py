@@ -207,7 +207,8 @@ def ocr_by_document(spark, folder):
     quality = pages(spark, folder).select(
         "document_id", "page_index", F.col("class_status").alias("status"), ((p % 1000) / 10.0).alias("mean_confidence"),
         (2 + p % 2).alias("required_total"), ((p % 100) / 100.0).alias("text_validation_score"), (p % 100 >= 70).alias("passes"), keep.alias("flags"))
-    rows = rollup.ocr_rollup(_fields(spark, folder).drop("status"), quality)
+    read = _fields(spark, folder).where(F.col("status") == "completed").drop("status")
+    rows = rollup.ocr_rollup(read, quality)
     return rows.withColumn("flags", F.array_join("flags", "; ")).withColumn("conflicting_fields", F.array_join("conflicting_fields", "; "))
 
 
