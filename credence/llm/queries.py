@@ -9,19 +9,48 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from credence.llm import merge_automaton
+from credence.llm import labelled, merge_automaton, ppm_language, quality_trees, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document; ids with crc32 modulo 5 = 0 teach nothing."""
+    docs = table(spark, folder, "documents")
+    sample = labelled.labelled_sample(docs, table(spark, folder, "labels"), "quality", ~labelled.held_out(F.col("doc_id")))
+    rows = quality_trees.scored(docs, quality_trees.fit(sample))
+    return rows.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; ids with crc32 modulo 4 = 2 teach nothing."""
+    docs = table(spark, folder, "documents")
+    out = ppm_language.held_out(F.col("doc_id"))
+    rows = ppm_language.predicted(docs, ppm_language.fit(docs, ~out))
+    return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return merge_automaton.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Category probabilities and verdict of every document; ids with crc32 modulo
+    5 = 0 teach nothing."""
+    docs = table(spark, folder, "documents")
+    sample = labelled.labelled_sample(docs, table(spark, folder, "labels"), "toxic", ~labelled.held_out(F.col("doc_id")))
+    rows = toxicity_chain.scored(docs, toxicity_chain.fit(sample))
+    return rows.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "p_severe", "p_mild", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
+    "op4_language": op4_language,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op10_toxicity": op10_toxicity,
 }
 STATEMENTS: dict[str, str] = {}
