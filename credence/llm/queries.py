@@ -11,12 +11,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import labelled, merge_automaton, ppm_language, quality_trees, toxicity_chain
+from credence.llm import labelled, merge_automaton, ngram_join, ppm_language, quality_trees, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of Jaccard 0.8 on 5-word shingles."""
+    return ngram_join.near_components(table(spark, folder, "documents"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; ids with crc32 modulo 5 = 0 teach nothing."""
     docs = table(spark, folder, "documents")
@@ -48,6 +53,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op7_bpe_encoding": op7_bpe_encoding,
