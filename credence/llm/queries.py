@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import labelled, merge_automaton, ngram_join, ppm_language, quality_trees, toxicity_chain
+from credence.llm import collision_search, labelled, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,11 +38,22 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows found for every vector whose id is divisible by 20."""
+    return collision_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return merge_automaton.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 highest integer inner products of every vector whose id is divisible
+    by 100."""
+    return pivot_search.highest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Category probabilities and verdict of every document; ids with crc32 modulo
     5 = 0 teach nothing."""
@@ -56,7 +67,20 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_nearest": op5_nearest,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
 }
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op9_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product([CAST(x AS DOUBLE) FOR x IN q.e], [CAST(x AS DOUBLE) FOR x IN c.e]) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+}
