@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import collision_search, labelled, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, toxicity_chain
+from credence.llm import collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_components(table(spark, folder, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return host_reputation.judged(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document; ids with crc32 modulo 5 = 0 teach nothing."""
     docs = table(spark, folder, "documents")
@@ -48,6 +53,11 @@ def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return merge_automaton.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return license_join.scanned(table(spark, folder, "documents")).drop("blocks")
+
+
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 highest integer inner products of every vector whose id is divisible
     by 100."""
@@ -65,14 +75,17 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_nearest": op5_nearest,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
 }
 STATEMENTS: dict[str, str] = {
+    "op2_url_filter": host_reputation.SQL,
     "op9_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
