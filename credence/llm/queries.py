@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, toxicity_chain
+from credence.llm import collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, source_schedule, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return collision_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return source_schedule.mixed(table(spark, folder, "documents"))
+
+
 def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return merge_automaton.encoded(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_nearest": op5_nearest,
+    "op6_source_mix": op6_source_mix,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_license_scan": op8_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Query] = {
 }
 STATEMENTS: dict[str, str] = {
     "op2_url_filter": host_reputation.SQL,
+    "op6_source_mix": source_schedule.SQL,
     "op9_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
