@@ -131,7 +131,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     """The documents of the mix, all columns: each stands as often as the schedule
     takes it, to the nearest whole document. Rows alike in id, source and size share
     what they take."""
-    takes = mixed(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / (F.count(F.lit(1)) * F.col("size")) + 0.5).cast("int").alias("times")).where("times > 0").alias("t")
+    takes = mixed(docs).where("size > 0").groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / (F.count(F.lit(1)) * F.col("size")) + 0.5).cast("int").alias("times")).where("times > 0").alias("t")
     rows = docs.withColumn("__size", words_in(F.col("text"))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.__size") == F.col("t.size"))
     return rows.join(takes, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("t.times")))).select("d.*").drop("__size")
