@@ -13,23 +13,6 @@ def hash32(*parts: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def hash_text(*parts: str) -> str:
-    """The same hash as SQL text over SQL expressions; one parsed expression is
-    far quicker to build than its dozen nested function calls."""
-    return f"cast(conv(substring(md5(concat_ws('|', {', '.join(parts)})), 1, 8), 16, 10) as bigint)"
-
-
-def pick(pool: list[str], key: str, tag: str, seed: str = "1") -> Column:
-    """One member of a literal pool, chosen by (seed, tag, key); key is SQL text."""
-    choices = ", ".join(f"'{v}'" for v in pool)
-    return F.expr(f"element_at(array({choices}), cast({hash_text(repr(seed), repr(tag), key)} % {len(pool)} + 1 as int))")
-
-
-def span(low: int, high: int, key: str, tag: str, seed: str = "1") -> Column:
-    """An integer in [low, high] chosen by (seed, tag, key); key is SQL text."""
-    return F.expr(f"{low} + {hash_text(repr(seed), repr(tag), key)} % {high - low + 1}")
-
-
 def sorted_json(columns: dict[str, Column]) -> Column:
     """Compact JSON object with keys in alphabetical order."""
     return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]),

@@ -21,14 +21,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Share a plain scan over all cores where its files give fewer splits than
-    there are cores (small inputs); a scan with enough splits is left alone.
-    Meant for scans that feed costly per-row text work."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def document_types(spark: SparkSession) -> DataFrame:
     """The fixed list of document types (nine rows, hence broadcast by users)."""
     rows = F.array(*[F.struct(F.lit(i).cast("long").alias("document_type_id"), F.lit(n).alias("type_name"),

@@ -9,8 +9,8 @@ from credence.operators import datasets, extraction, layout
 from credence.plans import domain as D
 from credence.plans.domain_sql import quoted, with_views
 from credence.plans.page_queries import pages, sql as page_sql
+from credence.plans.printed import RECORDS, records
 from credence.plans.registry import query
-from credence.plans.text_queries import RECORDS, _records
 from credence.sources import intake
 
 # --- a two-column form laid out from the records: (field, text, left, top) ------
@@ -23,7 +23,7 @@ _VALUES = [("tin", 40, 140), ("registered_name", 300, 140), ("registration_date"
 def form_words(spark, folder):
     """Word boxes of one printed form per customer; every seventh form carries a
     misread caption."""
-    record = _records(spark, folder, "bir")
+    record = records(spark, folder, "bir")
     caption = lambda text: F.when(F.col("k") % 7 == 0, F.replace(F.lit(text), F.lit("REGISTRATION"), F.lit("REGISTRAUION"))).otherwise(text)
     parts = [(F.lit(i), caption(text), left, top) for i, (_, text, left, top) in enumerate(_CAPTIONS)]
     parts += [(F.lit(len(_CAPTIONS) + i), F.col(name), left, top) for i, (name, left, top) in enumerate(_VALUES)]

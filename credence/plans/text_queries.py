@@ -6,136 +6,15 @@ from pyspark.sql import functions as F
 
 from credence import reference_values as V
 from credence.functions import text as T
-from credence.operators import crosscheck, extraction, ordering, review, synthesis as S
+from credence.functions.hashing import record_hash
+from credence.operators import crosscheck, extraction, ordering, review
+from credence.operators.ledger import unused_records
 from credence.plans import domain as D
 from credence.plans.domain_sql import quoted, with_views
+from credence.plans.printed import RECORDS, records, sheets
 from credence.plans.registry import query
 
 
-# --- the SQL of records and printed text ---------------------------------------
-def _h(tag: str, key: str, seed: str = "1") -> str:
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', '{tag}', {key})), 1, 8))::BIGINT"
-
-
-def _pick(pool: list[str], tag: str, key: str) -> str:
-    return f"[{', '.join(quoted(p) for p in pool)}][{_h(tag, key)} % {len(pool)} + 1]"
-
-
-def _span(low: int, high: int, tag: str, key: str) -> str:
-    return f"({low} + {_h(tag, key)} % {high - low + 1})"
-
-
-def _pad(x: str, n: int) -> str:
-    return f"lpad(CAST({x} AS VARCHAR), {n}, '0')"
-
-
-def _person(tag: str, key: str) -> str:
-    return f"{_pick(S.GIVEN, tag + 'g', key)} || ' ' || {_pick(S.FAMILY, tag + 'f', key)}"
-
-
-def _firm(tag: str, key: str) -> str:
-    return f"{_pick(S.FIRMS, tag + 'n', key)} || ' ' || {_pick(S.TRADES, tag + 't', key)}"
-
-
-def _address(tag: str, key: str) -> str:
-    return (f"{_span(1, 999, tag + 'h', key)} || ' ' || {_pick(S.STREETS, tag + 's', key)} || ', BARANGAY ' || "
-            f"{_pick(S.BARANGAYS, tag + 'b', key)} || ', ' || {_pick(S.TOWNS, tag + 'c', key)}")
-
-
-def _bir_sql(k: str) -> dict[str, str]:
-    m, d, y = _span(1, 12, "m", k), _span(1, 28, "d", k), _span(2009, 2023, "y", k)
-    return {
-        "form_no": "'2303'",
-        "ocn": f"{_span(1, 9, 'o1', k)} || {_pick(['RC', 'AB', 'RCX'], 'o2', k)} || {_pad(_span(0, 999999999, 'o3', k), 10)}",
-        "tin": " || '-' || ".join([_pad(_span(0, 999, f"t{i}", k), 3) for i in range(3)] + [_pad(_span(0, 25, "t3", k), 4)]),
-        "registered_name": _firm("rn", k), "registration_date": f"{m} || '/' || {d} || '/' || {y}",
-        "registered_address": _address("ra", k), "revenue_region_no": _pick(S.REGIONS, "rr", k),
-        "rdo_code": f"CAST({_span(1, 213, 'rd', k)} AS VARCHAR)", "line_of_business": _pick(S.LINES_OF_BUSINESS, "lb", k),
-        "trade_name": _firm("tn", k), "tax_types": f"{_pick(S.TAXES[:2], 'x1', k)} || ', ' || {_pick(S.TAXES[2:], 'x2', k)}",
-        "revenue_district_officer": _person("of", k), "date_issued": f"{_pick(S.MONTHS, 'im', k)} || ' ' || {_pad(d, 2)} || ' ' || {y}",
-    }
-
-
-def _permit_sql(k: str) -> dict[str, str]:
-    d = _span(1, 28, "d", k)
-    return {
-        "city_issued": _pick(["DIGOS", "MAKATI", "MANILA", "MARIKINA", "TAGUIG"], "ci", k), "name_of_proprietor": _person("pr", k),
-        "trade_name": _firm("tn", k), "business_location": _address("bl", k), "kind_of_business": _pick(S.KINDS, "kb", k),
-        "date_issued": f"""{d} || CASE WHEN {d} BETWEEN 11 AND 13 THEN 'th' WHEN {d} % 10 = 1 THEN 'st' WHEN {d} % 10 = 2 THEN 'nd'
-            WHEN {d} % 10 = 3 THEN 'rd' ELSE 'th' END || ' day of ' || {_pick(S.FULL_MONTHS, 'm', k)} || ' , ' || {_span(2009, 2023, 'y', k)}""",
-    }
-
-
-def _dti_sql(k: str) -> dict[str, str]:
-    d, m, y = _span(1, 28, "d", k), _span(1, 12, "m", k), _span(2015, 2023, "y", k)
-    return {
-        "business_name": _firm("bn", k), "business_address": _address("ba", k), "owner_representative_name": _person("ow", k),
-        "date_issued": f"{_pad(m, 2)} || '/' || {_pad(d, 2)} || '/' || {y}", "expiry_date": f"{_pad(m, 2)} || '/' || {_pad(d, 2)} || '/' || ({y} + 5)",
-        "certificate_no": f"'BN ' || {_span(1000000, 9999999, 'cn', k)}", "trn_no": f"'DTI-' || {y} || '-' || {_span(10000000, 99999999, 'tr', k)}",
-    }
-
-
-def _columns(record: dict[str, str]) -> str:
-    return ", ".join(f"{v} AS {k}" for k, v in record.items())
-
-
-_N = "chr(10)"
-_BIR_TEXT = f""" || {_N} || """.join(["'REPUBLIC OF THE PHILIPPINES'", "'BUREAU OF INTERNAL REVENUE'", "'REVENUE REGION NO. ' || revenue_region_no",
-    "'REVENUE DISTRICT NO. ' || rdo_code", "'Form No. 2303'", "ocn", "'OCN'", "'CERTIFICATE OF REGISTRATION'", "'TIN NAME REGISTRATION DATE'",
-    "tin || ' | ' || registered_name || '  ' || registration_date", "'REGISTERED ADDRESS'", "registered_address", "'TAX TYPE'", "tax_types",
-    "'TRADE NAME'", "trade_name", "'LINE OF BUSINESS / INDUSTRY'", "line_of_business", "'REVENUE DISTRICT OFFICER: ' || revenue_district_officer",
-    "'Date Issued ' || date_issued"])
-_PERMIT_TEXT = f" || {_N} || ".join(["'Republic of the Philippines'", "'CITY OF ' || city_issued", "'BUSINESS PERMIT'", "name_of_proprietor", "'NAME OF PROPRIETOR'",
-    "trade_name || '.'", "'TRADE NAME'", "business_location", "'BUSINESS LOCATION'", "kind_of_business", "'KIND OF BUSINESS'",
-    "'Issued this  ' || date_issued || ', at City Hall, Philippines.'"])
-_DTI_TEXT = f" || {_N} || ".join(["'DEPARTMENT OF TRADE & INDUSTRY'", "'This certifies that'", "business_name", "business_address",
-    "'is a business name registered in this office pursuant to the provisions'", "'certificate issued to'", "owner_representative_name",
-    "'is valid from ' || date_issued || ' to ' || expiry_date || ' subject to compliance'", "'Certificate No. ' || certificate_no", "'TRN: ' || trn_no"])
-
-
-def _worn_sql(text: str) -> str:
-    """Misread captions and smudges on some pages."""
-    text = f"CASE WHEN k % 10 = 0 THEN regexp_replace({text}, '([0-9]{{3}}-[0-9]{{3}}-[0-9]{{2}})[0-9]-[0-9]{{4}}', '\\1') ELSE {text} END"
-    text = f"CASE WHEN k % 7 = 0 THEN replace({text}, 'TRADE NAME', 'TRADF NAMF') ELSE {text} END"
-    text = f"CASE WHEN k % 11 = 0 THEN replace({text}, 'NAME REGISTRATION', 'NAMF REGISTRAUION') ELSE {text} END"
-    return f"CASE WHEN k % 13 = 0 THEN replace({text}, ' AVENUE', '|AV=NUE') ELSE {text} END"
-
-
-RECORDS = {
-    "bir": f"SELECT c_custkey AS k, {_columns(_bir_sql('c_custkey'))} FROM customer",
-    "permit": f"SELECT s_suppkey AS k, {_columns(_permit_sql('s_suppkey'))} FROM supplier",
-    "dti": f"SELECT p_partkey AS k, {_columns(_dti_sql('p_partkey'))} FROM part",
-    "sheets": f"""SELECT page_id, template, {_worn_sql('raw')} AS text FROM (
-        SELECT k, k * 3 AS page_id, 'bir' AS template, {_BIR_TEXT} AS raw FROM bir UNION ALL SELECT k, k * 3 + 1, 'business_permit', {_PERMIT_TEXT} FROM permit
-        UNION ALL SELECT k, k * 3 + 2, 'dti', {_DTI_TEXT} FROM dti)""",
-}
-
-
-def _records(spark, folder, kind):
-    source, key, record = {"bir": ("customer", "c_custkey", S.bir_record), "permit": ("supplier", "s_suppkey", S.permit_record),
-                           "dti": ("part", "p_partkey", S.dti_record)}[kind]
-    rows = D.spread(D.table(spark, folder, source).select(F.col(key).alias("k")), "k")
-    return rows.select("k", *[v.alias(n) for n, v in record("k").items()])
-
-
-def certificates(spark, folder):
-    """One printed certificate per customer, supplier and part."""
-    def printed(kind, template, offset, render):
-        rows = _records(spark, folder, kind)
-        return rows.select("k", (F.col("k") * 3 + offset).alias("page_id"), F.lit(template).alias("template"),
-                           render({c: F.col(c) for c in rows.columns}).alias("text"))
-    pages = (printed("bir", "bir", 0, S.bir_text).unionByName(printed("permit", "business_permit", 1, S.permit_text))
-             .unionByName(printed("dti", "dti", 2, S.dti_text)))
-    k = F.col("k")
-    for modulus, change in (
-            (10, lambda t: F.regexp_replace(t, r"(\d{3}-\d{3}-\d{2})\d-\d{4}", "$1")),
-            (7, lambda t: F.replace(t, F.lit("TRADE NAME"), F.lit("TRADF NAMF"))),
-            (11, lambda t: F.replace(t, F.lit("NAME REGISTRATION"), F.lit("NAMF REGISTRAUION"))),
-            (13, lambda t: F.replace(t, F.lit(" AVENUE"), F.lit("|AV=NUE")))):
-        pages = pages.withColumn("text", F.when(k % modulus == 0, change(F.col("text"))).otherwise(F.col("text")))
-    return pages.drop("k")
-
-
 # --- the SQL of extraction, written from the same field specifications ---------
 _SEP = r"[ \t:.\-–—/()|,]"
 _EDGE = r"[ :.\-–—]+"
@@ -219,21 +98,21 @@ CONF = {"tokmean": "SELECT page_id, token, avg(conf) AS m FROM (SELECT page_id,
 
 
 def certificate_words(spark, folder):
-    tokens = certificates(spark, folder).select("page_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where(F.col("text") != "")
+    tokens = sheets(spark, folder).select("page_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where(F.col("text") != "")
     return tokens.withColumn("conf", 45 + (F.col("pos").cast("long") * 37 + F.col("page_id") * 101) % 55)
 
 
 def _fields(spark, folder):
-    return extraction.extract_all(certificates(spark, folder))
+    return extraction.extract_all(sheets(spark, folder))
 
 
 def _graded(spark, folder):
     return extraction.with_confidence(_fields(spark, folder), certificate_words(spark, folder))
 
 
-@query("certificate_text", "L1 L6", with_views("SELECT page_id, template, text FROM sheets", extra=RECORDS))
+@query("certificate_text", "I8", with_views("SELECT page_id, template, text FROM sheets", extra=RECORDS))
 def certificate_text(spark, folder):
-    return certificates(spark, folder)
+    return sheets(spark, folder)
 
 
 @query("extracted_fields", "B6 B7 I1 I2 I3 I4 I5 I6 I7 I8", with_views("SELECT page_id, template, CAST(ord AS INTEGER) AS ord, field_key, name, value, required, matched FROM fields", extra=FIELDS))
@@ -241,22 +120,6 @@ def extracted_fields(spark, folder):
     return _fields(spark, folder)
 
 
-@query("extraction_round_trip", "I8 L6", with_views(
-    """SELECT page_id, field_key, value FROM (SELECT k * 3 AS page_id, unnest([{'field_key': 'ocn', 'value': ocn}, {'field_key': 'registered_address', 'value': registered_address}, {'field_key': 'rdo_code', 'value': rdo_code},
-       {'field_key': 'line_of_business', 'value': line_of_business}, {'field_key': 'revenue_region_no', 'value': revenue_region_no}, {'field_key': 'date_issued', 'value': date_issued}], recursive := true) FROM bir WHERE k % 13 <> 0 AND k % 11 <> 0)
-       UNION ALL SELECT page_id, field_key, value FROM (SELECT k * 3 + 2 AS page_id, unnest([{'field_key': 'business_name', 'value': business_name}, {'field_key': 'owner_representative_name', 'value': owner_representative_name},
-       {'field_key': 'expiry_date', 'value': expiry_date}, {'field_key': 'certificate_no', 'value': certificate_no}, {'field_key': 'trn_no', 'value': trn_no}], recursive := true) FROM dti WHERE k % 13 <> 0 AND k % 11 <> 0)""", extra=RECORDS))
-def extraction_round_trip(spark, folder):
-    """What is read from an unsmudged page equals the record that was printed."""
-    keys = {"bir": ("ocn", "registered_address", "rdo_code", "line_of_business", "revenue_region_no", "date_issued"),
-            "dti": ("business_name", "owner_representative_name", "expiry_date", "certificate_no", "trn_no")}
-    rows = _fields(spark, folder).where(F.expr("page_id div 3 % 13 <> 0 AND page_id div 3 % 11 <> 0"))
-    wanted = F.lit(False)
-    for template, names in keys.items():
-        wanted = wanted | ((F.col("template") == template) & F.col("field_key").isin(*names))
-    return rows.where(wanted).select("page_id", "field_key", "value")
-
-
 @query("field_confidence", "B3 E18", with_views("SELECT page_id, field_key, confidence FROM graded", extra={**FIELDS, **WORDS, **CONF}))
 def field_confidence(spark, folder):
     return _graded(spark, folder).select("page_id", "field_key", "confidence")
@@ -305,7 +168,7 @@ def field_warnings(spark, folder):
 @query("noisy_names", "B11", f"SELECT doc_id, line, {noisy_sql('line')} AS noisy FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> ''")
 def noisy_names(spark, folder):
     """The noise grade of every line of every document."""
-    lines = D.spread(D.table(spark, folder, "documents"), "doc_id").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line"))
+    lines = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line"))
     return lines.where(F.col("line") != "").select("doc_id", "line", T.looks_noisy(F.col("line")).alias("noisy"))
 
 
@@ -330,8 +193,8 @@ _QUALITY = f"""SELECT page_id, template, char_count, keywords_found, word_count,
 
 @query("page_quality", "E17 I14", with_views(_QUALITY, extra={**FIELDS, **WORDS}))
 def page_quality(spark, folder):
-    sheets = certificates(spark, folder)
-    rows = extraction.page_quality(sheets, certificate_words(spark, folder), extraction.extract_all(sheets))
+    own = sheets(spark, folder)
+    rows = extraction.page_quality(own, certificate_words(spark, folder), extraction.extract_all(own))
     return rows.withColumn("flags", F.array_join("flags", "; ")).drop("missing_required").withColumn("char_count", F.col("char_count").cast("long")).withColumn("keywords_found", F.col("keywords_found").cast("int"))
 
 
@@ -342,7 +205,7 @@ def page_quality(spark, folder):
           SELECT page_id, coalesce({_group('text', V.TIN_STRICT)}, trim({_group('text', V.TIN_LOOSE)})) AS tin, trim({_group('text', V.NUMBER_CAPTION)}) AS number,
             regexp_matches(text, '(?i)\\bTIN\\b') AS mentioned FROM sheets))""", extra=RECORDS))
 def identifier_checks(spark, folder):
-    rows = certificates(spark, folder).select("page_id", crosscheck.identifier_check(F.col("text")).alias("c"))
+    rows = sheets(spark, folder).select("page_id", crosscheck.identifier_check(F.col("text")).alias("c"))
     return rows.select("page_id", "c.score", "c.tin", "c.number")
 
 
@@ -375,11 +238,11 @@ def roi_merge(spark, folder):
        LEFT JOIN (SELECT page_id, field_key, value AS v FROM fields WHERE template = 'bir' AND field_key IN ('revenue_region_no', 'rdo_code') AND matched) s USING (page_id, field_key))""", extra=FIELDS))
 def seal_fields_filled(spark, folder):
     """The seal pass reads captions broken by hyphens; it only fills gaps."""
-    sheets = certificates(spark, folder).where(F.col("template") == "bir")
-    full = extraction.extract(sheets, "bir").withColumn("confidence", F.lit(None).cast("double"))
+    own = sheets(spark, folder).where(F.col("template") == "bir")
+    full = extraction.extract(own, "bir").withColumn("confidence", F.lit(None).cast("double"))
     even = F.col("page_id") % 2 == 0
     primary = full.withColumns({"value": F.when(even, F.col("value")), "matched": even & F.col("matched")})
-    broken = sheets.withColumn("text", F.replace("text", F.lit("REVENUE DISTRICT NO"), F.lit("REVENUE-DISTRICT.NO")))
+    broken = own.withColumn("text", F.replace("text", F.lit("REVENUE DISTRICT NO"), F.lit("REVENUE-DISTRICT.NO")))
     seal = extraction.extract(broken.withColumn("text", extraction.normalise_stamp_text(F.col("text"))), "bir").withColumn("confidence", F.lit(None).cast("double"))
     rows = extraction.fill_missing(primary, seal)
     return rows.select("page_id", "field_key", "value", (F.coalesce(F.col("source") == "stamp_roi", F.lit(False))).alias("use"))
@@ -406,7 +269,7 @@ def _tidy_sql() -> str:
 
 @query("tidied_documents", "B2", f"SELECT doc_id, {_tidy_sql()} AS text FROM documents")
 def tidied_documents(spark, folder):
-    return D.spread(D.table(spark, folder, "documents"), "doc_id").select("doc_id", T.tidy_text(F.col("text")).alias("text"))
+    return D.table(spark, folder, "documents").select("doc_id", T.tidy_text(F.col("text")).alias("text"))
 
 
 @query("tidied_turns", "B2", f"SELECT conv_id, turn, {_tidy_sql()} AS text FROM conversations")
@@ -431,7 +294,7 @@ def city_names(spark, folder):
     SELECT doc_id, count(*) AS tokens, count(*) FILTER (t <> '' AND (t = 'TION' OR levenshtein(t, 'TION') <= least(2, least(length(t), 4) - 1))) AS near, count(*) FILTER (t = 'THE') AS exact
     FROM (SELECT doc_id, regexp_replace(upper(replace(unnest(regexp_split_to_array(text, '[ \\n]+')), 'ß', 'SS')), '[^A-Z0-9]', '', 'g') AS t FROM documents) GROUP BY 1""")
 def fuzzy_captions(spark, folder):
-    tokens = D.spread(D.table(spark, folder, "documents"), "doc_id").select("doc_id", F.explode(F.transform(F.split("text", "[ \n]+"), T.norm_token)).alias("t"))
+    tokens = D.table(spark, folder, "documents").select("doc_id", F.explode(F.transform(F.split("text", "[ \n]+"), T.norm_token)).alias("t"))
     return tokens.groupBy("doc_id").agg(
         F.count("*").alias("tokens"), F.count_if(T.fuzzy_token_eq(F.col("t"), "TION", 2, normalised=True)).alias("near"),
         F.count_if(T.fuzzy_token_eq(F.col("t"), "THE", normalised=True)).alias("exact"))
@@ -455,12 +318,12 @@ def variant_comparison(spark, folder):
 _RECORD_COLUMNS = sorted(["city_issued", "name_of_proprietor", "trade_name", "business_location", "kind_of_business", "date_issued"])
 
 
-@query("permit_records", "B20 B28 L1", with_views(
+@query("permit_records", "B20 B28", with_views(
     "SELECT k, city_issued, name_of_proprietor, trade_name, business_location, kind_of_business, date_issued, sha1('{' || "
     + " || ',' || ".join(f"'\"{c}\":\"' || {c} || '\"'" for c in _RECORD_COLUMNS) + " || '}') AS content_hash FROM permit", extra={"permit": RECORDS["permit"]}))
 def permit_records(spark, folder):
-    rows = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
-    return S.with_record(rows, S.permit_record("k"))
+    rows = records(spark, folder, "permit").select("k", *_RECORD_COLUMNS)
+    return rows.withColumn("content_hash", record_hash({c: F.col(c) for c in _RECORD_COLUMNS}))
 
 
 @query("new_records", "G5 L5", with_views(
@@ -473,41 +336,7 @@ def new_records(spark, folder):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     candidates = D.table(spark, folder, "customer").select(k.alias("record_id"), F.concat(F.lit("K"), k % 1100).alias("business_key"), F.sha1((k % 1300).cast("string")).alias("content_hash"))
     ledger = D.table(spark, folder, "supplier").select((s + 1).alias("index"), F.concat(F.lit("K"), s * 3).alias("business_key"), F.sha1((s * 7).cast("string")).alias("content_hash"))
-    return S.unused_records(candidates, ledger, "business_key").select("record_id", "business_key", "index")
-
-
-def _financial_sql(k: str) -> dict[str, str]:
-    share = lambda t, lo, hi, tag: f"CAST(floor({t} * {_span(lo, hi, tag, k)} / 1000000) * 1000 AS BIGINT)"
-    return {"total": f"{_span(2000, 2000000, 'ta', k)} * 1000", "current": share("total", 300, 600, "ca"), "cash": share("current", 200, 400, "c1"), "receivables": share("current", 200, 400, "c2"),
-            "plant": share("(total - current)", 500, 800, "p1"), "liabilities": share("total", 250, 650, "tl"), "revenue": share("total", 500, 1600, "rv"), "cost": share("revenue", 450, 700, "co"),
-            "expenses": share("(revenue - cost)", 300, 700, "oe")}
-
-
-def _nested(steps: dict[str, str], source: str) -> str:
-    for name, expr in steps.items():
-        source = f"(SELECT *, {expr} AS {name} FROM {source})"
-    return source
-
-
-@query("financial_statements", "L2 L3", f"""SELECT k, total AS total_assets, cash, receivables, current - cash - receivables AS inventories, plant AS ppe, liabilities AS total_liabilities, total - liabilities AS total_equity, revenue, revenue - cost AS gross_profit,
-    revenue - cost - expenses - CAST(floor(greatest(0, revenue - cost - expenses) / 4000) * 1000 AS BIGINT) AS net_income, '' AS faults FROM {_nested(_financial_sql('k'), '(SELECT s_suppkey AS k FROM supplier)')}""")
-def financial_statements(spark, folder):
-    rows = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
-    rows = rows.withColumns(S.financials("k"))
-    return rows.select("k", "total_assets", "cash", "receivables", "inventories", "ppe", "total_liabilities", "total_equity", "revenue", "gross_profit", "net_income",
-                       F.array_join(S.footing_faults(), "; ").alias("faults"))
-
-
-_FEE_SUM = " + ".join(_span(lo * 100, hi * 100, n, "k") for n, (lo, hi) in S.FEES.items())
-_MEAT = f"CASE WHEN {_pick(S.KINDS, 'kb', 'k')} IN ('RESTAURANT', 'FOOD SERVICE ACTIVITIES') THEN {_span(20000, 240000, 'meat', 'k')} ELSE 0 END"
-
-
-@query("permit_fees", "B28 L4", f"""SELECT k, meat AS meat_inspection_fee, (sub + 5) // 10 AS fsi_fee, format('{{:,}}', (sub + (sub + 5) // 10) // 100) || '.' || lpad(CAST((sub + (sub + 5) // 10) % 100 AS VARCHAR), 2, '0') AS total
-    FROM (SELECT k, {_MEAT} AS meat, {_FEE_SUM} + {_MEAT} AS sub FROM (SELECT s_suppkey AS k FROM supplier))""")
-def permit_fees(spark, folder):
-    rows = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
-    fees = S.fee_table("k", S.permit_record("k")["kind_of_business"])
-    return rows.select("k", fees["meat_inspection_fee"].cast("long").alias("meat_inspection_fee"), fees["fsi_fee"].alias("fsi_fee"), S.pesos(fees["total"]).alias("total"))
+    return unused_records(candidates, ledger, "business_key").select("record_id", "business_key", "index")
 
 
 @query("natural_order", "G11", "SELECT p_partkey, lower(p_name) || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS sort_key FROM part")
