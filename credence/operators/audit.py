@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXPORT_LIMIT = 50000
 PRESETS = {"24h": 24, "7d": 24 * 7, "30d": 24 * 30}
 
 
@@ -66,13 +65,15 @@ def newest_first() -> list[Column]:
     return [F.col("created_at").desc(), F.col("log_id").desc()]
 
 
-def export_rows(rows: DataFrame, users: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
-    """The rows of the CSV download: the newest ``limit`` matches with their
-    actor. The export takes the same filters as the screen except the module."""
-    newest = rows.orderBy(*newest_first()).limit(limit)
+def export_rows(rows: DataFrame, users: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows of the CSV download: all matches with their actor, or the newest
+    ``limit`` if the caller gives one. The export takes the same filters as the
+    screen except the module."""
+    newest = rows if limit is None else rows.orderBy(*newest_first()).limit(limit)
     people = users.select("user_id", "name", "email", "role")
     basename = F.regexp_extract("entity_type", r"([^\\]+)$", 1)
-    return newest.join(people, "user_id", "left").select(
+    joined = newest.join(people, "user_id", "left")
+    return joined.orderBy(*newest_first()).select(
         "log_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"),
         F.coalesce("name", F.lit("(deleted user)")).alias("user"), F.coalesce("email", F.lit("")).alias("email"),
         F.coalesce("role", F.lit("")).alias("role"), "action",
@@ -80,8 +81,8 @@ def export_rows(rows: DataFrame, users: DataFrame, limit: int = EXPORT_LIMIT) ->
         F.coalesce("details", F.lit("")).alias("details"))
 
 
-def acting_users(logs: DataFrame, users: DataFrame, limit: int = 100) -> DataFrame:
-    """Users that appear in the trail, by name."""
+def acting_users(logs: DataFrame, users: DataFrame, limit: int | None = None) -> DataFrame:
+    """Users that appear in the trail, by name; the first ``limit`` if given."""
     actors = logs.where(F.col("user_id").isNotNull()).select("user_id")
-    return (users.join(actors, "user_id", "left_semi").select("user_id", "name", "email", "role")
-            .orderBy("name", "user_id").limit(limit))
+    people = users.join(actors, "user_id", "left_semi").select("user_id", "name", "email", "role").orderBy("name", "user_id")
+    return people if limit is None else people.limit(limit)

@@ -44,7 +44,7 @@ def group_safe_split(files: DataFrame, seed: str = "42") -> DataFrame:
     keyed = stems.withColumn("_d", digest).withColumn("_prefix", F.substring("_d", 1, 3))
     ranked = running_sum(keyed, ["class"], "_prefix", ["_d", "group_stem"], F.lit(1), "rank")
     total = stems.groupBy("class").agg(F.count("*").alias("_n"))
-    chosen = ranked.join(F.broadcast(total), "class").select(
+    chosen = ranked.join(total, "class").select(
         "class", "group_stem", F.when(F.col("rank") <= F.floor(F.col("_n") / 2), "test").otherwise("val").alias("split"))
     return files.join(chosen, ["class", "group_stem"])
 

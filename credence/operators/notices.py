@@ -7,32 +7,19 @@ from pyspark.sql import functions as F
 
 from credence.functions.numbers import round_to
 
-# Staff per team is a hard product limit; larger teams need a mailing list.
-MAX_OFFICERS = 10000
-
-
-def person(user: Column, staff: bool) -> Column:
-    return F.struct(user.alias("user_id"), F.lit(staff).alias("staff"))
-
-
-def officer_list(users: DataFrame) -> Column:
-    """All officers and admins as a scalar subquery. The list is as long as the
-    staff, and its size is checked before it is used."""
-    team = users.where(F.col("role").isin("admin", "compliance_officer"))
-    people = F.array_sort(F.collect_list(person(F.col("user_id"), True)))
-    refused = F.raise_error(F.lit("more officers than the fan-out allows")).cast("array<struct<user_id:bigint,staff:boolean>>")
-    return team.agg(F.when(F.count("*") <= MAX_OFFICERS, people).otherwise(refused).alias("people")).scalar()
+#: Shares that the team is dealt into, so that one submission's notices come from
+#: many tasks.
+SHARES = 16
 
 
 def fan_out(rows: DataFrame, users: DataFrame, to_vendor: dict[str, Column], to_staff: dict[str, Column]) -> DataFrame:
-    """One notice to the vendor's user (when there is one) and one to each
-    officer. Texts are composed once per submission, below the fan-out."""
-    composed = rows.select(
-        "submission_id", "user_id", *[c.alias(f"_v_{n}") for n, c in to_vendor.items()], *[c.alias(f"_s_{n}") for n, c in to_staff.items()])
-    own = F.filter(F.array(person(F.col("user_id"), False)), lambda p: p["user_id"].isNotNull())
-    spread = composed.withColumn("_p", F.explode(F.concat(own, officer_list(users))))
-    return spread.select("_p.user_id", *[F.when(F.col("_p.staff"), F.col(f"_s_{n}")).otherwise(F.col(f"_v_{n}")).alias(n) for n in to_vendor],
-                         "submission_id")
+    """One notice to the vendor's user (when there is one) and one to each officer.
+    Texts are composed once per submission; a team of any size joins them share by
+    share."""
+    own = rows.where(F.col("user_id").isNotNull()).select("user_id", *[c.alias(n) for n, c in to_vendor.items()], "submission_id")
+    composed = rows.select("submission_id", *[c.alias(n) for n, c in to_staff.items()], F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"))
+    team = users.where(F.col("role").isin("admin", "compliance_officer")).select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(SHARES)).cast("int").alias("_share"))
+    return own.unionByName(composed.join(team, "_share").drop("_share"))
 
 
 def processed(submissions: DataFrame, vendors: DataFrame, users: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def sweep(rows: DataFrame, policies: DataFrame, now: str, on: str = "created_at"
     """Classify rows (with a data_type column) keep / archive / delete."""
     unread = F.lit(False) if unread is None else unread
     age = F.datediff(F.lit(now).cast("timestamp_ntz"), F.col(on))
-    joined = rows.join(F.broadcast(policies), "data_type", "left")
+    joined = rows.join(policies, "data_type", "left")
     protected = F.coalesce(F.col("preserve_unread") & unread, F.lit(False))
     verdict = (F.when(protected, "keep")
                .when(F.col("deletion_enabled") & (age >= F.col("deletion_after_days")), "delete")

@@ -28,7 +28,7 @@ def flag_rows(results: DataFrame) -> DataFrame:
 
 def typed_documents(documents: DataFrame, types: DataFrame) -> DataFrame:
     """Documents with their type name; unknown types read 'Unassigned'."""
-    return (documents.join(F.broadcast(types), "document_type_id", "left")
+    return (documents.join(types, "document_type_id", "left")
             .withColumn("type_name", F.coalesce("type_name", F.lit("Unassigned"))))
 
 

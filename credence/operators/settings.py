@@ -46,7 +46,7 @@ def faults(raw: Column, kind: Column, low: Column, high: Column) -> Column:
 
 def check_updates(updates: DataFrame, schema: DataFrame, value: str = "value") -> DataFrame:
     """Proposed updates with their violations; unknown keys are ignored."""
-    known = updates.join(F.broadcast(schema), "key")
+    known = updates.join(schema, "key")
     return known.withColumn("faults", faults(F.col(value), F.col("type"), F.col("low"), F.col("high")))
 
 

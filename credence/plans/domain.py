@@ -180,7 +180,7 @@ def vendors(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     nations = table(spark, folder, "nation")
     customers = table(spark, folder, "customer").join(
-        F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     states = F.array(*[F.lit(s) for s in ("pending", "under_review", "approved", "rejected")])
     entity = F.array(*[F.lit(s) for s in ("sole_proprietorship", "partnership", "corporation")])
     return customers.select(

@@ -105,7 +105,7 @@ def _matched(spark, folder):
         F.col("document_id").alias("page_id"), (F.col("part") % 900).cast("double").alias("left"), (F.col("price") % 700).cast("double").alias("top"),
         (10 + F.col("supp") % 80).cast("double").alias("width"), F.col("qty").cast("double").alias("height"))
     names = F.array(F.lit("bir"), F.lit("dti"), F.lit("business_permit"))
-    places = D.table(spark, folder, "customer").join(F.broadcast(D.table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    places = D.table(spark, folder, "customer").join(D.table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     key = F.col("o_orderkey")
     sheets = D.table(spark, folder, "orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select(
         key.alias("page_id"), F.get(names, (key % 3).cast("int")).alias("template"),

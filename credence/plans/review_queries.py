@@ -255,8 +255,8 @@ def flags_by_document(spark, folder):
        CASE WHEN file_size_bytes < 1048576 THEN format('{:,}', CAST(floor(r / 10) AS BIGINT)) || '.' || CAST(r % 10 AS VARCHAR) || ' KB'
             ELSE format('{:,}', CAST(floor(m / 100) AS BIGINT)) || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') || ' MB' END AS size,
        processing_status AS status, CASE WHEN starts_with(mime_type, 'image/') THEN 'image' WHEN mime_type = 'application/pdf' THEN 'pdf' ELSE 'other' END AS kind
-       FROM (SELECT *, CAST(round_even(CAST(file_size_bytes / 1024 AS DECIMAL(20,6)) * 10, 0) AS BIGINT) AS r,
-             CAST(round_even(CAST(file_size_bytes / 1048576 AS DECIMAL(20,6)) * 100, 0) AS BIGINT) AS m FROM documents)
+       FROM (SELECT *, CAST(round(CAST(file_size_bytes / 1024 AS DECIMAL(20,6)) * 10, 0) AS BIGINT) AS r,
+             CAST(round(CAST(file_size_bytes / 1048576 AS DECIMAL(20,6)) * 100, 0) AS BIGINT) AS m FROM documents)
        LEFT JOIN document_types USING (document_type_id)""", "documents", "document_types"))
 def document_list(spark, folder):
     return review.document_list(D.documents(spark, folder), D.document_types(spark))

@@ -283,7 +283,7 @@ def tidied_turns(spark, folder):
     FROM (SELECT c_custkey AS vendor_id, CASE c_custkey % 6 WHEN 0 THEN '  LAPU-LAPU ' WHEN 1 THEN 'city  of ' || lower(n_name) WHEN 2 THEN 'O''BRIEN   town' WHEN 3 THEN '   ' WHEN 4 THEN 'PARAÑAQUE' ELSE 'City of ' || n_name END AS raw
       FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def city_names(spark, folder):
-    rows = D.table(spark, folder, "customer").join(F.broadcast(D.table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = D.table(spark, folder, "customer").join(D.table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey") % 6
     raw = (F.when(k == 0, "  LAPU-LAPU ").when(k == 1, F.concat(F.lit("city  of "), F.lower("n_name"))).when(k == 2, "O'BRIEN   town")
            .when(k == 3, "   ").when(k == 4, "PARAÑAQUE").otherwise(F.concat(F.lit("City of "), "n_name")))

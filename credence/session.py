@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,14 @@ def build_session(app: str = "credence", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. The cluster names it in
-    ``spark.checkpoint.dir``; a private one is made only where that is unset."""
+    """The shared checkpoint folder, which the cluster names in
+    ``spark.checkpoint.dir``. Only a session that runs in one process may do
+    without: it gets a temporary folder. On a cluster that would be the driver's
+    own disk, so there it is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not configured and context.getCheckpointDir() is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return configured or context.getCheckpointDir()
