@@ -42,22 +42,27 @@ def clear_enrolments(users: DataFrame, unbacked: DataFrame) -> DataFrame:
 
 # Fixed values: (column, required, longest).
 PROFILE_RULES = (
-    ("company_name", True, 150), ("business_entity_type", True, None), ("tin", True, 20),
-    ("dti_registration_number", False, 50), ("sec_registration_number", False, 50),
-    ("business_street", True, 255), ("business_barangay", True, 120), ("business_city", True, 120),
-    ("business_province", True, 120), ("business_postal_code", True, 10),
+    ("company_name", True, 150), ("trade_name", False, 150), ("business_entity_type", True, None), ("tin", True, 20),
+    ("dti_registration_number", False, 50), ("sec_registration_number", False, 50), ("business_permit_number", True, 50),
+    ("nature_of_business", True, 150), ("business_street", True, 255), ("business_barangay", True, 120), ("business_city", True, 120),
+    ("business_province", True, 120), ("business_postal_code", True, 10), ("first_name", True, 100), ("middle_name", False, 100),
+    ("last_name", True, 100), ("suffix", False, 20), ("date_of_birth", True, None), ("gender", True, None), ("contact_number", True, 20),
+    ("government_id_type", True, None), ("government_id_number", True, 60), ("home_address", True, 500),
 )
 ENTITY_TYPES = ("sole_proprietorship", "partnership", "corporation")
+GENDERS = ("male", "female")
+ID_TYPES = ("national_id", "drivers_license", "passport", "umid", "sss_id", "philhealth_id", "postal_id", "prc_id", "voters_id", "tin_id")
 NUMBER_NEEDED = {"dti_registration_number": ("sole_proprietorship",),
                  "sec_registration_number": ("partnership", "corporation")}
 
 
-def profile_faults() -> Column:
-    """Every violated rule of a declared business profile."""
+def profile_faults(today: Column) -> Column:
+    """Every violated rule of a declared profile of a business and its
+    representative; a birth date lies before ``today``."""
     faults: list[Column] = []
     for name, required, longest in PROFILE_RULES:
         value = F.col(name)
-        blank = value.isNull() | (F.trim(value) == "")
+        blank = value.isNull() | (F.trim(value.cast("string")) == "")
         if required:
             faults.append(flag_if(blank, f"{name}:required"))
         if longest:
@@ -65,6 +70,12 @@ def profile_faults() -> Column:
     entity = F.col("business_entity_type")
     faults.append(flag_if(~entity.isin(*ENTITY_TYPES), "business_entity_type:unknown"))
     faults.append(flag_if(~valid_tin(F.col("tin")), "tin:format"))
+    born = F.col("date_of_birth").try_cast("date")
+    given = F.trim(F.col("date_of_birth")) != ""
+    faults.append(flag_if(given & born.isNull(), "date_of_birth:not_a_date"))
+    faults.append(flag_if(born >= today, "date_of_birth:not_before_today"))
+    for name, known in (("gender", GENDERS), ("government_id_type", ID_TYPES)):
+        faults.append(flag_if((F.trim(name) != "") & ~F.col(name).isin(*known), f"{name}:unknown"))
     for name, entities in NUMBER_NEEDED.items():
         value = truthy_text(F.col(name))
         faults.append(flag_if(entity.isin(*entities) & value.isNull(), f"{name}:required_for_entity"))
@@ -72,12 +83,6 @@ def profile_faults() -> Column:
     return compact(*faults)
 
 
-def split_profiles(vendors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantined rows with their faults)."""
-    checked = vendors.withColumn("faults", profile_faults())
-    return checked.where(F.size("faults") == 0).drop("faults"), checked.where(F.size("faults") > 0)
-
-
 def mark_read(notifications: DataFrame, user_id: int, notification_id: int | None = None) -> DataFrame:
     """Mark one or all of a user's notifications read."""
     target = F.col("user_id") == user_id

@@ -163,11 +163,15 @@ def warnings() -> Column:
 
 
 # --- merges of other readings --------------------------------------------------
-def merge_positional(fields: DataFrame, positional: DataFrame) -> DataFrame:
-    """Values found by position replace the text reading (page_id, field_key, value)."""
-    own = positional.where(F.col("value").isNotNull()).select("page_id", "field_key", F.col("value").alias("_v"))
+def merge_positional(fields: DataFrame, positional: DataFrame, words: DataFrame) -> DataFrame:
+    """Values found by position (page_id, field_key, value) replace the text reading,
+    and their confidence is taken anew from the words (page_id, text, conf)."""
+    read = positional.where(F.col("value").isNotNull()).select("page_id", "field_key", "value")
+    own = with_confidence(read, words).select("page_id", "field_key", F.col("value").alias("_v"), F.col("confidence").alias("_f"))
     joined = fields.join(own, ["page_id", "field_key"], "left")
-    return joined.withColumns({"value": F.coalesce("_v", "value"), "matched": F.col("_v").isNotNull() | F.col("matched")}).drop("_v")
+    moved = F.col("_v").isNotNull()
+    return joined.withColumns({"value": F.coalesce("_v", "value"), "matched": moved | F.col("matched"),
+                               "confidence": F.when(moved, F.col("_f")).otherwise(F.col("confidence"))}).drop("_v", "_f")
 
 
 def merge_roi(fields: DataFrame, readings: DataFrame) -> DataFrame:

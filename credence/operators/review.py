@@ -33,11 +33,14 @@ def typed_documents(documents: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def distinct_in_order(rows: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
-    """Per key the distinct values in first-seen order.
+    """Per key the distinct values in first-seen order (one or two whole numbers, the
+    second of at most ten digits).
 
     Duplicates are dropped before any list is built, so a list is only as long
     as its set of distinct values, however many rows a key has."""
-    first = rows.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
+    place = F.col(order[0]) if len(order) == 1 else (
+        F.col(order[0]).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col(order[1]).cast("decimal(10,0)")).cast("decimal(38,0)")
+    first = rows.groupBy(*keys, value).agg(F.min(place).alias("_first"))
     listed = F.array_sort(F.collect_list(F.struct("_first", value)))
     return first.groupBy(*keys).agg(F.transform(listed, lambda x: x[value]).alias(name))
 

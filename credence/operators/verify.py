@@ -54,11 +54,13 @@ def verify_signatures(samples: DataFrame, references: DataFrame, key: str, thres
         "score": calibrated_score(d, limit), "reason": reason}).drop("reference")
 
 
-def resolve_issuer(documents: DataFrame, references: DataFrame) -> DataFrame:
-    """Reference of the document's issuer by type and city.
+def resolve_issuer(documents: DataFrame, references: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """Reference of the document's issuer by type and city; an issuer that is not a
+    city falls back to the type's single reference where it has no keyed one.
 
     documents: document_type_id, issuer_scope, city; references:
-    document_type_id, city ('' = national), feature_vector, reference_id."""
+    document_type_id, city ('' = national), feature_vector, reference_id; single:
+    document_type_id, feature_vector, reference_id, one per type."""
     scope, city = F.lower("issuer_scope"), canonical_city(F.col("city"))
     unscoped = scope.isNull() | scope.isin("none", "null")
     key = F.when(unscoped, None).when(scope == "lgu", city).otherwise("")
@@ -67,7 +69,13 @@ def resolve_issuer(documents: DataFrame, references: DataFrame) -> DataFrame:
     reason = (F.when(unscoped, "no_issuer_logo")
               .when((scope == "lgu") & F.col("_city").isNull(), "city_not_identified")
               .when(F.col("reference_id").isNull(), "unreferenced_logo"))
-    return keyed.join(held, ["document_type_id", "_city"], "left").withColumn("reason", reason).drop("_city")
+    found = keyed.join(held, ["document_type_id", "_city"], "left")
+    if single is not None:
+        spare = single.select("document_type_id", F.lit("").alias("_city"), F.col("reference_id").alias("_id"), F.col("feature_vector").alias("_vector"))
+        found = found.join(spare, ["document_type_id", "_city"], "left")
+        missing = F.col("reference_id").isNull()
+        found = found.withColumns({"reference": F.when(missing, F.col("_vector")).otherwise(F.col("reference")), "reference_id": F.coalesce("reference_id", "_id")}).drop("_id", "_vector")
+    return found.withColumn("reason", reason).drop("_city")
 
 
 def verify_stamps(samples: DataFrame, threshold: float = V.STAMP_SIMILARITY) -> DataFrame:

@@ -42,10 +42,22 @@ def hundredths(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
+def attempt_order() -> Column:
+    """Date, part and supplier of an attempt as one number, which an aggregation can
+    hold in place: 17, 11 and 10 digits."""
+    digits = lambda column, many, power: column.cast(f"decimal({many},0)") * F.lit(str(10**power)).cast(f"decimal({power + 1},0)")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST(l_shipdate AS TIMESTAMP_NTZ))")
+    return (digits(micros, 17, 21) + digits(F.col("l_partkey"), 11, 10) + F.col("l_suppkey").cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per processing attempt of a document (line items repeat a
     document's key; each repeat is a retry)."""
-    items = table(spark, folder, "lineitem")
+    return described(table(spark, folder, "lineitem").withColumn("attempt_order", attempt_order()))
+
+
+def described(items: DataFrame) -> DataFrame:
+    """What an attempt says of its document, from the columns of a line item."""
     qty, price, disc, tax = whole("l_quantity"), whole("l_extendedprice"), hundredths("l_discount"), hundredths("l_tax")
     part, supp, ret = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_returnflag")
     kinds = F.array(*[F.lit(k).cast("long") for k in (1, 4, 5, 1, 5, 6, 9, None)])
@@ -53,9 +65,9 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
     mimes = F.array(*[F.lit(m) for m in ("application/pdf", "image/png", "image/jpeg")])
     distance = F.when(~((ret == "N") & (part % 2 == 0)), qty / 20.0)
     return items.select(
+        *[c for c in items.columns if not c.startswith("l_")],
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("document_id"),
         F.col("l_orderkey").alias("submission_id"),
-        F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("attempt_order"),
         F.get(kinds, (part % 8).cast("int")).alias("document_type_id"),
         F.get(endings, (price % 3).cast("int")).alias("extension"),
         F.get(mimes, (price % 3).cast("int")).alias("mime_type"),
@@ -78,13 +90,18 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document with its latest attempt. max_by is combined map-side, so a
-    document with very many attempts costs one row per task, not a sort."""
-    tries = attempts(spark, folder)
-    payload = F.struct(*[c for c in tries.columns if c != "document_id"])
-    latest = tries.groupBy("document_id").agg(F.max_by(payload, "attempt_order").alias("d"),
-                                             F.count("*").alias("attempts"))
-    return latest.select("document_id", "attempts", "d.*").withColumn(
+    """Each document with its latest attempt.
+
+    The latest value of each raw column is a hash aggregation over numbers, reduced
+    before the shuffle; columns that a query doesn't ask for are pruned from it, and
+    texts are derived afterwards."""
+    numbers = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    letters = ("l_returnflag", "l_linestatus")
+    items = table(spark, folder, "lineitem").withColumn("_order", attempt_order())
+    latest = items.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("attempts"), *[F.max_by(c, "_order").alias(c) for c in numbers], *[F.max_by(F.ascii(c), "_order").alias(c) for c in letters])
+    spelled = latest.withColumns({c: F.char(c) for c in letters})
+    return described(spelled).withColumn(
         "original_filename", F.concat(F.lit("doc-"), F.col("document_id"), F.lit("."), F.col("extension")))
 
 

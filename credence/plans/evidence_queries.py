@@ -85,7 +85,7 @@ def reference_vector_faults(spark, folder):
     return rows.select("vec_id", vector_fault(parsed, F.col("raw"), 64).alias("fault"))
 
 
-_ISSUED = """SELECT vec_id, [5, 1, 6, 9][vec_id % 4 + 1] AS document_type_id, ['lgu', 'national', 'lgu', NULL][vec_id % 4 + 1] AS issuer_scope,
+_ISSUED = """SELECT vec_id, [5, 1, 6, 9][vec_id % 4 + 1] AS document_type_id, ['lgu', 'national', 'national', NULL][vec_id % 4 + 1] AS issuer_scope,
     CASE WHEN vec_id % 5 <> 0 THEN upper('nation_' || (vec_id % 12)) END AS city, embedding FROM embeddings"""
 _HELD = """SELECT 5 AS document_type_id, 'Nation_' || label AS city, label AS reference_id, reference FROM centroids WHERE label < 8
     UNION ALL SELECT 1, '', label, reference FROM centroids WHERE label = 8"""
@@ -95,14 +95,14 @@ _HELD = """SELECT 5 AS document_type_id, 'Nation_' || label AS city, label AS re
     f"""SELECT vec_id, reason, CASE WHEN reason IS NULL THEN round(sim, 6) END AS similarity_score, reason IS NULL AND sim >= 0.2 AS match, stamp_tampered FROM (
         SELECT i.vec_id, CASE WHEN issuer_scope IS NULL THEN 'no_issuer_logo' WHEN issuer_scope = 'lgu' AND i.city IS NULL THEN 'city_not_identified' WHEN h.reference_id IS NULL THEN 'unreferenced_logo' END AS reason,
           list_cosine_similarity({_D}, h.reference) AS sim, CASE WHEN vec_id % 3 <> 0 THEN (vec_id % 100) / 100.0::DOUBLE < 0.5 END AS stamp_tampered
-        FROM issued i LEFT JOIN held h ON h.document_type_id = i.document_type_id
+        FROM issued i LEFT JOIN (SELECT * FROM held UNION ALL SELECT 6, '', label, reference FROM centroids WHERE label = 9) h ON h.document_type_id = i.document_type_id
           AND h.city = CASE issuer_scope WHEN 'lgu' THEN upper(substr(i.city, 1, 1)) || lower(substr(i.city, 2)) WHEN 'national' THEN '' END)""",
     extra={"centroids": _CENTROIDS, "issued": _ISSUED, "held": _HELD}))
 def stamp_verification(spark, folder):
     key = F.col("vec_id")
     pick = lambda *x: F.get(F.array(*[F.lit(v) for v in x]), (key % 4).cast("int"))
     issued = vectors(spark, folder).select(
-        "vec_id", "vector", pick(5, 1, 6, 9).alias("document_type_id"), pick("lgu", "national", "lgu", None).alias("issuer_scope"),
+        "vec_id", "vector", pick(5, 1, 6, 9).alias("document_type_id"), pick("lgu", "national", "national", None).alias("issuer_scope"),
         F.when(key % 5 != 0, F.upper(F.concat(F.lit(" nation_"), key % 12))).alias("city"),
         F.when(key % 3 != 0, (key % 100) / 100.0).alias("genuine_probability"))
     means = verify.centroids(vectors(spark, folder), ["label"])
@@ -110,7 +110,8 @@ def stamp_verification(spark, folder):
                                                   F.col("label").alias("reference_id"), F.col("centroid").alias("feature_vector"))
     national = means.where(F.col("label") == 8).select(F.lit(1).alias("document_type_id"), F.lit("").alias("city"),
                                                       F.col("label").alias("reference_id"), F.col("centroid").alias("feature_vector"))
-    rows = verify.verify_stamps(verify.resolve_issuer(issued, local.unionByName(national)), threshold=0.2)
+    single = means.where(F.col("label") == 9).select(F.lit(6).alias("document_type_id"), F.col("label").alias("reference_id"), F.col("centroid").alias("feature_vector"))
+    rows = verify.verify_stamps(verify.resolve_issuer(issued, local.unionByName(national), single), threshold=0.2)
     return rows.select("vec_id", "reason", F.round("similarity_score", 6).alias("similarity_score"), "match",
                        verify.texture_verdict(F.col("genuine_probability")).alias("stamp_tampered"))
 

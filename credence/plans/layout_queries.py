@@ -58,15 +58,24 @@ def positional_fields(spark, folder):
     return layout.positional_fields(form_words(spark, folder))
 
 
+_READ = " UNION ALL ".join(f"SELECT k AS page_id, '{n}' AS field_key, {n} AS value FROM bir" for n in ("trade_name", "registered_name"))
+
+
 @query("positional_override", "I10", with_views(
-    " UNION ALL ".join(f"SELECT k AS page_id, '{n}' AS field_key, {v} AS value FROM bir" for n, v in (
-        ("tin", "'typed'"), ("trade_name", "trade_name"), ("registered_name", "registered_name"))), extra={"bir": RECORDS["bir"]}))
+    """SELECT page_id, field_key, value, CAST(round(CAST(avg(m) AS DECIMAL(20,9)), 1) AS DOUBLE) AS confidence FROM (
+         SELECT page_id, field_key, value, regexp_replace(upper(unnest(string_split(value, ' '))), '[^A-Z0-9]', '', 'g') AS token FROM read_) JOIN tokmean USING (page_id, token) GROUP BY 1, 2, 3
+       UNION ALL SELECT k, 'tin', 'typed', 12.5 FROM bir""",
+    extra={"bir": RECORDS["bir"], **_FORM, "read_": _READ, "tokmean": """SELECT page_id, token, avg(conf) AS m FROM (
+        SELECT page_id, 45 + (pos * 37 + page_id * 101) % 55 AS conf, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS token FROM form) WHERE token <> '' GROUP BY 1, 2"""}))
 def positional_override(spark, folder):
+    """Typed values of a form, replaced where the position says more."""
     typed = D.table(spark, folder, "customer").select(F.col("c_custkey").alias("page_id"), F.explode(F.array(
         F.lit("tin"), F.lit("trade_name"), F.lit("registered_name"))).alias("field_key")).select(
-        "page_id", "field_key", F.lit("typed").alias("value"), F.lit(True).alias("matched"))
-    merged = extraction.merge_positional(typed, layout.positional_fields(form_words(spark, folder)))
-    return merged.select("page_id", "field_key", "value")
+        "page_id", "field_key", F.lit("typed").alias("value"), F.lit(True).alias("matched"), F.lit(12.5).alias("confidence"))
+    form = form_words(spark, folder)
+    words = form.withColumn("conf", 45 + (F.col("pos").cast("long") * 37 + F.col("page_id") * 101) % 55)
+    merged = extraction.merge_positional(typed, layout.positional_fields(form), words)
+    return merged.select("page_id", "field_key", "value", "confidence")
 
 
 # --- regions ---------------------------------------------------------------------

@@ -143,25 +143,54 @@ def signature_reference_lookup(spark, folder):
     return rows.select("vendor_id", usable_reference(F.col("signature_embedding")).isNotNull().alias("has_reference"))
 
 
+#: What the views of vendors lack of a declared profile, as expressions that both
+#: engines read.
+_DECLARED = {
+    "trade_name": "CASE WHEN vendor_id % 19 = 0 THEN repeat('x', 151) ELSE 'Store ' || CAST(vendor_id AS STRING) END",
+    "business_permit_number": "CASE WHEN vendor_id % 8 = 0 THEN NULL ELSE 'BP-' || CAST(vendor_id AS STRING) END",
+    "nature_of_business": "CASE WHEN vendor_id % 10 = 0 THEN '  ' ELSE company_name END",
+    "first_name": "CASE WHEN vendor_id % 12 = 0 THEN '' ELSE business_city END", "middle_name": "CASE WHEN vendor_id % 2 = 0 THEN NULL ELSE repeat('m', CAST(vendor_id % 103 AS INT)) END",
+    "last_name": "CASE WHEN vendor_id % 14 = 0 THEN repeat('n', 101) ELSE company_name END", "suffix": "CASE WHEN vendor_id % 15 = 0 THEN repeat('s', 21) ELSE NULL END",
+    "date_of_birth": """CASE vendor_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN '2024-06-30' WHEN 3 THEN '2024-07-01' ELSE '1980-02-03' END""",
+    "gender": "CASE vendor_id % 5 WHEN 0 THEN 'male' WHEN 1 THEN 'female' WHEN 2 THEN 'other' WHEN 3 THEN '' ELSE NULL END",
+    "contact_number": "CASE WHEN vendor_id % 16 = 0 THEN repeat('9', 21) ELSE CAST(vendor_id AS STRING) END",
+    "government_id_type": "CASE vendor_id % 4 WHEN 0 THEN 'passport' WHEN 1 THEN 'library_card' WHEN 2 THEN 'tin_id' ELSE NULL END",
+    "government_id_number": "CASE WHEN vendor_id % 18 = 0 THEN repeat('8', 61) ELSE tin END",
+    "home_address": "CASE WHEN vendor_id % 21 = 0 THEN repeat('h', 501) WHEN vendor_id % 22 = 0 THEN NULL ELSE business_street END",
+}
+
+
 def _faults_sql() -> str:
+    """The rules in plain words of SQL; no constant is shared with the operator."""
     arms = []
-    for name, required, longest in accounts.PROFILE_RULES:
+    for name, required, longest in (
+            ("company_name", 1, 150), ("trade_name", 0, 150), ("business_entity_type", 1, 0), ("tin", 1, 20), ("dti_registration_number", 0, 50), ("sec_registration_number", 0, 50),
+            ("business_permit_number", 1, 50), ("nature_of_business", 1, 150), ("business_street", 1, 255), ("business_barangay", 1, 120), ("business_city", 1, 120), ("business_province", 1, 120),
+            ("business_postal_code", 1, 10), ("first_name", 1, 100), ("middle_name", 0, 100), ("last_name", 1, 100), ("suffix", 0, 20), ("date_of_birth", 1, 0), ("gender", 1, 0),
+            ("contact_number", 1, 20), ("government_id_type", 1, 0), ("government_id_number", 1, 60), ("home_address", 1, 500)):
         if required:
             arms.append(f"CASE WHEN {name} IS NULL OR trim({name}) = '' THEN '{name}:required' END")
         if longest:
             arms.append(f"CASE WHEN length({name}) > {longest} THEN '{name}:too_long' END")
+    arms.append("CASE WHEN business_entity_type NOT IN ('sole_proprietorship', 'partnership', 'corporation') THEN 'business_entity_type:unknown' END")
     arms.append("CASE WHEN length(regexp_replace(tin, '[^0-9]', '', 'g')) NOT IN (9, 12, 13, 14) THEN 'tin:format' END")
-    for name, kinds in accounts.NUMBER_NEEDED.items():
-        members = ", ".join(quoted(k) for k in kinds)
+    arms.append("CASE WHEN trim(date_of_birth) <> '' AND try_cast(date_of_birth AS DATE) IS NULL THEN 'date_of_birth:not_a_date' END")
+    arms.append("CASE WHEN try_cast(date_of_birth AS DATE) >= DATE '2024-07-01' THEN 'date_of_birth:not_before_today' END")
+    arms.append("CASE WHEN trim(gender) <> '' AND gender NOT IN ('male', 'female') THEN 'gender:unknown' END")
+    arms.append("""CASE WHEN trim(government_id_type) <> '' AND government_id_type NOT IN ('national_id', 'drivers_license', 'passport', 'umid', 'sss_id', 'philhealth_id', 'postal_id', 'prc_id', 'voters_id', 'tin_id')
+        THEN 'government_id_type:unknown' END""")
+    for name, members in (("dti_registration_number", "'sole_proprietorship'"), ("sec_registration_number", "'partnership', 'corporation'")):
         arms.append(f"CASE WHEN business_entity_type IN ({members}) AND coalesce({name}, '') = '' THEN '{name}:required_for_entity' END")
         arms.append(f"""CASE WHEN coalesce({name}, '') <> '' AND NOT (length(regexp_replace({name}, '[^0-9]', '', 'g')) >= 5
                         AND regexp_matches(trim({name}), '^[A-Za-z0-9/-]+$')) THEN '{name}:format' END""")
     return "array_to_string(list_filter([" + ", ".join(arms) + "], lambda x: x IS NOT NULL), '; ')"
 
 
-@query("profile_faults", "B9 B10 C14", with_views(f"SELECT vendor_id, {_faults_sql()} AS faults FROM vendors", "vendors"))
+@query("profile_faults", "B9 B10 C14", with_views(
+    f"SELECT vendor_id, {_faults_sql()} AS faults FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _DECLARED.items())} FROM vendors)", "vendors"))
 def profile_faults(spark, folder):
-    return D.vendors(spark, folder).select("vendor_id", F.array_join(accounts.profile_faults(), "; ").alias("faults"))
+    rows = D.vendors(spark, folder).withColumns({k: F.expr(v) for k, v in _DECLARED.items()})
+    return rows.select("vendor_id", F.array_join(accounts.profile_faults(F.lit("2024-07-01").cast("date")), "; ").alias("faults"))
 
 
 @query("declared_tin_matches", "D16", with_views(
@@ -348,8 +377,7 @@ def attempt_history(spark, folder):
        FULL JOIN (SELECT document_id, text_score, stamp_score FROM documents WHERE attempts > 1) d ON d.document_id = b.document_id""", "attempts", "documents"))
 def rerun_upsert(spark, folder):
     """First attempts, then the rerun; a stamp not read again keeps its value."""
-    first = D.attempts(spark, folder).groupBy("document_id").agg(F.min_by(F.struct("text_score", "stamp_score"), "attempt_order").alias("r"))
-    base = first.select("document_id", "r.*")
+    base = D.attempts(spark, folder).groupBy("document_id").agg(*[F.min_by(c, "attempt_order").alias(c) for c in ("text_score", "stamp_score")])
     delta = D.documents(spark, folder).where(F.col("attempts") > 1).select("document_id", "text_score", "stamp_score")
     return mutate.upsert_keeping(base, delta, ["document_id"], keep=["stamp_score"])
 

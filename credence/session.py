@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "credence", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
     """A session with the settings the operators assume; on a cluster the
-    submitted configuration wins for master, memory and partition counts."""
+    submitted configuration wins for master, memory and partition counts. ``shared`` is
+    the checkpoint folder of a test or a bench run, whose caller removes it."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,6 +22,8 @@ def build_session(app: str = "credence", master: str | None = None,
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
