@@ -12,7 +12,8 @@ from credence.operators import datasets, forensics, verify
 from credence.plans import domain as D
 from credence.plans.domain_sql import with_views
 from credence.plans.page_queries import pages, sql as page_sql
-from credence.plans.registry import query
+from credence.plans import text_queries  # noqa: F401 - the identifier checks
+from credence.plans.registry import QUERIES, STATEMENTS, query
 
 
 def vectors(spark, folder):
@@ -340,7 +341,32 @@ def nearest_descriptors(spark, folder):
          SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY votes DESC, ox, oy) AS rn FROM votes) GROUP BY 1) USING (page_id))""", _POINTS))
 def clone_scores(spark, folder):
     points = keypoints(spark, folder)
-    return forensics.clone_scores(points, forensics.offset_votes(forensics.nearest_descriptors(points)))
+    return forensics.clone_scores(points, forensics.offset_votes(forensics.nearest_descriptors(points))).drop("ox", "oy")
+
+
+_CLONED = """SELECT page_id, v1, ox, oy FROM (SELECT page_id, count(*) AS points FROM points GROUP BY 1) JOIN (SELECT page_id, max(votes) FILTER (rn = 1) AS v1, max(votes) FILTER (rn = 2) AS v2,
+    max(ox) FILTER (rn = 1) AS ox, max(oy) FILTER (rn = 1) AS oy, count(*) FILTER (votes >= 12) AS competing FROM (
+    SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY votes DESC, ox, oy) AS rn FROM votes) GROUP BY 1) USING (page_id)
+    WHERE points >= 24 AND v1 >= 12 AND NOT (competing >= 3 OR v1 < 2 * coalesce(v2, 0))"""
+
+
+@query("font_flags", "E32", with_views("""SELECT page_id, pos, 'Font mismatch on field ' || CASE WHEN contains(text, chr(39)) AND NOT contains(text, '"') THEN '"' || replace(text, chr(92), chr(92) || chr(92)) || '"'
+    ELSE chr(39) || replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) END || ' (' || metric || ')' AS flag FROM lone""", extra=_FONT))
+def font_flags(spark, folder):
+    return forensics.font_flags(forensics.font_outliers(words(spark, folder)))
+
+
+@query("error_flags", "E33", _reach_sql(
+    """SELECT page_id, CAST(pos AS INTEGER) AS pos, 'ELA: anomalous compression region at [' || x0 * 16 || ', ' || y0 * 16 || ', ' || (x1 - x0 + 1) * 16 || ', ' || (y1 - y0 + 1) * 16 || ']' AS flag
+       FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY comp) - 1 AS pos FROM regions) WHERE pos < 4"""))
+def error_flags(spark, folder):
+    return forensics.error_flags(forensics.error_regions(forensics.cell_components(forensics.hot_cells(cells(spark, folder)))))
+
+
+@query("clone_flags", "E31", page_sql("SELECT page_id, 0 AS pos, 'Copy-move: ' || v1 || ' cloned keypoints at offset [' || ox || ', ' || oy || ']' AS flag FROM cloned", {**_POINTS, "cloned": _CLONED}))
+def clone_flags(spark, folder):
+    points = keypoints(spark, folder)
+    return forensics.clone_flags(forensics.clone_scores(points, forensics.offset_votes(forensics.nearest_descriptors(points))))
 
 
 @query("metadata_checks", "B12 E34 G10", with_views(
@@ -367,3 +393,28 @@ def metadata_checks(spark, folder):
         modified.alias("modify_date"), issued.alias("issue_date"))
     rows = forensics.metadata_checks(files)
     return rows.select("document_id", "score", "editor", F.array_join("flags", "; ").alias("flags"))
+
+def _document_tamper_sql() -> str:
+    techniques = {"metadata": 0.2, "ela": 0.25, "copy_move": 0.25, "font": 0.15, "cross_reference": 0.15}
+    num = " + ".join(f"CASE WHEN {n}_ IS NULL THEN 0.0::DOUBLE ELSE {w}::DOUBLE * (1.0::DOUBLE - {n}_) END" for n, w in techniques.items())
+    den = " + ".join(f"CASE WHEN {n}_ IS NULL THEN 0.0::DOUBLE ELSE {w}::DOUBLE END" for n, w in techniques.items())
+    r4 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(20,9)), 4) AS DOUBLE)"
+    part = lambda name, key, n: f"LEFT JOIN (SELECT {key} AS doc_id, score AS {n}_ FROM ({STATEMENTS[name]})) USING (doc_id)"
+    return f"""SELECT doc_id, {r4('t')} AS tamper_score, {r4('1.0 - t')} AS tamper_authenticity, {r4('s')} AS tamper_confidence, round(s, 9) >= 0.8 AS hard_flag,
+        round(1.0 - t, 9) >= 0.5 AND NOT round(s, 9) >= 0.8 AS tamper_passed FROM (
+        SELECT *, CASE WHEN {den} > 0 THEN ({num}) / ({den}) ELSE 0 END AS t, greatest(0, coalesce(1.0::DOUBLE - metadata_, 0), coalesce(1.0::DOUBLE - copy_move_, 0)) AS s FROM (
+        SELECT * FROM (SELECT doc_id FROM documents) {part("metadata_checks", "document_id", "metadata")} {part("error_scores", "page_id", "ela")} {part("clone_scores", "page_id", "copy_move")}
+        {part("font_scores", "page_id", "font")} {part("identifier_checks", "-page_id - 1", "cross_reference")}))"""
+
+
+@query("document_tamper", "E19 E31 E32 E33 E34 E35", _document_tamper_sql())
+def document_tamper(spark, folder):
+    """The verdict of every document over the results of all five techniques, joined
+    on its id; a technique without a result for it is left out of the blend."""
+    results = {"metadata": ("metadata_checks", F.col("document_id")), "ela": ("error_scores", F.col("page_id")), "copy_move": ("clone_scores", F.col("page_id")),
+               "font": ("font_scores", F.col("page_id")), "cross_reference": ("identifier_checks", -F.col("page_id") - 1)}
+    rows = D.table(spark, folder, "documents").select("doc_id")
+    for technique, (name, key) in results.items():
+        rows = rows.join(QUERIES[name](spark, folder).select(key.alias("doc_id"), F.col("score").alias(f"{technique}_")), "doc_id", "left")
+    verdicts = forensics.blend(rows, {n: F.col(f"{n}_") for n in results})
+    return verdicts.select("doc_id", "tamper_score", "tamper_authenticity", "tamper_confidence", "hard_flag", "tamper_passed")
