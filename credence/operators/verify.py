@@ -88,6 +88,24 @@ def verify_stamps(samples: DataFrame, threshold: float = V.STAMP_SIMILARITY) ->
         "match": F.coalesce(F.col("similarity_score") >= threshold, F.lit(False))})
 
 
+def class_gap(samples: DataFrame) -> tuple[Column, Column]:
+    """Weights and bias of the line halfway between the mean vectors of two classes,
+    as scalar subqueries over samples (vector, label 1 or 0): one number per
+    component, whatever the number of samples."""
+    parts = samples.select("label", F.posexplode("vector").alias("i", "x")).groupBy("i").agg(
+        F.avg(F.when(F.col("label") == 1, F.col("x"))).alias("one"), F.avg(F.when(F.col("label") == 0, F.col("x"))).alias("zero"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", (F.col("one") - F.col("zero")).alias("w"))))
+    weights = parts.agg(F.transform(ordered, lambda s: s["w"]).alias("weights")).scalar()
+    bias = parts.agg((F.sum(F.col("zero") * F.col("zero") - F.col("one") * F.col("one")) / 2).alias("bias")).scalar()
+    return weights, bias
+
+
+def logistic_score(vector: Column, weights: Column, bias: Column, steepness: float = 1.0) -> Column:
+    """Probability of class 1 from a linear model with given coefficients."""
+    dot = F.aggregate(F.zip_with(vector, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-steepness * (dot + bias)))
+
+
 def texture_verdict(genuine: Column, threshold: float = 0.5) -> Column:
     return genuine < threshold
 

@@ -34,17 +34,6 @@ def retry_ledger(spark, folder):
     return rows.withColumn("due_at", stamp(F.col("due_at")))
 
 
-@query("stream_retries", "J3", with_views(_LEDGER, extra={"outcomes": _OUTCOMES}))
-def stream_retries(spark, folder):
-    """The stateful form over the event table as a stream."""
-    root = jobs.work_folder(spark, "retries")
-    events = jobs.table_stream(spark, folder, "events", D.table(spark, folder, "events").schema)
-    with jobs.rocksdb_state(spark):
-        decisions = jobs.retry_decisions(_outcomes(events).withColumn("ts", F.col("ts").cast("timestamp")))
-        jobs.run_available(decisions, lambda batch, n: jobs.write_batch(batch, os.path.join(root, "out"), n), root)
-    return jobs.read_batches(spark, os.path.join(root, "out")).drop("batch").withColumn("due_at", stamp(F.col("due_at")))
-
-
 @query("stream_activity", "C7 J6", """
     SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, action, count(*) AS events FROM (
       SELECT event_type AS action, date_trunc('day', ts) + to_hours(CAST(hour(ts) // 6 * 6 AS INTEGER)) - to_hours(CAST(6 * i AS INTEGER)) AS w FROM events, range(4) g(i)) GROUP BY 1, 2""")
@@ -90,18 +79,3 @@ def stream_barrier(spark, folder):
     arriving = jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema, files_per_trigger=2)
     jobs.finish_submissions(arriving, root)
     return jobs.read_batches(spark, os.path.join(root, "emitted")).select("submission_id", "composite_risk_score")
-
-
-@query("stream_unique_jobs", "J2", """
-    WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
-    run(user_id, i, since, started) AS (SELECT user_id, i, ts, TRUE FROM e WHERE i = 1 UNION ALL
-      SELECT e.user_id, e.i, CASE WHEN e.ts - r.since >= INTERVAL 420 SECOND THEN e.ts ELSE r.since END, e.ts - r.since >= INTERVAL 420 SECOND
-      FROM run r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-    SELECT user_id AS document_id, strftime(since, '%Y-%m-%d %H:%M:%S') AS started_at FROM run WHERE started""")
-def stream_unique_jobs(spark, folder):
-    root = jobs.work_folder(spark, "unique")
-    events = jobs.table_stream(spark, folder, "events", D.table(spark, folder, "events").schema)
-    with jobs.rocksdb_state(spark):
-        rows = jobs.unique_jobs(events.withColumnRenamed("user_id", "document_id"))
-        jobs.run_available(rows, lambda batch, n: jobs.write_batch(batch, os.path.join(root, "out"), n), root)
-    return jobs.read_batches(spark, os.path.join(root, "out")).select("document_id", stamp(F.col("ts")).alias("started_at"))

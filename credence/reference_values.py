@@ -204,4 +204,4 @@ RETENTION = [
     ("notifications", "notification", 365, False, None, True, 365, True),
 ]
 # --- queue -----------------------------------------------------------------
-MAX_TRIES, BACKOFF_SECONDS, UNIQUE_SECONDS = 3, (10, 30, 60), 420
+MAX_TRIES, BACKOFF_SECONDS = 3, (10, 30, 60)

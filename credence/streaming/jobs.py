@@ -5,18 +5,14 @@ a restart after a lost executor or driver repeats no effect."""
 
 from __future__ import annotations
 
-import contextlib
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from credence import reference_values as V
 from credence.operators import rollup
 from credence.operators.mutate import latest_by_key
 from credence.session import ensure_checkpoint_dir
@@ -54,20 +50,10 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], roo
 
 # --- scoring -------------------------------------------------------------------
 def score_pages(stream: DataFrame, root: str) -> None:
-    """Document class results kept up to date as pages arrive.
-
-    A batch stores its pages, then re-scores the documents it touched from all
-    of their stored pages with the same rollup the batch job uses."""
-    pages_at, results_at = os.path.join(root, "pages"), os.path.join(root, "results")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(batch, pages_at, batch_id)
-        stored = read_batches(spark, pages_at).where(F.col("batch") <= batch_id).drop("batch")
-        touched = spark.read.parquet(os.path.join(pages_at, f"batch={batch_id}")).select("document_id").distinct()
-        write_batch(rollup.classification_rollup(stored.join(touched, "document_id", "left_semi")), results_at, batch_id)
-
-    run_available(stream, each, root)
+    """Document class results kept up to date as pages arrive: the batch job's own
+    rollup, held as one running aggregate per document. A batch touches only the
+    documents it brings, in whatever order they come."""
+    run_available(rollup.classification_rollup(stream), lambda batch, n: write_batch(batch, os.path.join(root, "results"), n), root, mode="update")
 
 
 def scored_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -75,95 +61,6 @@ def scored_documents(spark: SparkSession, root: str) -> DataFrame:
     return latest_by_key(read_batches(spark, os.path.join(root, "results")), ["document_id"], ["batch"]).drop("batch")
 
 
-# --- one active job per document --------------------------------------------------
-class UniqueJobProcessor(StatefulProcessor):
-    """Keeps the start of a document's running job."""
-
-    def __init__(self, seconds: int) -> None:
-        self._seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._since = handle.getValueState("since", "ts timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stamps = pd.concat([chunk["ts"] for chunk in rows]).sort_values()
-        since = pd.Timestamp(self._since.get()[0]) if self._since.exists() else None
-        started = []
-        for ts in stamps:
-            if since is None or (ts - since).total_seconds() >= self._seconds:
-                since = ts
-                started.append(ts)
-        if started:
-            self._since.update((since.to_pydatetime(),))
-        yield pd.DataFrame({"document_id": [key[0]] * len(started), "ts": pd.Series(started, dtype="datetime64[us]")})
-
-    def close(self) -> None:
-        pass
-
-
-def unique_jobs(stream: DataFrame, seconds: int = V.UNIQUE_SECONDS) -> DataFrame:
-    """Requests that start a job: those that come at least ``seconds`` after the
-    last start for the same document. The state of a document is one time; the
-    rows of a micro-batch are limited by the source's trigger options. Needs the
-    RocksDB state store."""
-    timed = stream.select("document_id", F.col("ts").cast("timestamp").alias("ts"))
-    return timed.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=UniqueJobProcessor(seconds), outputStructType="document_id long, ts timestamp", outputMode="Append", timeMode="None")
-
-
-# --- retries -----------------------------------------------------------------------
-RETRY_SCHEMA = "document_id long, event_id long, attempt int, action string, due_at timestamp, flag string"
-
-
-class RetryProcessor(StatefulProcessor):
-    """Counts the attempts of a document's current job."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tries = handle.getValueState("tries", "n int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunk = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        tries = self._tries.get()[0] if self._tries.exists() else 0
-        out = []
-        for event_id, ts, outcome in zip(chunk["event_id"], chunk["ts"], chunk["outcome"]):
-            tries += 1
-            exhausted = outcome == "retryable" and tries >= V.MAX_TRIES
-            action = "done" if outcome == "ok" else "failed" if exhausted or outcome == "terminal" else "retry"
-            due = ts + pd.Timedelta(seconds=V.BACKOFF_SECONDS[tries - 1]) if action == "retry" else pd.NaT
-            flag = "pipeline_exhausted" if exhausted else "pipeline_request_failed" if outcome == "terminal" else None
-            out.append((key[0], event_id, tries, action, due, flag))
-            if action != "retry":
-                tries = 0
-        if tries:
-            self._tries.update((tries,))
-        else:
-            self._tries.clear()
-        frame = pd.DataFrame(out, columns=["document_id", "event_id", "attempt", "action", "due_at", "flag"])
-        yield frame.astype({"attempt": "int32", "due_at": "datetime64[us]"})
-
-    def close(self) -> None:
-        pass
-
-
-def retry_decisions(stream: DataFrame) -> DataFrame:
-    """The retry ledger as a stateful stream; the state of a document is one
-    number. Needs the RocksDB state store."""
-    return stream.groupBy("document_id").transformWithStateInPandas(
-        statefulProcessor=RetryProcessor(), outputStructType=RETRY_SCHEMA, outputMode="Append", timeMode="None")
-
-
-@contextlib.contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Run a stateful stream on the RocksDB store, then restore the setting."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 # --- submission barrier -----------------------------------------------------------
 def finish_submissions(stream: DataFrame, root: str) -> None:
     """Emit each submission once, when all its documents are terminal.
@@ -192,7 +89,9 @@ def finish_submissions(stream: DataFrame, root: str) -> None:
 
 
 # --- activity ------------------------------------------------------------------------
-def activity_counts(stream: DataFrame, window: str = "24 hours", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Events per action in sliding windows; later than ``late`` is dropped."""
+def activity_counts(stream: DataFrame, window: str = "24 hours", slide: str = "6 hours", late: str | None = None) -> DataFrame:
+    """Events per action in sliding windows. All rows count, in any order; a caller
+    that must bound the state names how ``late`` a row may come."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "action").agg(F.count("*").alias("events"))
+    held = timed if late is None else timed.withWatermark("ts", late)
+    return held.groupBy(F.window("ts", window, slide), "action").agg(F.count("*").alias("events"))

@@ -195,3 +195,26 @@ def test_skewed_vendor_gives_the_same_result_for_any_partitioning(spark):
     u = [np.array(v) / np.linalg.norm(v) for v in big]
     wanted = np.mean([a @ b for a, b in itertools.combinations(u, 2)])
     assert abs(dict((k, c) for k, _, c in runs[0])[0] - wanted) < 1e-8
+
+
+def test_line_between_classes(spark):
+    rows = spark.sql("SELECT id, transform(array(id % 2, 1 - id % 2, 0.5), x -> CAST(x AS DOUBLE)) AS vector, CAST(id % 2 AS INT) AS label FROM range(20)")
+    weights, bias = verify.class_gap(rows)
+    scored = rows.withColumns({"w": weights, "b": bias}).withColumn("p", verify.logistic_score(F.col("vector"), F.col("w"), F.col("b")))
+    assert all((r.p > 0.5) == (r.label == 1) for r in scored.collect())
+
+
+def test_national_issuer_falls_back_to_the_single_reference(spark):
+    documents = spark.sql("SELECT * FROM VALUES (1, 6, 'national', null), (2, 7, 'national', null), (3, 5, 'lgu', 'Here'), (4, 6, 'lgu', 'Here') t(d, document_type_id, issuer_scope, city)")
+    held = spark.sql("SELECT 7 AS document_type_id, '' AS city, 70 AS reference_id, array(1.0D) AS feature_vector")
+    single = spark.sql("SELECT 6 AS document_type_id, 60 AS reference_id, array(2.0D) AS feature_vector UNION ALL SELECT 7, 71, array(3.0D) UNION ALL SELECT 5, 50, array(4.0D)")
+    got = {r.d: (r.reference_id, r.reason) for r in verify.resolve_issuer(documents, held, single).collect()}
+    assert got == {1: (60, None), 2: (70, None), 3: (None, "unreferenced_logo"), 4: (None, "unreferenced_logo")}
+
+
+def test_flags_of_techniques(spark):
+    words = spark.sql(r"""SELECT * FROM VALUES (1, 3, "it's", 'height'), (1, 4, 'say "x"', 'spacing'), (1, 5, 'back\\slash', 'height'), (1, 6, "b'o\"th", 'height') t(page_id, pos, text, metric)""")
+    got = {r.pos: r.flag for r in forensics.font_flags(words).collect()}
+    assert got == {r.pos: f"Font mismatch on field {r.text!r} ({r.metric})" for r in words.collect()}
+    regions = spark.sql("SELECT 1 AS page_id, id AS comp, 4 AS blocks, id * 16 AS x, 0 AS y, 32 AS w, 16 AS h FROM range(6)")
+    assert [r.flag for r in forensics.error_flags(regions).orderBy("pos").collect()] == [f"ELA: anomalous compression region at [{i * 16}, 0, 32, 16]" for i in range(4)]

@@ -131,3 +131,8 @@ def test_files_from_disk(spark, tmp_path):
     rois = {(r.template, r.city, r.field_key): r.w for r in intake.read_roi_config(spark, str(tmp_path / "roi.json")).collect()}
     assert rois == {("bir", "", "tin"): 0.3, ("business_permit", "digos", "trade_name"): 1.0}
     assert intake.read_uploads(spark, str(tmp_path / "roi.json")).first()["filename"] == "roi.json"
+
+
+def test_sizes_round_half_up(one):
+    assert one(formatting.byte_size(F.lit(1280))) == "1.3 KB"
+    assert one(formatting.byte_size(F.lit(1_048_575))) == "1,024.0 KB"

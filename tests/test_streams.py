@@ -19,7 +19,7 @@ def test_scoring_over_batches_equals_batch(spark, tmp_path):
     stream = jobs.table_stream(spark, source, "part-", rows.schema, files_per_trigger=2)
     root = str(tmp_path / "work")
     jobs.score_pages(stream, root)
-    assert spark.read.parquet(os.path.join(root, "pages")).select("batch").distinct().count() == 3
+    assert spark.read.parquet(os.path.join(root, "results")).select("batch").distinct().count() == 3
     key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert key(jobs.scored_documents(spark, root)) == key(rollup.classification_rollup(rows))
 
@@ -39,17 +39,15 @@ def test_barrier_emits_each_submission_once(spark, tmp_path):
     assert run() == [(1, 70.0), (2, 9.0), (3, None)]
 
 
-def test_unique_jobs_drop_repeats_within_the_lock(spark, tmp_path):
+def test_activity_counts_late_rows(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "work")
-    frames = [["2024-01-01 00:00:00"], ["2024-01-01 00:06:00", "2024-01-01 00:07:30"], ["2024-01-01 00:08:00"], ["2024-01-01 00:31:00"]]
-    for i, stamps in enumerate(frames):
-        rows = [(1, s) for s in stamps]
-        spark.createDataFrame(rows, "document_id long, t string").select("document_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+    for day in (5, 1, 9, 1):
+        spark.sql(f"SELECT TIMESTAMP'2024-01-0{day} 07:00:00' AS ts, 'view' AS action").coalesce(1).write.mode("append").parquet(source)
     stream = jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema, files_per_trigger=1)
-    with jobs.rocksdb_state(spark):
-        jobs.run_available(jobs.unique_jobs(stream), lambda b, n: jobs.write_batch(b, os.path.join(root, "out"), n), root)
-    kept = sorted(str(r.ts) for r in jobs.read_batches(spark, os.path.join(root, "out")).collect())
-    assert kept == ["2024-01-01 00:00:00", "2024-01-01 00:07:30", "2024-01-01 00:31:00"]
+    counts = jobs.activity_counts(stream).select(F.col("window.start").alias("w"), "action", "events")
+    jobs.run_available(counts, lambda b, n: jobs.write_batch(b, os.path.join(root, "out"), n), root, mode="update")
+    last = jobs.latest_by_key(jobs.read_batches(spark, os.path.join(root, "out")), ["w", "action"], ["batch"])
+    assert sorted(r.events for r in last.collect()) == [1] * 8 + [2] * 4
 
 
 def test_sinks_append_and_version(spark, tmp_path):
