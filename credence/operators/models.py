@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions.arrays import compact, flag_if
@@ -24,9 +24,10 @@ def sync(registry: DataFrame, inventory: DataFrame, with_hash: bool = False) ->
                          checksum.alias("checksum_sha256"))
 
 
-def sync_counts(synced: DataFrame) -> DataFrame:
+def sync_counts(synced: DataFrame, *more: Column) -> DataFrame:
+    """Files looked for, found and missing, and what else the caller asks for."""
     return synced.agg(F.count("*").alias("scanned"), F.count_if("found").alias("found"),
-                      F.count_if(~F.col("found")).alias("missing"))
+                      F.count_if(~F.col("found")).alias("missing"), *more)
 
 
 def file_inventory(files: DataFrame) -> DataFrame:
