@@ -195,7 +195,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = DOCUMENTS_PER_LANGUA
     of what reaches the driver, which is counts of byte windows only."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of_lang"))
-    picked = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)) * F.col("rows_of_lang") < per_language * SPREAD)
+    # one row per language, as many as the model has columns
+    picked = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)) * F.col("rows_of_lang") < per_language * SPREAD)
     found = counted(picked).toArrow()
     lang, gram, n = (found.column(c).to_pylist() for c in ("lang", "gram", "n"))
     names = sorted(set(lang))
