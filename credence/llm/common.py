@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_LIBC = ctypes.CDLL(None)
 #: A-Z become a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words of a text: runs of anything but ASCII white space. ``bytes.split()``
@@ -63,6 +68,24 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on after a task, and
+    several share an executor's memory with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Batches, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back when they end."""
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return df.mapInArrow(tidy, schema)
+
+
 def per_text(docs: DataFrame, schema: str, names: list[str],
              make: Callable[[], Callable[[list[bytes | None]], list[list]]]) -> DataFrame:
     """Columns ``names`` computed from whole texts, next to ``doc_id``.
@@ -76,7 +99,7 @@ def per_text(docs: DataFrame, schema: str, names: list[str],
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             out = pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], ["doc_id", *names])
             yield out
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes | None]], np.ndarray]]) -> DataFrame:
@@ -88,4 +111,4 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[bytes | None]],
         step = make()
         for batch in slices(batches):
             yield batch.filter(pa.array(np.asarray(step(byte_column(batch, "text")), dtype=bool)))
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import byte_column, per_text, slices
+from credence.llm.common import byte_column, mapped, per_text, slices
 
 #: Phrases that always count, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -90,7 +90,7 @@ def frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[str, int]:
                     for word in known.intersection(line.split()):
                         counts[word] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in sorted(counts)]), pa.array([counts[w] for w in sorted(counts)], pa.int64())], ["word", "n"])
-    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = mapped(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word: r.n for r in rows.collect()}
 
 

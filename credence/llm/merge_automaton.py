@@ -30,14 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from credence.llm.common import byte_column, slices
+from credence.llm.common import byte_column, mapped, slices
 
 #: Stands for the end of a word inside the automaton; no byte symbol is mapped to it.
 END = "\x00"
 #: Fixed by the tokenizer file: how a normalised text is cut into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 #: A worker forgets what it has encoded once it holds this many runs or words.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -171,6 +171,11 @@ class TextEncoder(dict):
         self.table = dict(enumerate(byte_symbols()))
         self.words: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered; the automaton stays."""
+        self.clear()
+        self.words.clear()
+
     def _ids(self, symbols: str) -> list[int]:
         known = self.words.get(symbols)
         if known is None:
@@ -244,9 +249,10 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                 names.append("ids")
             arrays += [pa.array([hashlib.sha256(p).hexdigest() for p, _ in both]), pa.array([hashlib.sha256(s).hexdigest() for _, s in both])]
             yield pa.RecordBatch.from_arrays(arrays, [*names, "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     shape = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    return mapped(docs.select("doc_id", "text"), run, shape)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -261,4 +267,4 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             texts = [decode(ids or []).decode() for ids in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(texts, pa.string())], ["doc_id", "decoded"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+    return mapped(rows.select("doc_id", "ids"), run, "doc_id long, decoded string")

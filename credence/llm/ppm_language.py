@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import LOWER, byte_column, fold, keep_rows, per_text, slices
+from credence.llm.common import LOWER, byte_column, fold, keep_rows, mapped, per_text, slices
 
 #: What stands before the first byte of a text.
 LEAD = b"\n\n\n"
@@ -31,8 +31,10 @@ LEAD = b"\n\n\n"
 DOCUMENTS_PER_LANGUAGE = 400
 #: Times a context must have been met to become a node of the tree.
 LEAST_COUNT = 4
-#: Bytes scored at once.
-WINDOW = 1 << 20
+#: Bytes scored at once, and contexts worked out at once.
+WINDOW, CHUNK = 1 << 19, 2048
+#: Code lengths are held in 1024ths of a bit; a byte costs at most 64 bits.
+UNIT = 1024
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}").search
 SPREAD = 1 << 20
@@ -57,7 +59,7 @@ def counted(sample: DataFrame) -> DataFrame:
             for lang in sorted(set(langs)):
                 keys, n = grams([t for t, other in zip(texts, langs, strict=True) if other == lang])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-    return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return mapped(sample.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class ContextTrees:
@@ -78,17 +80,23 @@ class ContextTrees:
             levels.append(seen[np.bincount(at, self.n, len(seen)) >= self.least])
         count = len(self.languages)
         starts = np.cumsum([0, *(len(level) for level in levels)])
-        costs = np.zeros((int(starts[-1]), 256, count), np.float32)
+        costs = np.zeros((int(starts[-1]), 256, count), np.uint16)
         for language in range(count):
             mine = self.lang == language
             above_cost = above_rest = above_n = None
             for size, contexts in enumerate(levels):
-                n = self._dense(key[mine], self.n[mine], size, contexts)
                 parent = np.zeros(1, np.int64) if size == 0 else np.searchsorted(levels[size - 1], contexts & ((1 << 8 * (size - 1)) - 1))
-                cost, rest = self._level(n, parent, above_n, above_cost, above_rest)
-                costs[starts[size]:starts[size + 1], :, language] = cost
-                above_n, above_cost, above_rest = n, cost, rest
-        self.costs = costs.reshape(-1, count)
+                parts = []
+                for begin in range(0, len(contexts), CHUNK):
+                    some = slice(begin, begin + CHUNK)
+                    n = self._dense(key[mine], self.n[mine], size, contexts[some])
+                    cost, rest = self._level(n, parent[some], above_n, above_cost, above_rest)
+                    costs[starts[size] + begin:starts[size] + begin + len(n), :, language] = np.minimum(np.rint(cost * UNIT), 65535)
+                    if size < 3:  # nothing stands below the longest contexts
+                        parts.append((n, cost, rest))
+                if parts:
+                    above_n, above_cost, above_rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.costs = costs.reshape(costs.shape[0] * 256, count)
         self.starts = starts.astype(np.int32)
         self.second = np.full(65536, -1, np.int32)
         self.second[levels[2]] = np.arange(len(levels[2]), dtype=np.int32) + self.starts[2]
@@ -153,7 +161,7 @@ class ContextTrees:
             lead = np.arange(begin, stop) - (ends - lengths)[owner] < 3
             cost[lead] = 0
             first, at = np.unique(owner, return_index=True)
-            out[first] += np.add.reduceat(cost, at, axis=0, dtype=np.float64)
+            out[first] += np.add.reduceat(cost, at, axis=0, dtype=np.int64) / UNIT
         return out
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float], list[float]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import byte_column, keep_rows, per_text, slices
+from credence.llm.common import byte_column, keep_rows, mapped, per_text, slices
 
 CATEGORIES = ("severe", "mild", "toxic")
 #: Lengths in bytes of the word beginnings that count as features.
@@ -33,7 +33,7 @@ BEGINNINGS = (4, 5, 6)
 #: and the least likelihood ratio (G squared) between the classes.
 MOST_FEATURES, LEAST_DOCUMENTS, LEAST_RATIO = 4096, 4, 25.0
 STEPS, RATE, RIDGE = 300, 0.3, 1e-4
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: ASCII punctuation and white space end a word; A-Z become a-z.
 _CUT = bytes(32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -59,7 +59,7 @@ def counted(sample: DataFrame) -> DataFrame:
         for start in range(0, len(names), 50_000):
             some = names[start:start + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array([counts[c][f] for f in some], pa.int64()) for c in (1, 0))], ["feature", "ones", "zeros"])
-    return sample.select("text", "label").mapInArrow(run, "feature binary, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    return mapped(sample.select("text", "label"), run, "feature binary, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
 class Chain:
@@ -178,7 +178,7 @@ def fit(sample: DataFrame, most_features: int = MOST_FEATURES) -> bytes:
         for batch in slices(batches):
             rest = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "label", "part")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([own.present(t) for t in byte_column(batch, "text")], pa.list_(pa.int32()))], ["doc_id", "label", "part", "found"])
-    rows = sample.mapInArrow(run, "doc_id long, label int, part int, found array<int>").orderBy("doc_id", "found").toArrow()
+    rows = mapped(sample, run, "doc_id long, label int, part int, found array<int>").orderBy("doc_id", "found").toArrow()
     found = rows.column("found").to_pylist()
     label, part = (rows.column(c).to_numpy().astype(int) for c in ("label", "part"))
     sparse, width = Sparse(found), len(names)
