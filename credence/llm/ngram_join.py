@@ -34,16 +34,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import byte_column, durable, slices, words
+from credence.llm.common import byte_column, durable, mapped, slices, words
 from credence.llm.components import components
 
 N = 5
 SKETCH_BITS, BLOCK = 20, 4096
 PARTS = 512
-REMEMBERED = 400_000
+#: Prefix n-grams of a class before the present one that a candidate is compared on,
+#: so as not to be given again.
+RECENT = 8
+REMEMBERED = 150_000
 _SIGNS = [f"s{i}" for i in range(PARTS // 64)]
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -140,7 +143,7 @@ def described(docs: DataFrame) -> DataFrame:
         columns = [*[[None] * len(held)] * (3 + len(_SIGNS)), [part] * len(held), held, [_sparse(counts[b * BLOCK:(b + 1) * BLOCK]) for b in held]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
     shape = "doc_id long, n int, cls long, " + ", ".join(f"{s} long" for s in _SIGNS) + ", part int, block int, counts binary"
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    return mapped(docs.select("doc_id", "text"), run, shape)
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
@@ -182,7 +185,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 names.append(np.full(size, name))
                 places.append((n << 32) + np.arange(size))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, names, places)], ["key", "cls", "place"])
-    return docs.select("text").mapInArrow(run, "key long, cls long, place long")
+    return mapped(docs.select("text"), run, "key long, cls long, place long")
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -197,7 +200,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, ranks: np.ndarray) -> DataFr
             found = [(c, ordered(g, own).tobytes()) for c, g in zip(wanted, shingler.sets(byte_column(batch, "text")), strict=True) if class_of(g) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())], ["cls", "keys"])
     wanted = classes.select(F.col("rep").alias("doc_id"), "cls")
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text").mapInArrow(run, "cls long, keys binary")
+    return mapped(docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text"), run, "cls long, keys binary")
 
 
 def overlap(x: np.ndarray, y: np.ndarray, need: int) -> int:
@@ -231,7 +234,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64()))], ["a", "b", "common"])
     one = sets.select(F.col("cls").alias("a"), F.col("keys").alias("ka"))
     two = sets.select(F.col("cls").alias("b"), F.col("keys").alias("kb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, common long")
+    return mapped(pairs.select("a", "b").join(one, "a").join(two, "b"), run, "a long, b long, common long")
 
 
 def _fits(left: str, right: str):
@@ -276,9 +279,12 @@ class Join:
             split = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
             rows = rows.join(split, "key", "left_semi")
         rows = durable(rows.join(self.classes.select("cls", *_SIGNS), "cls").withColumn("n", F.shiftright("place", 32)).withColumn("at", F.col("place").bitwiseAND(F.lit((1 << 32) - 1))))
+        # a pair is given at its first shared n-gram: where both hold one of the last few before, it has been
+        last = Window.partitionBy("cls").orderBy("at").rowsBetween(-RECENT, -1)
+        rows = rows.withColumn("recent", F.collect_list("key").over(last))
         fits, need = _fits("x", "y")
         place = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1) >= need
-        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits & place
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits & place & ~F.arrays_overlap("x.recent", "y.recent")
         return rows.alias("x").join(rows.alias("y"), met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
     def roots(self) -> DataFrame:
