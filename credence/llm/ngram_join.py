@@ -12,13 +12,14 @@ Documents with equal sets form a class; the join is between classes.
 * **Length and positional filters** use the sizes and the places of the shared
   n-gram. **The suffix filter** splits the universe of n-grams into fixed parts by
   hash: wherever two sets' counts in a part differ, they hold different n-grams,
-  and the number of these has a bound. The parities of 512 counts are eight longs,
+  and the number of these has a bound. The parities of 1,024 counts are sixteen longs,
   compared inside the join; a second split, by each pair's own quartiles, precedes
   the exact count.
 * **Verification** of each remaining pair, once, from the whole sets.
 
 For components a group of near copies must not be spelled out in pairs. A first
-round compares every class of an n-gram's list only with the list's smallest class.
+round compares every class of an n-gram's list only with the two ends of the list
+(classes are random names).
 What is then in one component needs no more comparing; a second round joins what
 the lists hold from different components, with all filters.
 
@@ -42,7 +43,7 @@ from credence.llm.components import components
 
 N = 5
 SKETCH_BITS, BLOCK = 20, 4096
-PARTS = 512
+PARTS = 1024
 #: Prefix n-grams of a class before the present one that a candidate is compared on,
 #: so as not to be given again.
 RECENT = 8
@@ -98,7 +99,7 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
-    """512 bits: whether a part of the universe holds an odd number of the n-grams."""
+    """1,024 bits: whether a part of the universe holds an odd number of the n-grams."""
     part = (grams >> np.uint64(13)) % np.uint64(PARTS)
     return np.packbits((np.bincount(part.astype(np.int64), minlength=PARTS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -257,13 +258,15 @@ class Join:
         self.classes = durable(rows.where("block is null and n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"), *(F.min(s).alias(s) for s in _SIGNS)))
         entries = prefixes(docs, ranks)
-        shared = entries.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("key", "low")
+        shared = entries.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
         self.lists = durable(entries.join(shared, "key"))
         listed = self.lists.select("cls").distinct().join(self.classes, "cls").where("rep is not null")
         self.sets = durable(whole_sets(docs, listed.select("cls", "rep"), ranks))
 
-    def _with_low(self) -> DataFrame:
-        pairs = self.lists.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
+    def _with_ends(self) -> DataFrame:
+        """Candidates of every class and the first and last class of its lists."""
+        ends = self.lists.select("cls", F.explode(F.array("low", "high")).alias("end")).where("cls <> end")
+        pairs = ends.select(F.least("end", "cls").alias("a"), F.greatest("end", "cls").alias("b")).distinct()
         fits, _ = _fits("x", "y")
         return (pairs.join(self.classes.alias("x"), F.col("a") == F.col("x.cls")).join(self.classes.alias("y"), F.col("b") == F.col("y.cls"))
                 .where(fits).select("a", "b"))
@@ -289,9 +292,9 @@ class Join:
 
     def roots(self) -> DataFrame:
         """(node, root) of the classes that have a link."""
-        first = durable(self._with_low())
+        first = durable(self._with_ends())
         roots = components(verified(first, self.sets), "a", "b")
-        rest = self.pairs(roots).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        rest = self.pairs(roots).join(first, ["a", "b"], "left_anti")
         links = verified(rest, self.sets).select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         return components(links, "a", "b")
 

@@ -90,7 +90,7 @@ def test_a_large_group_of_near_copies_stays_linear(docs_of):
     join = ngram_join.Join(docs_of(rows))
     roots = join.roots()
     assert roots.select("root").distinct().count() == 1 and roots.count() == 400
-    assert join._with_low().count() < 400 * 20
+    assert join._with_ends().count() < 400 * 20
 
 
 def test_components_of_chains_and_loops(spark):
