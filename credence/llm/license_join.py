@@ -1,8 +1,12 @@
 """License scans: fixed phrases, and a set-similarity join of text blocks with
 license templates.
 
-A block is a line of a text, a template the set of words of a license notice. A
-block meets a template when it holds at least four fifths of the template's words.
+``identified`` knows the clauses of license bodies, their headers and usual notices.
+A block is any run of words, across lines, as long as the clause and a quarter; it
+meets the clause when it holds at least four fifths of its words, and the phrases
+that tell it from the clauses of other licenses. ``scanned`` is the plain join: a
+block is a line of any length, a template the set of words of one notice.
+
 The join orders words by their frequency in the whole corpus, rare ones first, and
 finds every such block:
 
@@ -12,12 +16,19 @@ finds every such block:
 * **position:** the words of both that come after the first shared one must be
   enough for the rest.
 
-Only words of templates can be shared, so frequencies are counted for these."""
+Only words of templates can be shared, so frequencies are counted for these. A run of
+words holds no more of a clause than its whole text does, so ``identified`` joins
+whole texts first and slides the window over the clauses left."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +50,131 @@ TEMPLATES = {
 }
 #: Share of a template's words a block must hold, in percent.
 CONTAINMENT = 80
+#: A window has a clause's words and this share more, in percent.
+SLACK = 25
 #: A-Z become a-z; ASCII bytes that are neither letters nor digits become spaces,
 #: line breaks a line feed.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _LINES = bytes(10 if b == 10 else c for b, c in enumerate(_WORDS))
 
 
+@dataclass(frozen=True)
+class Clause:
+    """A part of a license: its words, and the phrases that a block must hold."""
+
+    label: str
+    words: tuple[bytes, ...]
+    required: tuple[tuple[bytes, ...], ...] = ()
+
+    @classmethod
+    def of(cls, label: str, text: str, required: list[str] | tuple[str, ...] = ()) -> Clause:
+        cut = lambda t: tuple(t.encode().translate(_WORDS).split())
+        return cls(label, cut(text), tuple(cut(r) for r in required))
+
+    @property
+    def window(self) -> int:
+        return len(self.words) + -(-SLACK * len(self.words) // 100)
+
+
+def notices() -> list[Clause]:
+    """Usual wordings of one sentence; each requires the name, as the license that is
+    granted and not one that is spoken of, and the version."""
+    out = []
+    for text in ("Licensed under the Apache License, Version 2.0", "Released under the Apache License, Version 2.0"):
+        out.append(Clause.of("apache", text, ["under the apache license", "2 0"]))
+    for how in ("Released under", "Licensed under", "This project is licensed under", "Distributed under the terms of"):
+        tail = "terms of the" if how.endswith("terms of") else "under the"
+        out += [Clause.of(label, f"{how} the {name}", [f"{tail} {name.lower()}"]) for label, name in (
+            ("mit", "MIT License"), ("bsd", "BSD License"), ("bsd", "BSD 2 Clause License"), ("bsd", "BSD 3 Clause License"), ("bsd", "BSD 4 Clause License"), ("isc", "ISC License"))]
+        out += [Clause.of("mpl", f"{how} the Mozilla Public License, version {v}", [f"{tail} mozilla public license", v]) for v in ("1.1", "2.0")]
+        for label, kind, versions in (("gpl", "", "123"), ("lgpl", "Lesser ", ("2.1", "3")), ("lgpl", "Library ", "2"), ("agpl", "Affero ", "3")):
+            name = f"GNU {kind}General Public License"
+            out += [Clause.of(label, f"{how} the {name}, version {v}", [f"{tail} {name}", f"version {v}"]) for v in versions]
+    out.append(Clause.of("bsd", TEMPLATES["bsd"], ["redistribution and use"]))
+    out.append(Clause.of("mpl", TEMPLATES["mpl"], ["mozilla public license", "2 0"]))
+    for v in (1, 2, 3):
+        out.append(Clause.of("gpl", f"This work is licensed under the GNU General Public License, version {v}", ["under the gnu general public license", f"version {v}"]))
+    for kind, long in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"),
+                       ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives")):
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            out.append(Clause.of(f"cc-{kind}", f"Licensed under CC {kind} {v}", [f"cc {kind} {v.removesuffix('.0')}"]))
+            out.append(Clause.of(f"cc-{kind}", f"licensed under a Creative Commons {long} {v} International License", [f"commons {long} {v.removesuffix('.0')}"]))
+    return out
+
+
+@cache
+def clauses() -> list[Clause]:
+    """The notices, and the clauses of bodies and headers in licenses.json, which
+    tools/license_clauses.py makes."""
+    with open(os.path.join(os.path.dirname(__file__), "licenses.json"), encoding="utf-8") as held:
+        return notices() + [Clause.of(*c) for c in json.load(held)]
+
+
+def best_window(clause: Clause, words: list[bytes], places: dict[bytes, list[int]], need: int) -> tuple[float, int, int] | None:
+    """Of all windows of ``clause.window`` words that hold ``need`` of the clause's
+    words and every required phrase: the largest containment, with the first and
+    last word of the clause there. The leftmost of equals; None without any.
+
+    Only windows that end at a word of the clause are formed: moved left to the last
+    such word, any other window loses nothing."""
+    own = set(clause.words)
+    ends = []
+    for phrase in clause.required:
+        at = [p for p in places.get(phrase[0], ()) if tuple(words[p:p + len(phrase)]) == phrase]
+        if not at:
+            return None
+        ends.append((len(phrase), at))
+    hits = sorted((p, w) for w in own for p in places.get(w, ()))
+    inside: Counter[bytes] = Counter()
+    first, best = 0, None
+    for last, word in hits:
+        inside[word] += 1
+        start = last - clause.window + 1
+        while hits[first][0] < start:
+            gone = hits[first][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            first += 1
+        if len(inside) < need or (best and len(inside) <= best[0]):
+            continue
+        if all(_within(start, last, size, at) for size, at in ends):
+            best = (len(inside), hits[first][0], last)
+    return best and (best[0] / len(own), best[1], best[2])
+
+
+def _within(start: int, last: int, size: int, at: list[int]) -> bool:
+    """Whether a phrase of ``size`` words that begins at one of ``at`` lies whole in
+    the words from ``start`` to ``last``."""
+    k = bisect_left(at, start)
+    return k < len(at) and at[k] + size - 1 <= last
+
+
+class Matcher:
+    """The join of whole texts with clauses, then the windows of those that are met."""
+
+    def __init__(self, known: list[Clause], counts: dict[str, int], percent: int = CONTAINMENT):
+        self.clauses = known
+        self.side = Templates({str(i): b" ".join(c.words).decode() for i, c in enumerate(known)}, counts, percent)
+
+    def met(self, words: list[bytes]) -> dict[int, tuple[float, int, int]]:
+        """The best window of every clause that the text meets, by clause number."""
+        if self.side.index.keys().isdisjoint(words):
+            return {}
+        some = [int(i) for i in self.side.meets(words)]
+        wanted = {w for i in some for w in self.clauses[i].words}
+        places: dict[bytes, list[int]] = {}
+        for at, word in enumerate(words) if some else ():
+            if word in wanted:
+                places.setdefault(word, []).append(at)
+        found = {i: best_window(self.clauses[i], words, places, self.side.need[str(i)]) for i in some}
+        return {i: f for i, f in found.items() if f}
+
+    def meets(self, words: list[bytes]) -> list[tuple[int, int, str, float]]:
+        """First and last word, label and containment of these windows."""
+        return sorted((first, last, self.clauses[i].label, share) for i, (share, first, last) in self.met(words).items())
+
+
 class Templates:
     """The join's side of templates: word sets in the corpus order, and an index of
     their prefixes."""
@@ -121,19 +251,38 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, phrases: d
     blocks don't. Repeated rows are scanned alike; other columns are ignored. Two
     narrow passes over whole texts."""
     templates = TEMPLATES if templates is None else templates
-    known = [(p.split(), label) for p, label in ((p.encode(), v) for p, v in sorted((PHRASES if phrases is None else phrases).items()))]
     side = Templates(templates, frequencies(docs, templates))
 
+    def find(text: bytes, words: list[bytes]) -> list[tuple]:
+        if side.index.keys().isdisjoint(words):
+            return []
+        return [(number, label, share) for number, line in enumerate(text.translate(_LINES).split(b"\n")) for label, share in sorted(side.meets(line.split()).items())]
+    return _labelled(docs, PHRASES if phrases is None else phrases, find, lambda words, starts: {label for _, label in starts})
+
+
+def identified(docs: DataFrame, known: list[Clause] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+    """The columns of ``scanned`` from windows of words and the clauses of licenses;
+    blocks has the first and last word, label and containment of the best window of
+    every clause met.
+
+    Two narrow passes."""
+    known = clauses() if known is None else known
+    matcher = Matcher(known, frequencies(docs, {str(i): b" ".join(c.words).decode() for i, c in enumerate(known)}))
+    return _labelled(docs, PHRASES if phrases is None else phrases, lambda text, words: matcher.meets(words), lambda words, starts: {label for _, label in starts})
+
+
+def _labelled(docs: DataFrame, phrases: dict[str, str], find: Callable[[bytes, list[bytes]], list[tuple]], told: Callable[[list[bytes], list[tuple[int, str]]], set[str]]) -> DataFrame:
+    """The scan's columns from the blocks that ``find`` gives and the labels that
+    ``told`` takes from the places of phrases."""
+    known = [(p.split(), label) for p, label in ((p.encode(), v) for p, v in sorted(phrases.items()))]
+
     def scan(text: bytes | None) -> tuple:
-        lines = (text or b"").translate(_LINES).split(b"\n")
         words = (text or b"").translate(_WORDS).split()
         starts, base = phrase_places(words, known)
-        found = []
-        if side.index.keys() & set(words):
-            found = [(number, label, share) for number, line in enumerate(lines) for label, share in sorted(side.meets(line.split()).items())]
-        labels = sorted({*base, *(label for _, label, _ in found)})
+        found = find(text or b"", words)
+        labels = sorted({*told(words, list(zip(starts, base, strict=True))), *(block[-2] for block in found)})
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(set(base))), ",".join(labels),
-                float(np.max([s for _, _, s in found], initial=0.0)), json.dumps(found))
+                float(np.max([block[-1] for block in found], initial=0.0)), json.dumps(found))
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]

@@ -59,8 +59,8 @@ def op7_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """License phrases and template matches of every document."""
-    return license_join.scanned(table(spark, folder, "documents")).drop("blocks")
+    """License phrases, and clauses of licenses met, of every document."""
+    return license_join.identified(table(spark, folder, "documents")).drop("blocks")
 
 
 def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credence.llm import host_reputation, license_join, source_schedule
-from credence.llm.license_join import Templates
+from credence.llm.license_join import Clause, Templates
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -154,3 +155,56 @@ def test_mixture_repeats_whole_documents(docs_of):
     assert source_schedule.mixture(docs_of([])).collect() == [] and source_schedule.mixed(docs_of([])).collect() == []
     blank = docs_of([(1, None, "en", "a"), (2, "", "en", "b")])
     assert [(r.size, r.target, r.taken) for r in source_schedule.mixed(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_BODY = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer."""
+APACHE_HEADER = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License."""
+GPL_HEADER = """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the Free
+Software Foundation; either version 2 of the License, or any later version."""
+
+
+def license_labels(spark, docs_of, texts):
+    rows = {r.doc_id: r for r in license_join.identified(docs_of(list(enumerate(texts)))).collect()}
+    return [rows[i].labels for i in range(len(texts))], rows
+
+
+def test_license_bodies_and_wrapped_notices(docs_of, spark):
+    prose = "some words that stand before and after the notice in the text " * 30
+    texts = [MIT_BODY, f"{prose}\n{MIT_BODY}\n{prose}", BSD_BODY, APACHE_HEADER, GPL_HEADER, "Licensed under\nCC BY-NC\n4.0.", "a Source Code Form is subject to\nthe terms of the Mozilla Public\nLicense, v. 2.0.", prose, "", None]
+    got, rows = license_labels(spark, docs_of, texts)
+    assert got == ["mit", "mit", "bsd", "apache", "gpl", "cc-by-nc", "mpl", "", "", ""]
+    assert rows[1].score == 1.0 and rows[1].n_base == 0 and rows[7].score == 0.0
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(3)
+    names = [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"x", b"y"]
+    known = [Clause("one", (b"a", b"b", b"c", b"d", b"e"), ((b"b", b"c"),)), Clause("two", (b"a", b"b", b"a", b"f", b"g", b"c"))]
+    matcher = license_join.Matcher(known, {"a": 9, "b": 5})
+    met = 0
+    for _ in range(3000):
+        words = rng.choices(names, k=rng.randint(0, 14))
+        want = {}
+        for i, c in enumerate(known):
+            for start in range(len(words)):
+                block = words[start:start + c.window]
+                whole = all(any(tuple(block[k:k + len(p)]) == p for k in range(len(block))) for p in c.required)
+                share = len(set(block) & set(c.words)) / len(set(c.words))
+                if whole and 100 * share >= license_join.CONTAINMENT - 1e-9:
+                    want[i] = max(share, want.get(i, 0.0))
+        got = {i: f[0] for i, f in matcher.met(words).items()}
+        assert got == want
+        met += len(got)
+    assert met > 100
