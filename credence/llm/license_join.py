@@ -52,6 +52,8 @@ TEMPLATES = {
 CONTAINMENT = 80
 #: A window has a clause's words and this share more, in percent.
 SLACK = 25
+#: Words before "general public license" that make it another license.
+KINDS = {b"lesser": "lgpl", b"library": "lgpl", b"affero": "agpl"}
 #: A-Z become a-z; ASCII bytes that are neither letters nor digits become spaces,
 #: line breaks a line feed.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -265,10 +267,15 @@ def identified(docs: DataFrame, known: list[Clause] | None = None, phrases: dict
     blocks has the first and last word, label and containment of the best window of
     every clause met.
 
-    Two narrow passes."""
+    "General public license" after lesser, library or affero brings the label of that
+    license; base_labels keeps what the phrases say. Two narrow passes."""
     known = clauses() if known is None else known
     matcher = Matcher(known, frequencies(docs, {str(i): b" ".join(c.words).decode() for i, c in enumerate(known)}))
-    return _labelled(docs, PHRASES if phrases is None else phrases, lambda text, words: matcher.meets(words), lambda words, starts: {label for _, label in starts})
+    gpl = (b"general", b"public", b"license")
+
+    def told(words: list[bytes], starts: list[tuple[int, str]]) -> set[str]:
+        return {KINDS.get(words[at - 1], label) if at and tuple(words[at:at + 3]) == gpl else label for at, label in starts}
+    return _labelled(docs, PHRASES if phrases is None else phrases, lambda text, words: matcher.meets(words), told)
 
 
 def _labelled(docs: DataFrame, phrases: dict[str, str], find: Callable[[bytes, list[bytes]], list[tuple]], told: Callable[[list[bytes], list[tuple[int, str]]], set[str]]) -> DataFrame:

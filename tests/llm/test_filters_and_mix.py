@@ -208,3 +208,15 @@ def test_windows_equal_brute_force():
         assert got == want
         met += len(got)
     assert met > 100
+
+
+def test_other_licenses_and_long_lines_get_no_wrong_label(docs_of, spark):
+    cases = {
+        "Released under the Apache License": "apache", "Released under the BSD License": "bsd", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        "Licensed under the MIT License, Version 2.0": "mit", "This work is licensed under the GNU Lesser General Public License, version 2.1": "lgpl",
+        "This work is licensed under the GNU Affero General Public License, version 3": "agpl", "Lesser General Public License and the General Public License": "gpl,lgpl",
+        "released " + "word " * 50 + "under " + "word " * 50 + "the driver's license": "", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+    }
+    got, rows = license_labels(spark, docs_of, list(cases))
+    assert got == list(cases.values())
+    assert rows[5].base_labels == "gpl" and rows[8].score == 0.0
