@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +16,11 @@ from credence.functions.vectors import (
     as_doubles, calibrated_score, cosine, dot, euclidean, norm, similarity_from_distance, unit)
 
 
+#: Samples a texture model is fitted on, about: a hash of the id picks them evenly
+#: where there are more.
+MOST_SAMPLES = 200_000
+
+
 def usable_reference(embedding: Column) -> Column:
     """A stored reference, or NULL for the forms that mean "not enrolled"."""
     return F.when(embedding.isin("", "null"), None).otherwise(embedding)
@@ -100,6 +108,48 @@ def class_gap(samples: DataFrame) -> tuple[Column, Column]:
     return weights, bias
 
 
+@dataclass(frozen=True)
+class TextureModel:
+    """Coefficients of a fitted texture classifier, and the samples it learned from."""
+
+    weights: list[float]
+    bias: float
+    taught: int
+
+    def score(self, vector: Column) -> Column:
+        return logistic_score(vector, F.array(*map(F.lit, self.weights)), F.lit(self.bias))
+
+
+def fit_texture(samples: DataFrame, key: str, most: int = MOST_SAMPLES) -> TextureModel:
+    """Logistic regression on samples (key, vector, label 1 or 0) of both classes,
+    with the reference's penalty: half the squared weights against the sum of losses,
+    components unscaled.
+
+    Of more than ``most`` samples, those whose hashed key lies in the share that makes
+    about ``most`` are taken. Samples without a vector or label are left out."""
+    usable = samples.where(F.col("vector").isNotNull() & F.col("label").isin(0, 1))
+    total = usable.count()
+    if total > most:
+        usable = usable.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < F.lit(1_000_000 * most // total))
+    rows = usable.select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label")).persist()
+    try:
+        held = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        if len(held) < 2:
+            raise ValueError("a texture model needs samples of both classes")
+        taught = sum(held.values())
+        model = LogisticRegression(maxIter=1000, regParam=1.0 / taught, elasticNetParam=0.0, standardization=False, family="binomial").fit(rows)
+    finally:
+        rows.unpersist()
+    return TextureModel([float(w) for w in model.coefficients], float(model.intercept), taught)
+
+
+def texture_accuracy(model: TextureModel, samples: DataFrame) -> float | None:
+    """Share of samples (vector, label) that the model gives their class; None without
+    any."""
+    right = (model.score(F.col("vector")) > 0.5).cast("int") == F.col("label")
+    return samples.where(F.col("label").isin(0, 1)).agg(F.avg(right.cast("double")).alias("x")).first()["x"]
+
+
 def logistic_score(vector: Column, weights: Column, bias: Column, steepness: float = 1.0) -> Column:
     """Probability of class 1 from a linear model with given coefficients."""
     dot = F.aggregate(F.zip_with(vector, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

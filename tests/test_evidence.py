@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from credence.operators import crosscheck, datasets, forensics, verify
@@ -218,3 +219,26 @@ def test_flags_of_techniques(spark):
     assert got == {r.pos: f"Font mismatch on field {r.text!r} ({r.metric})" for r in words.collect()}
     regions = spark.sql("SELECT 1 AS page_id, id AS comp, 4 AS blocks, id * 16 AS x, 0 AS y, 32 AS w, 16 AS h FROM range(6)")
     assert [r.flag for r in forensics.error_flags(regions).orderBy("pos").collect()] == [f"ELA: anomalous compression region at [{i * 16}, 0, 32, 16]" for i in range(4)]
+
+
+def test_texture_model_learns_what_class_means_miss(spark):
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 2, 1500)
+    noise = rng.normal(size=(1500, 1)) * 10  # large and shared by two components
+    data = np.hstack([noise + 0.8 * label[:, None], noise - 0.8 * label[:, None], rng.normal(size=(1500, 1)) * 5])
+    rows = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(data, label, strict=True))], "k long, vector array<double>, label int")
+    out = F.pmod(F.xxhash64("k"), F.lit(5)) == 0
+    model = verify.fit_texture(rows.where(~out), "k")
+    assert model.taught == rows.where(~out).count()
+    assert verify.texture_accuracy(model, rows.where(out)) > 0.95
+    weights, bias = verify.class_gap(rows.where(~out))
+    plain = rows.where(out).withColumns({"w": weights, "b": bias}).withColumn("p", verify.logistic_score(F.col("vector"), F.col("w"), F.col("b")))
+    assert plain.where((F.col("p") > 0.5) == (F.col("label") == 1)).count() < 0.9 * plain.count()
+    taught = [r for r in rows.where(~out).collect()]
+    x, y = np.array([r.vector for r in taught]), np.array([r.label for r in taught])
+    p = 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.bias)))  # at the optimum both slopes vanish
+    assert np.abs(x.T @ (p - y) + model.weights).max() < 0.5 and abs((p - y).sum()) < 0.05
+    assert 200 < verify.fit_texture(rows, "k", most=300).taught < 400
+    assert verify.texture_accuracy(model, rows.where("k < 0")) is None
+    with pytest.raises(ValueError):
+        verify.fit_texture(rows.where("label = 1"), "k")
