@@ -37,6 +37,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from credence.llm.common import byte_column, durable, mapped, slices, words
 from credence.llm.components import components
@@ -318,18 +319,42 @@ def near_components(docs: DataFrame) -> DataFrame:
     component is their own id and n_equal is 1. Repeated rows are copies. A null id
     gets the component of its class, which is null only if no row of it has an id,
     and then the class links with nothing. Other columns are ignored."""
+    rows = _placed(docs)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+                       F.when(F.col("n") > 0, F.col("members")).otherwise(F.lit(1)).alias("n_equal"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n, cls, root (of its class), component and members."""
     join = Join(docs)
     named = durable(join.classes.select("cls", "rep", "members").join(join.roots(), F.col("cls") == F.col("node"), "left").select("cls", "rep", "members", F.coalesce("root", "cls").alias("root")))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = named.join(lowest, "root").select("cls", "component", "members")
-    rows = join.documents.join(of_class, "cls", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-                       F.when(F.col("n") > 0, F.col("members")).otherwise(F.lit(1)).alias("n_equal"))
+    of_class = named.join(lowest, "root").select("cls", "root", "component", "members")
+    return join.documents.join(of_class, "cls", "left")
+
+
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and the class of every text in a column ``name``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in slices(batches):
+            found = [class_of(g) for g in shingler.sets(byte_column(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, name])
+    return mapped(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: the row of
-    the smallest id, once. Rows without an id can't be told apart and all stay."""
-    kept = near_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    the smallest id, once. Where that id has several texts in the component, the
+    smallest class stands; texts of one id that don't link stand each for their own.
+    Rows without an id can't be told apart and all stay.
+
+    Only texts of ids with more than one class are looked at again."""
+    rows = durable(_placed(docs).where("doc_id is not null").select("doc_id", "cls", F.coalesce("root", "cls").alias("root"), ((F.col("n") == 0) | (F.col("component") == F.col("doc_id"))).alias("stands")))
+    kept = rows.where("stands").groupBy("root", "doc_id").agg(F.min("cls").alias("cls")).select("doc_id", "cls")
+    several = durable(rows.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("doc_id"))
+    one = kept.join(several, "doc_id", "left_anti").select("doc_id")
+    named = docs.where("doc_id is not null")
+    alone = named.join(one, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    told = with_class(named.join(several, "doc_id", "left_semi").select(*docs.columns), "_cls").join(kept.withColumnRenamed("cls", "_cls"), ["doc_id", "_cls"], "left_semi").dropDuplicates(["doc_id", "_cls"])
+    return alone.select(*docs.columns).unionByName(told.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -98,3 +98,13 @@ def test_components_of_chains_and_loops(spark):
     got = {r.node: r.root for r in components(links, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
     assert components(links.where("a < 0"), "a", "b").collect() == []
+
+
+def test_unlinked_texts_of_one_id_both_stay(docs_of):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
+    near = a + " more"
+    rows = [(3, a), (5, near), (5, b), (7, a), (7, c), (7, c), (7, ""), (9, b + " end"), (9, b), (None, c), (11, "d e f g h i")]
+    want = [("11", "d e f g h i"), ("3", a), ("5", b), ("7", ""), ("7", c), ("None", c)]
+    for parts in (1, 4):
+        kept = ngram_join.one_of_each(docs_of(rows).repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.text) for r in kept) == want
