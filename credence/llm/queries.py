@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, source_schedule, toxicity_chain
+from credence.llm import bidiagonal_whitening, collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, reply_trees, source_schedule, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,20 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "p_severe", "p_mild", "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Four whitened components of every vector, and how exact they are."""
+    rows = bidiagonal_whitening.rounded(table(spark, folder, "embeddings"))
+    return bidiagonal_whitening.whitened(rows, bidiagonal_whitening.fit(rows))
+
+
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from it. A row is named by
+    its place in its file."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text", *place)
+    return reply_trees.digests(reply_trees.with_trial(rows))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_url_filter": op2_url_filter,
@@ -89,8 +103,11 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_chat_format": op12_chat_format,
 }
 STATEMENTS: dict[str, str] = {
+    "op12_chat_format": reply_trees.SQL,
     "op2_url_filter": host_reputation.SQL,
     "op6_source_mix": source_schedule.SQL,
     "op9_exact_top_k": """
