@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import bidiagonal_whitening, collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, reply_trees, source_schedule, toxicity_chain
+from credence.llm import bidiagonal_whitening, collision_search, host_reputation, labelled, license_join, merge_automaton, ngram_join, pivot_search, ppm_language, quality_trees, reply_trees, source_schedule, token_alignment, toxicity_chain
 from credence.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return reply_trees.digests(reply_trees.with_trial(rows))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenizers, of every document."""
+    return token_alignment.aligned(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_url_filter": op2_url_filter,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
     "op12_chat_format": op12_chat_format,
+    "op13_token_alignment": op13_token_alignment,
 }
 STATEMENTS: dict[str, str] = {
     "op12_chat_format": reply_trees.SQL,
