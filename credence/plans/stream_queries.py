@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.dates import stamp
 from credence.operators import retries
+from credence.operators.risk import score_document
 from credence.plans import domain as D
 from credence.plans.page_queries import PAGES, pages
 from credence.plans.domain_sql import with_views
@@ -34,17 +35,24 @@ def retry_ledger(spark, folder):
     return rows.withColumn("due_at", stamp(F.col("due_at")))
 
 
+def _arriving(rows, root, files, name="in"):
+    """The rows as a stream of files, dealt by a hash so that every file holds early
+    and late ones, two to a batch."""
+    source = os.path.join(root, name)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.option("maxRecordsPerFile", 0).parquet(source)
+    return jobs.table_stream(rows.sparkSession, source, "part-", rows.schema, files_per_trigger=2)
+
+
 @query("stream_activity", "C7 J6", """
     SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, action, count(*) AS events FROM (
       SELECT event_type AS action, date_trunc('day', ts) + to_hours(CAST(hour(ts) // 6 * 6 AS INTEGER)) - to_hours(CAST(6 * i AS INTEGER)) AS w FROM events, range(4) g(i)) GROUP BY 1, 2""")
 def stream_activity(spark, folder):
+    """Events arrive in six files, each over the whole time, so most rows of the later
+    batches are behind the watermark; their counts come from the side table."""
     root = jobs.work_folder(spark, "activity")
-    events = jobs.table_stream(spark, folder, "events", D.table(spark, folder, "events").schema)
-    counts = jobs.activity_counts(events.withColumnRenamed("event_type", "action"))
-    flat = counts.select(F.col("window.start").alias("w"), "action", "events")
-    jobs.run_available(flat, lambda batch, n: jobs.write_batch(batch, os.path.join(root, "out"), n), root, mode="update")
-    rows = jobs.latest_by_key(jobs.read_batches(spark, os.path.join(root, "out")), ["w", "action"], ["batch"])
-    return rows.select(stamp(F.col("w")).alias("window_start"), "action", "events")
+    events = D.table(spark, folder, "events").select("event_id", "ts", F.col("event_type").alias("action"))
+    jobs.count_activity(_arriving(events, root, 6), root, "12 hours")
+    return jobs.activity_table(spark, root).select(stamp(F.col("w")).alias("window_start"), "action", "events")
 
 
 _CLASS = """SELECT document_id, s.status, s.label, s.authenticity, s.page_index FROM (SELECT document_id, coalesce(
@@ -63,19 +71,19 @@ def stream_scoring(spark, folder):
     return jobs.scored_documents(spark, root).select("document_id", "status", "label", "authenticity", "page_index")
 
 
-@query("stream_barrier", "J4", """
-    SELECT submission_id, top AS composite_risk_score FROM (SELECT l_orderkey AS submission_id, count(DISTINCT l_orderkey * 8 + l_linenumber) AS n,
-      count(DISTINCT CASE WHEN l_quantity >= 5 THEN l_orderkey * 8 + l_linenumber END) AS done, max(l_quantity) AS top FROM lineitem GROUP BY 1) WHERE done = n""")
+@query("stream_barrier", "J4", with_views("""
+    SELECT d.submission_id, max(r.document_risk_score) AS composite_risk_score FROM documents d LEFT JOIN results r USING (document_id)
+    GROUP BY 1 HAVING bool_and(d.processing_status IN ('completed', 'failed'))""", "documents", "results"))
 def stream_barrier(spark, folder):
-    """One state per document: terminal when any of its items has five or more."""
+    """Every attempt brings two states of its document, verifying and then how it
+    ended, and a retry replaces both. They arrive in any order."""
     root = jobs.work_folder(spark, "barrier")
-    lines = D.table(spark, folder, "lineitem")
-    document = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    expected = lines.groupBy(F.col("l_orderkey").alias("submission_id")).agg(F.count_distinct("l_linenumber").alias("expected"))
-    states = lines.groupBy(F.col("l_orderkey").alias("submission_id"), document.alias("document_id")).agg(F.max("l_quantity").alias("risk"))
-    status = F.when(F.col("risk") >= 5, "completed").otherwise("verifying")
-    source = os.path.join(root, "in")
-    states.join(expected, "submission_id").withColumn("processing_status", status).write.parquet(source)
-    arriving = jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema, files_per_trigger=2)
-    jobs.finish_submissions(arriving, root)
-    return jobs.read_batches(spark, os.path.join(root, "emitted")).select("submission_id", "composite_risk_score")
+    attempts = D.attempts(spark, folder)
+    expected = attempts.groupBy("submission_id").agg(F.count_distinct("document_id").cast("int").alias("expected"))
+    risk = score_document(D.component_columns(), F.col("tamper_confidence"))["score"]
+    at = F.lpad(F.col("attempt_order").cast("string"), 38, "0")
+    step = lambda state, number, score: F.struct(F.concat(at, F.lit(number)).alias("version"), state.alias("processing_status"), score.alias("risk"))
+    states = attempts.select("submission_id", "document_id", F.inline(F.array(
+        step(F.lit("verifying"), "0", F.lit(None).cast("double")), step(F.col("processing_status"), "1", F.when(F.col("processing_status") != "verifying", risk)))))
+    jobs.finish_submissions(_arriving(states.join(expected, "submission_id"), root, 6), root)
+    return jobs.finished_submissions(spark, root).select("submission_id", "composite_risk_score")

@@ -1,21 +1,23 @@
 """The document queue as Structured Streaming.
 
-Every sink is a folder per micro-batch, overwritten when a batch is replayed, so
-a restart after a lost executor or driver repeats no effect."""
+Sinks are folders per micro-batch, overwritten when a batch is replayed, or keyed
+tables whose manifest names the batches it holds; a restart after a lost executor or
+driver repeats no effect."""
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from credence.operators import rollup
-from credence.operators.mutate import latest_by_key
 from credence.session import ensure_checkpoint_dir
+from credence.streaming.keyed import KeyedTable, newest, replacing
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -49,43 +51,107 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], roo
 
 
 # --- scoring -------------------------------------------------------------------
+RESULT = "document_id long, status string, reason string, label string, confidence double, authenticity double, page_index long"
+
+
+def results_table(spark: SparkSession, root: str) -> KeyedTable:
+    """The current result of each document."""
+    return KeyedTable(spark, os.path.join(root, "results"), RESULT, ["document_id"])
+
+
 def score_pages(stream: DataFrame, root: str) -> None:
     """Document class results kept up to date as pages arrive: the batch job's own
     rollup, held as one running aggregate per document. A batch touches only the
-    documents it brings, in whatever order they come."""
-    run_available(rollup.classification_rollup(stream), lambda batch, n: write_batch(batch, os.path.join(root, "results"), n), root, mode="update")
+    documents it brings, in whatever order they come, and rewrites their buckets."""
+    table = results_table(stream.sparkSession, root)
+    run_available(rollup.classification_rollup(stream), lambda batch, n: table.apply(batch, n, replacing(table.keys)), root, mode="update")
 
 
 def scored_documents(spark: SparkSession, root: str) -> DataFrame:
     """Latest result of each document."""
-    return latest_by_key(read_batches(spark, os.path.join(root, "results")), ["document_id"], ["batch"]).drop("batch")
+    return results_table(spark, root).read()
 
 
 # --- submission barrier -----------------------------------------------------------
-def finish_submissions(stream: DataFrame, root: str) -> None:
-    """Emit each submission once, when all its documents are terminal.
-
-    stream: submission_id, document_id, expected, processing_status, risk.
-    Latest states per document are kept as a table; a batch checks only the
-    submissions it touched and leaves out those emitted by earlier batches."""
-    states_at, emitted_at = os.path.join(root, "states"), os.path.join(root, "emitted")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(batch, states_at, batch_id)
-        stored = read_batches(spark, states_at).where(F.col("batch") <= batch_id)
-        touched = spark.read.parquet(os.path.join(states_at, f"batch={batch_id}")).select("submission_id").distinct()
-        current = latest_by_key(stored.join(touched, "submission_id", "left_semi"), ["submission_id", "document_id"], ["batch"])
-        terminal = F.col("processing_status").isin(*rollup.TERMINAL)
-        ready = current.groupBy("submission_id").agg(
-            F.count_if(terminal).alias("done"), F.max("expected").alias("expected"), F.max("risk").alias("composite_risk_score")
-        ).where(F.col("done") >= F.col("expected"))
-        if batch_id > 0:
-            earlier = read_batches(spark, emitted_at).where(F.col("batch") < batch_id).select("submission_id")
-            ready = ready.join(earlier, "submission_id", "left_anti")
-        write_batch(ready.select("submission_id", "composite_risk_score"), emitted_at, batch_id)
-
-    run_available(stream, each, root)
+FINISHED = "submission_id long, finished boolean, composite_risk_score double, revision int"
+
+
+class Barrier(StatefulProcessor):
+    """Keyed state of a submission: the newest state of each of its documents, and
+    what was last emitted. A row goes out when the submission is finished for the
+    first time (revision 1), and again only if a later state changes that answer."""
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        shape = T.StructType([T.StructField("version", T.StringType()), T.StructField("terminal", T.BooleanType()), T.StructField("risk", T.DoubleType())])
+        self.documents = handle.getMapState("documents", T.StructType([T.StructField("document_id", T.LongType())]), shape, self.keep_ms)
+        self.emitted = handle.getValueState("emitted", T.StructType([T.StructField("expected", T.IntegerType()), T.StructField("revision", T.IntegerType()),
+                                                                     T.StructField("finished", T.BooleanType()), T.StructField("risk", T.DoubleType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
+        before = self.emitted.get()
+        expected, revision, finished, risk = tuple(before) if before is not None else (0, 0, False, None)
+        fresh: dict[int, tuple] = {}
+        for row in rows:
+            expected = max(expected, row.expected or 0)
+            state = (row.version or "", row.processing_status in rollup.TERMINAL, row.risk)
+            if row.document_id is not None and (row.document_id not in fresh or _order(state) > _order(fresh[row.document_id])):
+                fresh[row.document_id] = state
+        known = {k[0]: tuple(v) for k, v in self.documents.iterator()}
+        for document, state in fresh.items():
+            if document not in known or _order(state) > _order(known[document]):
+                known[document] = state
+                self.documents.updateValue((document,), state)
+        done = sum(terminal for _, terminal, _ in known.values())
+        now = expected > 0 and done >= expected and done == len(known)
+        score = max((r for _, _, r in known.values() if r is not None), default=None) if now else None
+        changed = (now, score) != (finished, risk)
+        self.emitted.update((expected, revision + changed, now, score))
+        if changed:
+            yield Row(submission_id=key[0], finished=now, composite_risk_score=score, revision=revision + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def _order(state: tuple) -> tuple:
+    """Newest version first; states of one version stand by being terminal, then risk."""
+    version, terminal, risk = state
+    return version, terminal, risk is not None, risk or 0.0
+
+
+def finished_table(spark: SparkSession, root: str) -> KeyedTable:
+    """The latest answer on each submission that ever was finished."""
+    return KeyedTable(spark, os.path.join(root, "finished"), FINISHED, ["submission_id"])
+
+
+def finish_submissions(stream: DataFrame, root: str, keep_ms: int | None = None) -> None:
+    """Emit each submission when all its documents are terminal.
+
+    stream: submission_id, document_id, expected, processing_status, risk, version (a
+    string that sorts by time). Documents are held in keyed state, so a batch costs what it
+    brings and nothing stored is read again. The order of arrival does not matter: of
+    a document the state of the highest version counts, also within a batch. Whoever
+    is late changes the answer by a new revision, whoever reopens it takes it back
+    (finished false). ``keep_ms`` lets the state of documents expire that long after
+    their last change."""
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        answers = stream.groupBy("submission_id").transformWithState(
+            Barrier(keep_ms), spark.createDataFrame([], FINISHED).schema, "Update", "None" if keep_ms is None else "ProcessingTime")
+        table = finished_table(spark, root)
+        run_available(answers, lambda batch, n: table.apply(batch, n, newest(table.keys, ["revision"])), root, mode="update")
+    finally:
+        spark.conf.set(provider, before)
+
+
+def finished_submissions(spark: SparkSession, root: str) -> DataFrame:
+    """Submissions that are finished now."""
+    return finished_table(spark, root).read().where("finished")
 
 
 # --- activity ------------------------------------------------------------------------
@@ -95,3 +161,54 @@ def activity_counts(stream: DataFrame, window: str = "24 hours", slide: str = "6
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     held = timed if late is None else timed.withWatermark("ts", late)
     return held.groupBy(F.window("ts", window, slide), "action").agg(F.count("*").alias("events"))
+
+
+ACTIVITY = "w timestamp, ends timestamp, action string, events long"
+
+
+def _at(root: str, *parts: str) -> str:
+    return os.path.join(root, *parts)
+
+
+def count_activity(stream: DataFrame, root: str, late: str, window: str = "24 hours", slide: str = "6 hours") -> None:
+    """Events per action in sliding windows, with state that ends.
+
+    stream: ts, action. The watermark of a batch is the latest ``ts`` of the batches
+    before it less ``late``. Windows that end after it are open: a batch rewrites only
+    these, in the one of two places that the batch before did not write. Windows that
+    the new watermark passes are closed, once, into an append-only table. A row that
+    comes for a closed window is not dropped but counted in a side table. Every batch
+    writes folders named by its number, so a replay repeats no effect. Counts leave
+    the tasks aggregated, so an action with most of the rows is one sum."""
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, n: int) -> None:
+        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        counts = timed.groupBy(F.window("ts", window, slide), "action").agg(F.count("*").alias("events"), F.max("ts").alias("_last"))
+        fresh_at = _at(root, "fresh")
+        counts.select(F.col("window.start").alias("w"), F.col("window.end").alias("ends"), "action", "events", "_last").write.mode("overwrite").parquet(fresh_at)
+        fresh = spark.read.schema(ACTIVITY + ", _last timestamp").parquet(fresh_at)
+        before = spark.read.schema("high timestamp").parquet(_at(root, "marks", f"batch={n - 1}")).first().high if n else None
+        marks = fresh.agg(F.max("_last").alias("high")).select(F.greatest("high", F.lit(before).cast("timestamp")).alias("high"))
+        marks.coalesce(1).write.mode("overwrite").parquet(_at(root, "marks", f"batch={n}"))
+        high = spark.read.schema("high timestamp").parquet(_at(root, "marks", f"batch={n}")).first().high
+        passed = lambda mark: F.coalesce(F.col("ends") <= F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {late}"), F.lit(False))
+        rows = fresh.drop("_last")
+        write_batch(rows.where(passed(before)), _at(root, "late"), n)
+        current = rows.where(~passed(before))
+        if n:
+            current = current.unionByName(spark.read.schema(ACTIVITY).parquet(_at(root, "open", f"slot={(n - 1) % 2}")))
+        summed = current.groupBy("w", "ends", "action").agg(F.sum("events").alias("events"))
+        summed.where(~passed(high)).write.mode("overwrite").parquet(_at(root, "open", f"slot={n % 2}"))
+        write_batch(summed.where(passed(high)), _at(root, "closed"), n)
+
+    run_available(stream, each, root)
+
+
+def activity_table(spark: SparkSession, root: str) -> DataFrame:
+    """w, ends, action, events and late (how many of them came for a closed window)."""
+    marks = read_batches(spark, _at(root, "marks"), T.StructType([T.StructField("high", T.TimestampType()), T.StructField("batch", T.IntegerType())]))
+    last = marks.agg(F.max("batch").alias("n")).first().n
+    part = lambda path, late: spark.read.schema(ACTIVITY).parquet(path).select("w", "ends", "action", "events").withColumn("late", F.col("events") if late else F.lit(0))
+    rows = part(_at(root, "closed"), False).unionByName(part(_at(root, "open", f"slot={last % 2}"), False)).unionByName(part(_at(root, "late"), True))
+    return rows.groupBy("w", "ends", "action").agg(F.sum("events").alias("events"), F.sum("late").alias("late"))

@@ -1,12 +1,14 @@
 """Streams over several micro-batches give the batch results, once."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from credence.operators import rollup
 from credence.sources import sinks
 from credence.streaming import jobs
+from credence.streaming.keyed import KeyedTable, adding, newest
 
 
 def test_scoring_over_batches_equals_batch(spark, tmp_path):
@@ -19,35 +21,101 @@ def test_scoring_over_batches_equals_batch(spark, tmp_path):
     stream = jobs.table_stream(spark, source, "part-", rows.schema, files_per_trigger=2)
     root = str(tmp_path / "work")
     jobs.score_pages(stream, root)
-    assert spark.read.parquet(os.path.join(root, "results")).select("batch").distinct().count() == 3
+    assert jobs.results_table(spark, root).versions() == [0, 1, 2]
     key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert key(jobs.scored_documents(spark, root)) == key(rollup.classification_rollup(rows))
 
 
-def test_barrier_emits_each_submission_once(spark, tmp_path):
+STATE = "submission_id long, document_id long, expected int, processing_status string, risk double, version string"
+
+
+def answers(spark, root):
+    return sorted((r.submission_id, r.composite_risk_score, r.revision) for r in jobs.finished_table(spark, root).read().where("finished").collect())
+
+
+def test_barrier_emits_once_and_answers_later_states(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "work")
     def push(rows):
-        spark.createDataFrame(rows, "submission_id long, document_id long, expected int, processing_status string, risk double").coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("append").parquet(source)
     def run():
         jobs.finish_submissions(jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema), root)
-        return sorted((r.submission_id, r.composite_risk_score) for r in jobs.read_batches(spark, os.path.join(root, "emitted")).collect())
-    push([(1, 10, 2, "completed", 5.0), (2, 20, 1, "ocr", None), (3, 30, 1, "failed", None)])
-    assert run() == [(3, None)]
-    push([(1, 11, 2, "failed", 70.0), (2, 20, 1, "completed", 9.0)])
-    assert run() == [(1, 70.0), (2, 9.0), (3, None)]
-    push([(1, 11, 2, "completed", 80.0)])
-    assert run() == [(1, 70.0), (2, 9.0), (3, None)]
+        return answers(spark, root)
+    push([(1, 10, 2, "completed", 5.0, "1"), (2, 20, 1, "ocr", None, "1"), (3, 30, 1, "failed", None, "1"), (4, 40, 1, "failed", 3.0, "2"), (4, 40, 1, "verifying", None, "1")])
+    assert run() == [(3, None, 1), (4, 3.0, 1)]
+    push([(1, 11, 2, "failed", 70.0, "1"), (2, 20, 1, "completed", 9.0, "2"), (4, 40, 1, "failed", 3.0, "2")])
+    assert run() == [(1, 70.0, 1), (2, 9.0, 1), (3, None, 1), (4, 3.0, 1)]  # the repeated state of 4 emits nothing
+    push([(1, 11, 2, "completed", 80.0, "2"), (2, 20, 1, "verifying", None, "3"), (3, 30, 1, "ocr", None, "0")])
+    assert run() == [(1, 80.0, 2), (3, None, 1), (4, 3.0, 1)]  # 2 was opened again; the late state of 3 is old
+    push([(2, 20, 1, "completed", 9.5, "4"), (5, None, 1, "completed", 1.0, "1")])
+    assert run() == [(1, 80.0, 2), (2, 9.5, 3), (3, None, 1), (4, 3.0, 1)]
 
 
-def test_activity_counts_late_rows(spark, tmp_path):
+def test_barrier_in_three_orders_and_batch_sizes(spark, tmp_path):
+    rng = random.Random(4)
+    events, last = [], {}
+    for submission in range(12):
+        documents = rng.randint(1, 4)
+        for d in range(documents):
+            for step, status in enumerate(["verifying", "failed", "completed"][:rng.choice([1, 2, 3, 3, 3])]):
+                risk = float(rng.randint(0, 99)) if status != "verifying" else None
+                events.append((submission, submission * 10 + d, documents, status, risk, f"{step:03}"))
+                last[submission, d] = (status, risk)
+    want = []
+    for submission in range(12):
+        mine = [v for (s, _), v in last.items() if s == submission]
+        if all(status != "verifying" for status, _ in mine):
+            want.append((submission, max(risk for _, risk in mine)))
+    for number, (order, files, batch) in enumerate([(list(events), 6, 1), (events[::-1], 4, 3), (rng.sample(events, len(events)), 5, 2)]):
+        source, root = str(tmp_path / f"in{number}"), str(tmp_path / f"work{number}")
+        for k in range(files):
+            spark.createDataFrame(order[k::files] if number == 2 else order[k * len(order) // files:(k + 1) * len(order) // files], STATE).coalesce(1).write.mode("append").parquet(source)
+        jobs.finish_submissions(jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema, files_per_trigger=batch), root)
+        assert [a[:2] for a in answers(spark, root)] == want
+
+
+def test_activity_counts_late_rows_and_ends_its_state(spark, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "work")
-    for day in (5, 1, 9, 1):
-        spark.sql(f"SELECT TIMESTAMP'2024-01-0{day} 07:00:00' AS ts, 'view' AS action").coalesce(1).write.mode("append").parquet(source)
-    stream = jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema, files_per_trigger=1)
+    days = (5, 1, 9, 1, 20)
+    for day in days:
+        spark.sql(f"SELECT TIMESTAMP'2024-01-{day:02} 07:00:00' AS ts, 'view' AS action").coalesce(1).write.mode("append").parquet(source)
+        jobs.count_activity(jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema, files_per_trigger=1), root, "12 hours")
+    rows = jobs.activity_table(spark, root).collect()
+    assert sum(r.events for r in rows) == 4 * len(days) and sum(r.late for r in rows) == 8
+    assert sorted(r.events for r in rows) == [1] * 12 + [2] * 4
+    assert spark.read.parquet(os.path.join(root, "open", "slot=0")).count() == 4  # only the windows of the last day
+    stream = jobs.table_stream(spark, source, "part-", spark.read.parquet(source).schema)
     counts = jobs.activity_counts(stream).select(F.col("window.start").alias("w"), "action", "events")
-    jobs.run_available(counts, lambda b, n: jobs.write_batch(b, os.path.join(root, "out"), n), root, mode="update")
-    last = jobs.latest_by_key(jobs.read_batches(spark, os.path.join(root, "out")), ["w", "action"], ["batch"])
-    assert sorted(r.events for r in last.collect()) == [1] * 8 + [2] * 4
+    jobs.run_available(counts, lambda b, n: jobs.write_batch(b, os.path.join(root, "out"), n), str(tmp_path / "plain"), mode="update")
+    plain = {(r.w, r.action): r.events for r in jobs.read_batches(spark, os.path.join(root, "out")).collect()}
+    assert plain == {(r.w, r.action): r.events for r in rows}
+
+
+def test_keyed_table_reads_no_history_and_replays_nothing(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "k long, v long, seq long", ["k"], buckets=8)
+    assert table.read().count() == 0 and table.manifest() == {}
+    merge = newest(["k"], ["seq"])
+    rows = lambda pairs, seq: spark.createDataFrame([(k, v, seq) for k, v in pairs], "k long, v long, seq long")
+    table.apply(rows([(k, k) for k in range(100)], 0), 0, merge)
+    first = table.manifest()
+    table.apply(rows([(3, 33), (500, 1)], 1), 1, merge)
+    after = table.manifest()
+    assert sum(first.get(b) != v for b, v in after.items()) <= 2  # other buckets stay where they were
+    want = {k: (33 if k == 3 else k) for k in range(100)} | {500: 1}
+    read = lambda: {r.k: r.v for r in table.read().collect()}
+    assert read() == want
+    table.apply(rows([(3, 99)], 9), 1, merge)  # replayed with other rows: nothing happens
+    assert read() == want
+    spark.createDataFrame([(7, 7, 7)], "k long, v long, seq long").write.parquet(str(tmp_path / "t" / "data" / "v=2" / "_bucket=0"))  # a batch killed before its manifest
+    assert read() == want and table.read(0).count() == 100
+    table.apply(rows([(3, 1)], 0), 2, merge)  # older than what is stored
+    assert read() == want
+    table.apply(rows([], 0), 3, merge)
+    files = {f for f in table.read().inputFiles()}
+    assert len(files) <= 8 and table.vacuum(keep=1) >= 1 and read() == want and table.versions() == [3]
+    counts = KeyedTable(spark, str(tmp_path / "c"), "k long, n long", ["k"], buckets=4)
+    for batch in range(3):
+        counts.apply(spark.range(10).selectExpr("id AS k", "id AS n"), batch, adding(["k"], ["n"]))
+    assert {r.k: r.n for r in counts.read().collect()} == {k: 3 * k for k in range(10)}
 
 
 def test_sinks_append_and_version(spark, tmp_path):
