@@ -2,7 +2,7 @@
 
 Messages form trees (each may answer another). Every message gets a number; rounds
 of self-joins double how far up each one sees, so a path of 400 messages takes nine
-rounds. Leaves are ranked within their tree by the summed score of their path, the
+rounds, and a round takes only the messages that have not seen their root yet. Leaves are ranked within their tree by the summed score of their path, the
 chosen ones are expanded down the same rounds into (leaf, message) rows, and each
 path becomes one conversation. Only numbers take part in the rounds; texts move when
 they meet their path and when the path is put together.
@@ -85,21 +85,24 @@ def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     their path, highest first, ties to the smaller position. ``branches`` keeps so
     many per tree, None all. Messages that answer each other in a circle have no
     root and so no path. An empty table gives no rows."""
-    level = durable(nodes.select("pos", "tree", "up", "score", F.lit(1).cast("long").alias("seen")))
-    count, levels = level.count(), [level]
-    while (1 << (len(levels) - 1)) < count and level.where("up IS NOT NULL").limit(1).count():
-        above = level.select(F.col("pos").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("seen").alias("_seen"))
-        level = durable(level.join(above, "up", "left").select("pos", "tree", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-                                                               (F.col("seen") + F.coalesce("_seen", F.lit(0))).alias("seen")))
-        levels.append(level)
-    answered = levels[0].where("up IS NOT NULL").select(F.col("up").alias("pos")).distinct()
-    ranked = _ranked(level.where("up IS NULL").join(answered, "pos", "left_anti").select("pos", "tree", "score", "seen"))
+    names = ["pos", "tree", "up", "score", "seen"]
+    every = durable(nodes.select("pos", "tree", "up", "score", F.lit(1).cast("long").alias("seen")))
+    count, ended, active = every.count(), [every.where("up IS NULL")], every.where("up IS NOT NULL")
+    levels: list[DataFrame] = []
+    while (1 << len(levels)) < count * 2 and active.limit(1).count():
+        levels.append(active)
+        above = reduce(DataFrame.unionByName, [*ended, active]).select(F.col("pos").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("seen").alias("_seen"))
+        moved = durable(active.join(above, "up").select("pos", "tree", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("seen") + F.col("_seen")).alias("seen")))
+        ended.append(moved.where("up IS NULL").select(*names))
+        active = moved.where("up IS NOT NULL").select(*names)
+    answered = every.where("up IS NOT NULL").select(F.col("up").alias("pos")).distinct()
+    ranked = _ranked(reduce(DataFrame.unionByName, ended).join(answered, "pos", "left_anti").select("pos", "tree", "score", "seen"))
     chosen = ranked if branches is None else ranked.where(F.col("branch") <= branches)
-    reach = chosen.select("leaf", "branch", F.col("leaf").alias("pos"), F.col("seen").alias("place"))
-    for k in range(len(levels) - 2, -1, -1):
-        reach = durable(reach)
-        ups = levels[k].where("up IS NOT NULL").select("pos", F.col("up").alias("_up"))
-        reach = reach.unionByName(reach.join(ups, "pos").select("leaf", "branch", F.col("_up").alias("pos"), (F.col("place") - (1 << k)).alias("place")))
+    reach = durable(chosen.select("leaf", "branch", F.col("leaf").alias("pos"), F.col("seen").alias("place")))
+    for k in range(len(levels) - 1, -1, -1):
+        ups = levels[k].select("pos", F.col("up").alias("_up"))
+        above = reach.join(ups, "pos").select("leaf", "branch", F.col("_up").alias("pos"), (F.col("place") - (1 << k)).alias("place"))
+        reach = reach.unionByName(durable(above))
     return reach
 
 
