@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from credence import reference_values as V
 from credence.functions.text import city_key, fuzzy_token_eq, norm_token, strip
+from credence.operators import grid
+
 
 def find_phrases(words: DataFrame, phrases: dict[str, tuple[str, int]]) -> DataFrame:
     """First run of consecutive words equal to each phrase (within typos), with
@@ -48,10 +50,14 @@ def join_words(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def words_in_bands(words: DataFrame, bands: DataFrame) -> DataFrame:
     """Words whose centre lies in a half-open band (page_id, field_key, x0, x1,
-    y0, y1). Pages meet on their id; a page has a handful of bands."""
+    y0, y1). A centre lies in one cell of the grid, and bands are dealt to the cells
+    that hold words."""
     cx, cy = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
-    return words.withColumns({"_cx": cx, "_cy": cy}).join(bands, "page_id").where(
-        (F.col("x0") <= F.col("_cx")) & (F.col("_cx") < F.col("x1")) & (F.col("y0") <= F.col("_cy")) & (F.col("_cy") < F.col("y1"))).drop("_cx", "_cy")
+    placed = words.withColumns({"_cx": cx, "_cy": cy})
+    dealt = grid.points(placed, F.col("_cx"), F.col("_cy"))
+    edges = bands.select("page_id", "field_key", F.col("x0").alias("x1"), F.col("x1").alias("x2"), F.col("y0").alias("y1"), F.col("y1").alias("y2"))
+    return grid.meet(dealt, edges, "page_id").where(
+        (F.col("x1") <= F.col("_cx")) & (F.col("_cx") < F.col("x2")) & (F.col("y1") <= F.col("_cy")) & (F.col("_cy") < F.col("y2"))).drop("_cx", "_cy", "x1", "x2", "y1", "y2")
 
 
 # Captions of the two-column form with their typo budget.
@@ -112,15 +118,19 @@ def match_rois(boxes: DataFrame, rois: DataFrame, share: float = 0.5) -> DataFra
     their own area.
 
     boxes: page_id, left, top, width, height (pixels); rois: page_id, field_key,
-    x, y, w, h (fractions), page_width, page_height."""
-    px = rois.select("page_id", "field_key", (F.col("x") * F.col("page_width")).alias("rx1"), (F.col("y") * F.col("page_height")).alias("ry1"),
-                     (F.col("x") * F.col("page_width") + F.col("w") * F.col("page_width")).alias("rx2"),
-                     (F.col("y") * F.col("page_height") + F.col("h") * F.col("page_height")).alias("ry2"))
+    x, y, w, h (fractions), page_width, page_height. Boxes and regions meet in the
+    cells of a grid that both touch; the cell with the first corner of their overlap
+    reports them, so a pair counts once. ``share`` must be above 0."""
+    px = rois.select("page_id", "field_key", (F.col("x") * F.col("page_width")).alias("x1"), (F.col("y") * F.col("page_height")).alias("y1"),
+                     (F.col("x") * F.col("page_width") + F.col("w") * F.col("page_width")).alias("x2"),
+                     (F.col("y") * F.col("page_height") + F.col("h") * F.col("page_height")).alias("y2"))
     right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
-    wide = F.greatest(F.lit(0.0), F.least(right, F.col("rx2")) - F.greatest("left", "rx1"))
-    high = F.greatest(F.lit(0.0), F.least(bottom, F.col("ry2")) - F.greatest("top", "ry1"))
+    wide = F.greatest(F.lit(0.0), F.least(right, F.col("x2")) - F.greatest("left", "x1"))
+    high = F.greatest(F.lit(0.0), F.least(bottom, F.col("y2")) - F.greatest("top", "y1"))
     area = (F.col("width") * F.col("height")).cast("double")
-    hits = boxes.where((F.col("width") > 0) & (F.col("height") > 0)).join(px, "page_id").where(wide * high / area >= share)
+    dealt = grid.boxes(boxes.where((F.col("width") > 0) & (F.col("height") > 0)), F.col("left"), F.col("top"), right, bottom)
+    first = (F.floor(F.greatest("left", "x1") / grid.CELL) == F.col(grid.X)) & (F.floor(F.greatest("top", "y1") / grid.CELL) == F.col(grid.Y))
+    hits = grid.meet(dealt, px, "page_id").where(first & (wide * high / area >= share))
     return hits.groupBy("page_id", "field_key").agg(
         F.min("left").alias("x"), F.min("top").alias("y"), (F.max(right) - F.min("left")).alias("w"), (F.max(bottom) - F.min("top")).alias("h"),
         F.count("*").alias("boxes"))

@@ -275,15 +275,15 @@ _FONT = {**WORD_VIEW,
 
 @query("font_outliers", "E32", with_views("SELECT page_id, pos, text, metric FROM lone", extra=_FONT))
 def font_outliers(spark, folder):
-    return forensics.font_outliers(words(spark, folder)).select("page_id", "pos", "text", "metric")
+    return forensics.font_outliers(forensics.font_samples(words(spark, folder))).select("page_id", "pos", "text", "metric")
 
 
 @query("font_scores", "E32", with_views(
     """SELECT page_id, samples, coalesce(k, 0) AS outliers, CASE WHEN samples >= 6 THEN CAST(round(CAST(greatest(0.0, 1.0 - 0.3 * coalesce(k, 0)) AS DECIMAL(20,9)), 4) AS DOUBLE) END AS score
        FROM (SELECT page_id, count(*) FILTER (length(trim(text)) >= 3 AND conf >= 40 AND width > 0 AND height > 0) AS samples FROM words GROUP BY 1) LEFT JOIN (SELECT page_id, count(*) AS k FROM lone GROUP BY 1) USING (page_id)""", extra=_FONT))
 def font_scores(spark, folder):
-    rows = words(spark, folder)
-    return forensics.font_scores(rows, forensics.font_outliers(rows))
+    samples = forensics.font_samples(words(spark, folder))
+    return forensics.font_scores(samples, forensics.font_outliers(samples))
 
 
 _CELLS = {"cells": """SELECT supp AS page_id, part % 24 AS cy, price % 20 AS cx, max(CASE WHEN qty >= 46 THEN 40 + qty ELSE qty / 10.0::DOUBLE END) AS err FROM pages_ GROUP BY 1, 2, 3""",
@@ -371,7 +371,7 @@ _CLONED = """SELECT page_id, v1, ox, oy FROM (SELECT page_id, count(*) AS points
 @query("font_flags", "E32", with_views("""SELECT page_id, pos, 'Font mismatch on field ' || CASE WHEN contains(text, chr(39)) AND NOT contains(text, '"') THEN '"' || replace(text, chr(92), chr(92) || chr(92)) || '"'
     ELSE chr(39) || replace(replace(text, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) END || ' (' || metric || ')' AS flag FROM lone""", extra=_FONT))
 def font_flags(spark, folder):
-    return forensics.font_flags(forensics.font_outliers(words(spark, folder)))
+    return forensics.font_flags(forensics.font_outliers(forensics.font_samples(words(spark, folder))))
 
 
 @query("error_flags", "E33", _reach_sql(

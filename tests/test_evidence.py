@@ -18,7 +18,7 @@ WORDS = "page_id int, pos int, text string, conf double, width int, height int"
 
 
 def outliers(spark, words):
-    return [r.text for r in forensics.font_outliers(spark.createDataFrame(word_rows(words), WORDS)).collect()]
+    return [r.text for r in forensics.font_outliers(forensics.font_samples(spark.createDataFrame(word_rows(words), WORDS))).collect()]
 
 
 def test_font_cases(spark):
@@ -27,9 +27,9 @@ def test_font_cases(spark):
     assert outliers(spark, body + body[:2]) == []
     assert outliers(spark, body + [("CERTIFICATE", 220, 60), ("REGISTRATION", 240, 62)]) == []
     one_word = spark.createDataFrame(word_rows(body[:1]), WORDS)
-    assert forensics.font_scores(one_word, forensics.font_outliers(one_word)).first().score is None
+    assert forensics.font_scores(forensics.font_samples(one_word), forensics.font_outliers(forensics.font_samples(one_word))).first().score is None
     rows = spark.createDataFrame(word_rows(body + [("TAMPERED", 90, 58)]), WORDS)
-    assert forensics.font_scores(rows, forensics.font_outliers(rows)).first().score == 0.7
+    assert forensics.font_scores(forensics.font_samples(rows), forensics.font_outliers(forensics.font_samples(rows))).first().score == 0.7
 
 
 def brute_components(cells):
