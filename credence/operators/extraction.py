@@ -15,7 +15,8 @@ from credence import reference_values as V
 from credence.functions.arrays import compact, first_match, flag_if
 from credence.functions.numbers import round_to
 from credence.functions.text import (
-    clean_lines, first_line_with, fuzzy_token_eq, looks_noisy, norm_token, normalise_value, strip, strip_leading_captions)
+    clean_lines, escape_regex, fuzzy_token_eq, looks_noisy, norm_token, normalise_value, strip, strip_leading_captions)
+from credence.session import stored
 
 
 def first_group(text: Column, pattern: str, blind: bool = False) -> Column:
@@ -36,12 +37,30 @@ def caption_tail(line: Column, upper: Column, labels: list[str]) -> Column:
     return tail
 
 
+def caption_lines(upper: Column) -> Column:
+    """(at, line) of the lines that hold any caption of any template, in order: one
+    pattern over all captions passes over every line once, and the fields' rules look
+    at the few lines it leaves."""
+    captions = sorted({label for specs in V.TEMPLATE_FIELDS.values() for s in specs for label in s.get("labels", [])} | {V.CERTIFIED_CAPTION})
+    pattern = "|".join(escape_regex(c) for c in captions)
+    placed = F.transform(upper, lambda line, i: F.struct((i + 1).alias("at"), line.alias("line")))
+    return F.filter(placed, lambda h: h["line"].rlike(pattern))
+
+
+def caption_at(hits: Column, labels: list[str]) -> Column:
+    """Number of the first line that holds one of ``labels``, 0 if none does."""
+    holds = lambda h: reduce(Column.__or__, [h["line"].contains(label) for label in labels])
+    return F.coalesce(F.get(F.filter(hits, holds), 0)["at"], F.lit(0))
+
+
 def header_at(upper: Column) -> Column:
-    """Line of the TIN | NAME | REGISTRATION DATE header, a few typos allowed."""
+    """Line of the TIN | NAME | REGISTRATION DATE header, a few typos allowed. Only
+    lines of three words or more, one of them long enough for REGISTRATION, are
+    compared word by word."""
     def is_header(line: Column) -> Column:
         tokens = F.transform(F.split(line, " "), norm_token)
         near = lambda word, typos: F.exists(tokens, lambda t: fuzzy_token_eq(t, word, typos, normalised=True))
-        return (F.size(tokens) >= 3) & near("NAME", 1) & near("REGISTRATION", 4) & near("DATE", 1)
+        return line.rlike("[^ ]{8}") & line.rlike("(?s) .* ") & near("REGISTRATION", 4) & near("NAME", 1) & near("DATE", 1)
     return first_match(upper, is_header)
 
 
@@ -72,14 +91,15 @@ def extract(pages: DataFrame, template: str) -> DataFrame:
     lines, upper, text = F.col("_lines"), F.col("_upper"), F.col("_text")
     captioned = [s for s in specs if s["mode"] in ("label", "above")]
     modes = {s["mode"] for s in specs}
-    places = {s["key"]: first_line_with(upper, s["labels"]) for s in captioned}
+    hits = F.col("_hits")
+    places = {s["key"]: caption_at(hits, s["labels"]) for s in captioned}
     if "header_name" in modes:
         places["header"] = header_at(upper)
     if "certified_1" in modes:
-        places["certified"] = first_line_with(upper, [V.CERTIFIED_CAPTION])
+        places["certified"] = caption_at(hits, [V.CERTIFIED_CAPTION])
     lined = pages.select("page_id", clean_lines(F.col("text")).alias("_lines"))
     ready = lined.select("page_id", "_lines", F.transform("_lines", F.upper).alias("_upper"), F.array_join("_lines", "\n").alias("_text"))
-    placed = ready.withColumns({f"_at_{k}": at for k, at in places.items()})
+    placed = ready.withColumn("_hits", caption_lines(upper)).withColumns({f"_at_{k}": at for k, at in places.items()})
     at = lambda key: F.col(f"_at_{key}")
 
     tails = {f"_tail_{s['key']}": caption_tail(_line(lines, at(s["key"])), _line(upper, at(s["key"])), s["labels"])
@@ -121,8 +141,15 @@ def extract(pages: DataFrame, template: str) -> DataFrame:
         F.expr(f"get(array({needed}), ord)").alias("required"), F.col("value").isNotNull().alias("matched"))
 
 
+def store_pages(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, template, text) written once, by template: extraction then reads
+    each page once, and figures of the same pages read no more than they need."""
+    return stored(pages.select("page_id", "text", "template"), "template")
+
+
 def extract_all(pages: DataFrame) -> DataFrame:
-    """Field rows of pages with any template (column ``template``)."""
+    """Field rows of pages with any template (column ``template``), best from
+    ``store_pages``."""
     parts = [extract(pages.where(F.col("template") == name), name) for name in V.TEMPLATE_FIELDS]
     return reduce(DataFrame.unionByName, parts)
 

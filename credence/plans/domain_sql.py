@@ -160,8 +160,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Extra views that cost much and are read more than once.
+ONCE = {"sheets", "lined", "fields", "cwords", "graded"}
+
+
 def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """Prefix a statement with the views it needs, dependencies first."""
+    """Prefix a statement with the views it needs, dependencies first. Views that
+    others read several times are worked out once."""
     ordered: list[str] = []
 
     def need(name: str) -> None:
@@ -173,5 +178,5 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     for name in names:
         need(name)
     parts = [f"{name} AS ({VIEWS[name][1]})" for name in ordered]
-    parts += [f"{name} AS ({sql})" for name, sql in (extra or {}).items()]
+    parts += [f"{name} AS {'MATERIALIZED ' * (name in ONCE)}({sql})" for name, sql in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -97,17 +97,18 @@ CONF = {"tokmean": "SELECT page_id, token, avg(conf) AS m FROM (SELECT page_id,
         "graded": "SELECT f.*, c.confidence FROM fields f LEFT JOIN fconf c USING (page_id, field_key)"}
 
 
-def certificate_words(spark, folder):
-    tokens = sheets(spark, folder).select("page_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where(F.col("text") != "")
+def certificate_words(pages):
+    tokens = pages.select("page_id", F.posexplode(F.split("text", "[ \n]+")).alias("pos", "text")).where(F.col("text") != "")
     return tokens.withColumn("conf", 45 + (F.col("pos").cast("long") * 37 + F.col("page_id") * 101) % 55)
 
 
 def _fields(spark, folder):
-    return extraction.extract_all(sheets(spark, folder))
+    return extraction.extract_all(extraction.store_pages(sheets(spark, folder)))
 
 
 def _graded(spark, folder):
-    return extraction.with_confidence(_fields(spark, folder), certificate_words(spark, folder))
+    own = extraction.store_pages(sheets(spark, folder))
+    return extraction.with_confidence(extraction.extract_all(own), certificate_words(own))
 
 
 @query("certificate_text", "I8", with_views("SELECT page_id, template, text FROM sheets", extra=RECORDS))
@@ -193,8 +194,8 @@ _QUALITY = f"""SELECT page_id, template, char_count, keywords_found, word_count,
 
 @query("page_quality", "E17 I14", with_views(_QUALITY, extra={**FIELDS, **WORDS}))
 def page_quality(spark, folder):
-    own = sheets(spark, folder)
-    rows = extraction.page_quality(own, certificate_words(spark, folder), extraction.extract_all(own))
+    own = extraction.store_pages(sheets(spark, folder))
+    rows = extraction.page_quality(own, certificate_words(own), extraction.extract_all(own))
     return rows.withColumn("flags", F.array_join("flags", "; ")).drop("missing_required").withColumn("char_count", F.col("char_count").cast("long")).withColumn("keywords_found", F.col("keywords_found").cast("int"))
 
 
