@@ -268,13 +268,17 @@ def identified(docs: DataFrame, known: list[Clause] | None = None, phrases: dict
     every clause met.
 
     "General public license" after lesser, library or affero brings the label of that
-    license; base_labels keeps what the phrases say. Two narrow passes."""
+    license beside the phrase's own. Two narrow passes.
+
+    Null and empty texts have no words and no labels; repeated rows and null ids are
+    rows like any other; columns other than doc_id and text are ignored; an empty
+    table gives no rows."""
     known = clauses() if known is None else known
     matcher = Matcher(known, frequencies(docs, {str(i): b" ".join(c.words).decode() for i, c in enumerate(known)}))
     gpl = (b"general", b"public", b"license")
 
     def told(words: list[bytes], starts: list[tuple[int, str]]) -> set[str]:
-        return {KINDS.get(words[at - 1], label) if at and tuple(words[at:at + 3]) == gpl else label for at, label in starts}
+        return {label for _, label in starts} | {KINDS[words[at - 1]] for at, _ in starts if at and tuple(words[at:at + 3]) == gpl and words[at - 1] in KINDS}
     return _labelled(docs, PHRASES if phrases is None else phrases, lambda text, words: matcher.meets(words), told)
 
 

@@ -213,10 +213,28 @@ def test_windows_equal_brute_force():
 def test_other_licenses_and_long_lines_get_no_wrong_label(docs_of, spark):
     cases = {
         "Released under the Apache License": "apache", "Released under the BSD License": "bsd", "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by-sa",
-        "Licensed under the MIT License, Version 2.0": "mit", "This work is licensed under the GNU Lesser General Public License, version 2.1": "lgpl",
-        "This work is licensed under the GNU Affero General Public License, version 3": "agpl", "Lesser General Public License and the General Public License": "gpl,lgpl",
+        "Licensed under the MIT License, Version 2.0": "mit", "This work is licensed under the GNU Lesser General Public License, version 2.1": "gpl,lgpl",
+        "This work is licensed under the GNU Affero General Public License, version 3": "agpl,gpl", "Lesser General Public License and the General Public License": "gpl,lgpl",
         "released " + "word " * 50 + "under " + "word " * 50 + "the driver's license": "", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
     }
     got, rows = license_labels(spark, docs_of, list(cases))
     assert got == list(cases.values())
     assert rows[5].base_labels == "gpl" and rows[8].score == 0.0
+
+
+def test_registered_scan_on_odd_tables(docs_of, spark):
+    """What ``identified`` gives, from the words of each text one by one."""
+    long = "word " * 60_000
+    texts = [None, "", "MIT License", "mit-license MIT\nlicense", "the GNU Lesser General Public License", "GNU Affero General\nPublic License", "Apache License " * 3, long + "Apache LICENSE", "GENERAL PUBLIC LICENSE", "Ünïversal mit licensé", "\x00mit\x00license"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, texts[2]), (None, None)]
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    got = sorted((tuple(r) for r in license_join.identified(docs_of(rows)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()), key=str)
+    want = []
+    for doc, text in rows:
+        words = [w.decode() for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
+        places = [(i, label) for i in range(len(words)) for phrase, label in phrases.items() if words[i:i + len(phrase.split())] == phrase.split()]
+        base = sorted({label for _, label in places})
+        more = {{"lesser": "lgpl", "affero": "agpl"}.get(words[i - 1]) for i, label in places if label == "gpl" and i} - {None}
+        want.append((doc, len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(base), ",".join(sorted({*base, *more}))))
+    assert got == sorted(want, key=str)
+    assert license_join.identified(docs_of([])).count() == 0
