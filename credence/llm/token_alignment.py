@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -28,16 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import byte_column, durable, mapped
+from credence.llm.common import byte_column, durable, give_back, mapped
 
-#: Steps of a piece, pieces merged at once, tokens of a batch of texts, bytes of it.
-WIDTH, PIECES, TOKENS, BYTES = 1024, 512, 1_000_000, 4_000_000
+#: Steps of a piece, pieces merged at once, packed ids of a batch of texts in bytes,
+#: texts of a batch in bytes.
+WIDTH, PIECES, PACKED, BYTES = 1024, 128, 500_000, 2_000_000
 #: Pairs held in the broadcast table; runs of text a worker remembers.
-FREQUENT, REMEMBERED = 1 << 19, 200_000
+FREQUENT, REMEMBERED = 1 << 19, 300_000
 #: A single blank between two characters that are no white space. A's words begin at
 #: such a blank, and no piece of B has a blank mark inside, so neither tokenizer ever
 #: joins what stands before it with what follows.
 CUT = re.compile(r" (?<=\S )(?=\S)")
+#: Fixed by A's file: how a text is cut into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters beyond Cyrillic and common punctuation.
+BEYOND = re.compile("[^\\x00-\u052f\u2010-\u2027\u20a0-\u20b5]").search
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +89,31 @@ class Vocabularies(NamedTuple):
     def bits(self) -> int:
         return max(1, (len(self.b) - 1).bit_length())
 
+    def kinds(self) -> tuple[str, str]:
+        """Type codes of packed ids: two bytes where a vocabulary allows, else four."""
+        return tuple("H" if len(names) <= 1 << 16 else "I" for names in self)
+
     def widths(self) -> tuple[np.ndarray, np.ndarray]:
         return np.array([len(t) for t in self.a]), np.array([len(t) for t in self.b])
 
 
+def _visible() -> dict[str, int]:
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = (b for b in range(256) if b not in plain)
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(shifted)}
+
+
+#: The byte that each visible character stands for: printable Latin-1 for itself, the
+#: code points from 256 on for the other bytes, in order.
+_BYTES = _visible()
+
+
 def byte_level(token: str) -> bytes:
-    """Bytes of a byte-level token: printable Latin-1 stands for itself, the other
-    bytes for the code points from 256 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shifted = {256 + k: byte for k, byte in enumerate(b for b in range(256) if b not in plain)}
-    return bytes(shifted.get(ord(c), ord(c)) for c in token)
+    """Bytes of a byte-level token; one with other characters is taken as it is."""
+    try:
+        return bytes([_BYTES[c] for c in token])
+    except KeyError:
+        return token.encode()
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -99,51 +121,83 @@ def piece_bytes(piece: str) -> bytes:
     return bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()
 
 
+class Shape(NamedTuple):
+    """What tasks need of the vocabularies: bytes per token, bits of a B id, types."""
+    widths: tuple[np.ndarray, np.ndarray]
+    bits: int
+    kinds: tuple[str, str]
+
+
 class Encoders:
-    """Both tokenizers, and the ids of the runs of text met lately. A run is what
-    stands between two cuts; A takes it after a blank, B puts that blank itself."""
+    """Both tokenizers, and the packed ids of the runs of text met lately. A run is
+    what stands between two cuts; A takes it after a blank, B puts that blank itself.
+
+    Runs of characters whose class does not hang on the version of Unicode are merged
+    by the ranks of A's file, which are its ids; others by its own library."""
 
     def __init__(self, first: bytes, second: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_str(first.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=second)
+        model = json.loads(first)["model"]
         names = {i: t for t, i in self.a.get_vocab(True).items()}
-        self.words = Vocabularies([byte_level(names[i]) if i in names else b"" for i in range(max(names) + 1)], [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())])
-        self.apart = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.vocab_size()))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.words = Vocabularies([byte_level(names[i]) if i in names else b"" for i in range(max(names) + 1)], [piece_bytes(p) for p in pieces])
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        merges = ["".join(m.split(" ", 1) if isinstance(m, str) else m) for m in model["merges"]]
+        ranked = all(model["vocab"][m] == 256 + k for k, m in enumerate(merges))
+        ranks = {byte_level(t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+        self.quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy if ranked else None
+        self.sizes = self.words.widths()
         self.forget()
 
     def forget(self) -> None:
         """Drop the runs; the tokenizers stay."""
-        self.index: dict[str, int] = {}
-        self.made: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        self.packed: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.uneven: set[str] = set()
 
     def _learn(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 2000):
-            part = runs[at:at + 2000]
-            for run, one, two in zip(part, self.a.encode_batch_fast([" " + r for r in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
-                whole = (" " + run).encode()
-                same = whole == b"".join([self.words.b[i] for i in two]) and whole == b"".join([self.words.a[i] for i in one.ids])
-                self.index[run] = len(self.made)
-                self.made.append((np.array(one.ids, dtype=np.uint32), np.array(two, dtype=np.uint32), same))
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and of B of every text; none where a text is empty or where the
-        bytes of its tokens are not a blank and the text."""
-        if len(self.index) > REMEMBERED:
+        """Encode runs, two thousand as one text where blanks may stand between them:
+        its ids fall apart at the ends of the runs."""
+        kinds, joins = self.words.kinds(), [r for r in runs if self.quick and self.apart and not BEYOND(r) and not r[0].isspace() and not r[-1].isspace()]
+        rest = [r for r in runs if r not in set(joins)] if len(joins) < len(runs) else []
+        for at in range(0, len(joins), 2000):
+            part = joins[at:at + 2000]
+            line = " ".join(part)
+            both = np.asarray(self.quick(" " + line)), np.array(self.b.encode(line))
+            if b"".join([self.words.b[i] for i in both[1].tolist()]) != b" " + line.encode():
+                rest += part
+                continue
+            ends = np.cumsum([len(r.encode()) + 1 for r in part])
+            for known, ids, width, kind in zip(self.packed, both, self.sizes, kinds, strict=True):
+                packed, size = ids.astype(kind).tobytes(), array(kind).itemsize
+                stops = ((np.searchsorted(np.cumsum(width[ids]), ends) + 1) * size).tolist()
+                known.update(zip(part, [packed[a:b] for a, b in itertools.pairwise([0, *stops])], strict=True))
+        for run in rest:
+            whole = (" " + run).encode()
+            for known, names, ids, kind in zip(self.packed, self.words, (self.a.encode(" " + run, add_special_tokens=False).ids, self.b.encode(run)), kinds, strict=True):
+                known[run] = array(kind, ids).tobytes()
+                if whole != b"".join([names[i] for i in ids]):
+                    self.uneven.add(run)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of A and of B of every text; none where a text is empty or where
+        the bytes of its tokens are not a blank and the text."""
+        if len(self.packed[0]) > REMEMBERED:
             self.forget()
         runs = [(CUT.split(t) if self.apart else [t]) if t else [] for t in texts]
-        self._learn([r for r in dict.fromkeys(itertools.chain.from_iterable(runs)) if r not in self.index])
-        out, empty = [], np.empty(0, dtype=np.uint32)
+        self._learn([r for r in dict.fromkeys(itertools.chain.from_iterable(runs)) if r not in self.packed[0]])
+        out = []
         for text, parts in zip(texts, runs, strict=True):
-            known = [self.made[k] for k in map(self.index.__getitem__, parts)]
-            a, b = (np.concatenate([k[n] for k in known]) if known else empty for n in (0, 1))
-            if not all([k[2] for k in known]):
+            a, b = (b"".join(map(known.__getitem__, parts)) for known in self.packed)
+            if self.uneven and not self.uneven.isdisjoint(parts):
                 whole = b" " + text.encode()
-                if any(whole != b"".join([names[i] for i in ids.tolist()]) for names, ids in ((self.words.a, a), (self.words.b, b))):
-                    a = b = empty
+                if any(whole != b"".join([names[i] for i in array(kind, ids)]) for names, kind, ids in zip(self.words, self.words.kinds(), (a, b), strict=True)):
+                    a = b = b""
             out.append((a, b))
         return out
 
@@ -160,9 +214,16 @@ def encoders_of(first: bytes, second: bytes) -> Encoders:
     return _ENCODERS[key]
 
 
+def unload() -> None:
+    """Give up the tokenizers: the stages after the first work on ids alone."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        give_back()
+
+
 def tokens(docs: DataFrame, first: bytes, second: bytes) -> DataFrame:
-    """doc_id, a and b (ids as little-endian unsigned 32-bit integers) per row of
-    ``docs``; other columns are ignored. One narrow pass, texts a few MB at a time."""
+    """doc_id, a and b (packed ids) per row of ``docs``; other columns are ignored. One
+    narrow pass, texts a few MB at a time."""
     files = docs.sparkSession.sparkContext.broadcast((first, second))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +232,7 @@ def tokens(docs: DataFrame, first: bytes, second: bytes) -> DataFrame:
             ids, texts = batch.column(batch.schema.get_field_index("doc_id")), byte_column(batch, "text")
             for start, stop in bounded([len(t or b"") for t in texts], BYTES):
                 both = coder.encode([(t or b"").decode("utf-8", "replace") for t in texts[start:stop]])
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), *(pa.array([p[n].astype("<u4").tobytes() for p in both], pa.binary()) for n in (0, 1))], ["doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), *(pa.array([p[n] for p in both], pa.binary()) for n in (0, 1))], ["doc_id", "a", "b"])
         coder.forget()
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, a binary, b binary")
 
@@ -211,10 +272,12 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def align(ids_a: list[bytes], ids_b: list[bytes], widths: tuple[np.ndarray, np.ndarray], bits: int) -> Aligned:
+def align(ids_a: list[bytes], ids_b: list[bytes], words: Shape) -> Aligned:
     """Align the texts of a batch."""
-    a, b = (np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64) for ids in (ids_a, ids_b))
-    starts_a, starts_b = (np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64) for ids in (ids_a, ids_b))
+    widths, bits = words.widths, words.bits
+    packed = [np.frombuffer(b"".join(ids), dtype=kind) for ids, kind in zip((ids_a, ids_b), words.kinds, strict=True)]
+    starts_a, starts_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids]) // p.itemsize]).astype(np.int64) for ids, p in zip((ids_a, ids_b), packed, strict=True))
+    a, b = (p.astype(np.int64) for p in packed)
     ends_a, ends_b = np.cumsum(widths[0][a]), np.cumsum(widths[1][b])
     owner = np.repeat(np.arange(len(ids_a)), np.diff(starts_a))
     room = int(len(widths[0]) - 1).bit_length() + bits
@@ -236,27 +299,26 @@ def batches_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
     """Rows of a table of tokens, a bounded number of tokens at a time."""
     for batch in batches:
         a, b = (batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("a", "b"))
-        for start, stop in bounded([(len(x) + len(y)) // 4 for x, y in zip(a, b, strict=True)], TOKENS):
+        for start, stop in bounded([len(x) + len(y) for x, y in zip(a, b, strict=True)], PACKED):
             yield batch.slice(start, stop - start), a[start:stop], b[start:stop]
 
 
-def counts(rows: DataFrame, words: Vocabularies) -> DataFrame:
+def counts(rows: DataFrame, words: Shape) -> DataFrame:
     """pair, docs and best of every pair of ids that some text has linked: how many
     texts have it, and whether no pair of its A id is in more. Tasks count before
     anything is shuffled."""
-    widths, bits = words.widths(), words.bits
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
         held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         for _, a, b in batches_of(batches):
-            pair = align(a, b, widths, bits).pair
+            pair = align(a, b, words).pair
             held = summed(np.concatenate([held[0], pair]), np.concatenate([held[1], np.ones(len(pair), dtype=np.int64)]))
             if len(held[0]) > FREQUENT:
                 yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], ["pair", "docs"])
                 held = held[0][:0], held[1][:0]
         yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], ["pair", "docs"])
     pairs = durable(mapped(rows, run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")))
-    token = F.shiftright("pair", bits)
+    token = F.shiftright("pair", words.bits)
     most = pairs.groupBy(token.alias("token")).agg(F.max("docs").alias("most"))  # a row per id of A
     return durable(pairs.join(F.broadcast(most), token == F.col("token")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")))
 
@@ -305,7 +367,9 @@ def aligned(docs: DataFrame, first: str, second: str, most: int = FREQUENT) -> D
     than doc_id and text are ignored. An empty table gives no rows."""
     with open(first, "rb") as one, open(second, "rb") as two:
         files = one.read(), two.read()
-    words = encoders_of(*files).words
+    vocabulary = encoders_of(*files).words
+    words = Shape(vocabulary.widths(), vocabulary.bits, vocabulary.kinds())
+    unload()
     rows = durable(tokens(docs, *files).withColumn("row", F.monotonically_increasing_id()))
     pairs = counts(rows, words)
     often, rare = frequent(pairs, most)
@@ -313,12 +377,13 @@ def aligned(docs: DataFrame, first: str, second: str, most: int = FREQUENT) -> D
     key = table.column("pair").to_numpy()
     order = np.argsort(key)
     lookup = docs.sparkSession.sparkContext.broadcast((key[order], table.column("docs").to_numpy()[order], table.column("best").to_numpy(zero_copy_only=False)[order]))
-    widths, bits, split = words.widths(), words.bits, rare is not None
+    split = rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unload()
         known, docs_of, best_of = lookup.value
         for batch, a, b in batches_of(batches):
-            found, size = align(a, b, widths, bits), batch.num_rows
+            found, size = align(a, b, words), batch.num_rows
             at = np.minimum(np.searchsorted(known, found.pair), max(len(known) - 1, 0))
             hit = known[at] == found.pair if len(known) else np.zeros(len(found.pair), dtype=bool)
 
