@@ -4,7 +4,7 @@ Inputs are the domain frames; nothing here knows where they come from."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence import reference_values as V
@@ -14,7 +14,9 @@ from credence.functions.formatting import (
     activity_icon, action_headline, byte_size, first_truthy, flag_category, humanise_flag, joined_address,
     preview_kind, submission_reference)
 from credence.functions.numbers import ratio, round_to
+from credence.operators.ordering import natural_key
 from credence.operators.risk import risk_band
+from credence.session import durable
 
 PENDING = "pending_review"
 DECIDED = ("approved", "resubmission_requested")
@@ -242,13 +244,15 @@ def percent(score: Column) -> Column:
     return round_to(score * 100, 0).cast("long")
 
 
-def component_set(results: DataFrame) -> DataFrame:
-    """Component rows of the drill-down for each result, in long form."""
+def component_set(results: DataFrame, *extra: str) -> DataFrame:
+    """Component rows of the drill-down for each result, in long form. A row without a
+    result (``scored`` false, where that column is given) has no stage available."""
     ready, missing = lambda c: F.col(c).isNotNull(), F.lit("Stage not yet available.")
+    scored = F.col("scored") if "scored" in results.columns else F.lit(True)
     marks = V.PASS_MARKS
     def row(name: str, score: str, passed: Column, detail: Column) -> Column:
         return F.struct(F.lit(name).alias("component"), percent(F.col(score)).alias("percent"),
-                        F.coalesce(passed, F.lit(False)).alias("passed"), detail.alias("detail"))
+                        F.coalesce(passed, F.lit(False)).alias("passed"), F.when(scored, detail).otherwise(missing).alias("detail"))
 
     classified = F.concat(F.lit("Classified as "), F.when(F.col("is_fake"), "fake").otherwise("genuine"))
     rows = F.array(
@@ -262,7 +266,31 @@ def component_set(results: DataFrame) -> DataFrame:
         row("stamp", "stamp_score", F.col("stamp_score") >= marks["stamp"],
             F.when(ready("stamp_score"), "Compared against the issuer reference logo.")
             .otherwise("Stamp/logo region detected, but no reference logo is on file for this issuer yet.")))
-    return results.select("submission_id", "document_id", F.inline(rows))
+    return results.select("submission_id", "document_id", *extra, F.inline(rows))
+
+
+COMPONENT_COLUMNS = ("text_score", "classification_confidence", "signature_score", "signature_distance", "stamp_score", "is_fake")
+
+
+def component_sets(documents: DataFrame, results: DataFrame, types: DataFrame) -> DataFrame:
+    """The drill-down's filters with their component rows: per submission the set
+    ``all`` of its riskiest document, and one per document type from that type's
+    riskiest document, numbered in the natural order of their labels (``ord``; ``all``
+    is 0). A document without a result shows every stage as not yet available.
+
+    The riskiest of a submission is the riskiest of its types' riskiest, so documents
+    and results meet once."""
+    per_type = primary_documents(documents, results, by_type=True)
+    own = results.select("document_id", "document_risk_score", *COMPONENT_COLUMNS, F.lit(True).alias("scored"))
+    picked = durable(typed_documents(per_type, types).join(own, "document_id", "left").withColumn("scored", F.coalesce("scored", F.lit(False))))
+    line = Window.partitionBy("submission_id")  # a submission has a row per type at most
+    risk = [F.coalesce("document_risk_score", F.lit(-1.0)).desc(), F.col("document_id")]
+    placed = picked.withColumns({"_rank": F.row_number().over(line.orderBy(*risk)),
+                                 "ord": F.row_number().over(line.orderBy(natural_key(F.col("type_name")), F.col("document_type_id")))})
+    known = F.col("document_type_id").isNotNull()
+    by_type = placed.withColumns({"key": F.when(known, F.concat(F.lit("type-"), "document_type_id")).otherwise("unassigned"), "label": F.col("type_name")})
+    overall = placed.where("_rank = 1").withColumns({"key": F.lit("all"), "label": F.lit("All"), "ord": F.lit(0)})
+    return component_set(by_type.unionByName(overall), "ord", "key", "label")
 
 
 # Warning tokens in priority order with their chip and reason.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from credence import reference_values as V
 from credence.functions.vectors import clip_box, valid_box
+from credence.operators import result_columns as mapping
 from credence.operators import rollup, stages
 from credence.plans import domain as D
 from credence.plans.domain_sql import with_views
@@ -275,3 +277,53 @@ def page_timings(spark, folder):
     rows = pages(spark, folder).select("document_id", "page_index", "qty", (F.col("price") % 97 / 8.0).alias("other_ms"))
     totals = rows.groupBy("document_id").agg(F.sum(F.col("qty") * 3).cast("double").alias("ocr_ms"))
     return rollup.page_timings(rows.drop("qty").join(totals, "document_id"))
+
+
+_RUN_SQL = {"runs_": """SELECT document_id, supp, page_index AS version, CASE WHEN part % 7 <> 0 THEN [part % 900, price % 700, 10 + supp % 80, qty] END AS signature_bbox, CASE WHEN supp % 5 <> 0 THEN [part % 640, price % 480, 40, 40] END AS stamp_bbox,
+      class_status = 'completed' AS c_ran, label, confidence, authenticity, qty % 4 <> 0 AS o_ran, 'page ' || part AS text, disc * 10.0::DOUBLE AS ocr_confidence, (100 - price % 50) / 100.0::DOUBLE AS text_score, qty % 6 AS matched,
+      CASE WHEN part % 3 = 0 THEN 'City ' || (supp % 20) END AS city, price % 5 <> 0 AS s_there, price % 5 > 2 AS s_ran, price % 5 = 1 AS s_unknown, qty / 20.0::DOUBLE AS distance,
+      supp % 4 <> 0 AS t_there, supp % 4 > 1 AS t_ran, CASE supp % 4 WHEN 1 THEN 'no_stamp_detected' WHEN 2 THEN 'unreferenced_logo' END AS t_reason, (700 + part % 300) / 1000.0::DOUBLE AS stamp_similarity,
+      CASE WHEN part % 2 = 0 THEN disc % 2 = 0 END AS tampered, CASE WHEN price % 3 <> 0 THEN 'lgu' END AS scope FROM pages_"""}
+
+
+def _latest(value: str, when: str) -> str:
+    return f"arg_max({{'v': {value}}}, version) FILTER ({when}).v"
+
+
+@query("result_columns", "E22 H1", sql(
+    f"""SELECT document_id, {', '.join(f"{_latest(v, w)} AS {n}" for n, v, w in (
+        ("signature_bbox", "array_to_string(signature_bbox, ',')", "TRUE"), ("stamp_bbox", "array_to_string(stamp_bbox, ',')", "TRUE"),
+        ("classification_label", "label", "c_ran"), ("classification_confidence", "confidence", "c_ran"), ("classification_authenticity", "authenticity", "c_ran"),
+        ("ocr_extracted_text", "text", "o_ran"), ("ocr_confidence", "ocr_confidence", "o_ran"), ("text_validation_score", "text_score", "o_ran"),
+        ("text_fields_matched", "matched", "o_ran"), ("text_fields_expected", "CAST(6 AS BIGINT)", "o_ran"), ("detected_city", "city", "o_ran AND city IS NOT NULL"),
+        ("signature_distance", "distance", "s_ran"), ("signature_passed", "distance <= 1.243976::DOUBLE", "s_ran"),
+        ("signature_score", "round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - distance / (2.0::DOUBLE * 1.243976::DOUBLE))), 4)", "s_ran"),
+        ("signature_detected", "s_ran", "s_there"), ("stamp_tampered", "tampered", "t_ran AND tampered IS NOT NULL"),
+        ("stamp_similarity", "stamp_similarity", "t_ran AND t_reason IS NULL"), ("stamp_score", "stamp_similarity", "t_ran AND t_reason IS NULL"),
+        ("stamp_passed", "stamp_similarity >= 0.85::DOUBLE", "t_ran AND t_reason IS NULL"), ("logo_reference_id", "supp", "t_ran AND t_reason IS NULL"),
+        ("stamp_detected", "t_ran AND t_reason IS NULL", "t_there"),
+        ("flags", "concat_ws('; ', CASE WHEN s_ran AND distance > 1.243976::DOUBLE THEN 'signature_mismatch' END, CASE WHEN s_unknown THEN 'no_signature_reference' END, "
+                  "CASE WHEN t_ran AND t_reason IS NULL AND stamp_similarity < 0.85::DOUBLE THEN 'stamp_mismatch' END, CASE WHEN t_there AND NOT (t_ran AND t_reason IS NULL) THEN CASE WHEN scope IS NULL THEN 'no_issuer_logo' ELSE t_reason END END)", "TRUE")))}
+       FROM runs_ GROUP BY document_id""", _RUN_SQL))
+def result_columns(spark, folder):
+    """The result row of every document after all its runs: a page is a run, and
+    stages are absent, skipped or completed on it. A group of columns keeps what the
+    last run left that filled it."""
+    c, lit = F.col, lambda v: F.lit(v)
+    state = lambda done, reason=None: (F.when(done, "completed").otherwise("skipped").alias("status"), *([] if reason is None else [reason.alias("reason")]))
+    distance, similarity = c("qty") / 20.0, (700 + c("part") % 300) / 1000.0
+    stamp_reason = F.when(c("supp") % 4 == 1, "no_stamp_detected").when(c("supp") % 4 == 2, "unreferenced_logo")
+    runs = pages(spark, folder).select(
+        "document_id", c("page_index").alias("version"),
+        F.when(c("part") % 7 != 0, F.array(c("part") % 900, c("price") % 700, 10 + c("supp") % 80, c("qty"))).alias("signature_bbox"),
+        F.when(c("supp") % 5 != 0, F.array(c("part") % 640, c("price") % 480, lit(40), lit(40))).alias("stamp_bbox"),
+        F.struct(c("class_status").alias("status"), "label", "confidence", "authenticity").alias("classification"),
+        F.struct(*state(c("qty") % 4 != 0), F.concat(lit("page "), "part").alias("text"), (c("disc") * 10.0).alias("confidence"), ((100 - c("price") % 50) / 100.0).alias("score"),
+                 (c("qty") % 6).alias("matched"), lit(6).cast("long").alias("expected"), F.when(c("part") % 3 == 0, F.concat(lit("City "), c("supp") % 20)).alias("city"), lit(1).alias("pages")).alias("ocr"),
+        F.when(c("price") % 5 != 0, F.struct(*state(c("price") % 5 > 2, F.when(c("price") % 5 == 1, "no_reference_embedding").when(c("price") % 5 == 2, "no_signature_detected")),
+                                             distance.alias("distance"), lit(V.SIGNATURE_DISTANCE).alias("threshold"), (distance <= V.SIGNATURE_DISTANCE).alias("match"))).alias("signature"),
+        F.when(c("supp") % 4 != 0, F.struct(*state(c("supp") % 4 > 1, stamp_reason), similarity.alias("similarity"), (similarity >= 0.85).alias("match"),
+                                            F.when(c("part") % 2 == 0, c("disc") % 2 == 0).alias("tampered"), c("supp").alias("reference_id"))).alias("stamp"),
+        F.when(c("price") % 3 != 0, "lgu").alias("issuer_scope"))
+    rows = mapping.merge_runs(mapping.map_stages(runs, ["document_id", "version"]), ["document_id"], "version").drop("filled")
+    return rows.withColumns({n: F.array_join(n, ",") for n in ("signature_bbox", "stamp_bbox")} | {"flags": F.array_join("flags", "; ")})

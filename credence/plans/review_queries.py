@@ -293,6 +293,28 @@ def component_breakdown(spark, folder):
     return review.component_set(D.results(spark, folder).join(picks, "document_id", "left_semi"))
 
 
+_SET_SQL = """SELECT submission_id, document_id, CAST(ord AS INTEGER) AS ord, key, label, component, CAST(round(CAST(score * 100 AS DECIMAL(20,9)), 0) AS BIGINT) AS percent, passed, CASE WHEN scored THEN detail ELSE 'Stage not yet available.' END AS detail FROM (
+    SELECT submission_id, document_id, ord, key, label, scored, unnest([
+      {'component': 'text', 'score': text_score, 'passed': coalesce(text_score >= 0.70::DOUBLE, FALSE), 'detail': CASE WHEN text_score IS NULL THEN 'Stage not yet available.' ELSE 'Fields checked.' END},
+      {'component': 'classification', 'score': classification_confidence, 'passed': coalesce(classification_confidence >= 0.70::DOUBLE, FALSE),
+        'detail': CASE WHEN classification_confidence IS NULL THEN 'Stage not yet available.' WHEN is_fake THEN 'Classified as fake' ELSE 'Classified as genuine' END},
+      {'component': 'signature', 'score': signature_score, 'passed': coalesce(signature_distance <= 1.243976::DOUBLE, FALSE),
+        'detail': CASE WHEN signature_distance IS NULL THEN 'Signature region detected, but no reference is enrolled for this vendor yet.' ELSE 'Compared against the reference enrolled at registration.' END},
+      {'component': 'stamp', 'score': stamp_score, 'passed': coalesce(stamp_score >= 0.85::DOUBLE, FALSE),
+        'detail': CASE WHEN stamp_score IS NULL THEN 'Stamp/logo region detected, but no reference logo is on file for this issuer yet.' ELSE 'Compared against the issuer reference logo.' END}], recursive := true) FROM (
+      SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY lower(label), document_type_id) AS ord, coalesce('type-' || document_type_id, 'unassigned') AS key FROM best
+      UNION ALL BY NAME SELECT * REPLACE ('All' AS label), 0 AS ord, 'all' AS key FROM best QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY coalesce(risk, -1) DESC, document_id) = 1))"""
+_BEST_SQL = """SELECT d.submission_id, d.document_id, d.document_type_id, coalesce(type_name, 'Unassigned') AS label, r.document_id IS NOT NULL AS scored, r.document_risk_score AS risk, r.text_score, r.classification_confidence, r.signature_score, r.signature_distance, r.stamp_score, r.is_fake
+    FROM documents d LEFT JOIN results r USING (document_id) LEFT JOIN document_types t ON t.document_type_id = d.document_type_id
+    QUALIFY row_number() OVER (PARTITION BY d.submission_id, d.document_type_id ORDER BY coalesce(r.document_risk_score, -1) DESC, d.document_id) = 1"""
+
+
+@query("component_sets_by_type", "E27 G11", with_views(_SET_SQL, "documents", "results", "document_types", extra={"best": _BEST_SQL}))
+def component_sets_by_type(spark, folder):
+    """The sets of the drill-down: all, and one per type of document present."""
+    return review.component_sets(D.documents(spark, folder), D.results(spark, folder), D.document_types(spark))
+
+
 @query("document_risk", "E20 E21 E36", with_views(
     """SELECT document_id, submission_id, document_risk_score AS score, document_level AS level, hard_override,
        CAST(round(CAST(base AS DECIMAL(20,9)), 2) AS DOUBLE) AS base, penalties FROM results""", "results"))
