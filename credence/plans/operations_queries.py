@@ -396,7 +396,7 @@ _DECIDED = """SELECT s.submission_id, s.vendor_id, d.decision AS status, d.offic
     WHERE s.status = 'pending_review' AND d.decision IN ('approved', 'resubmission_requested')"""
 
 
-def _decided(spark, folder):
+def decided(spark, folder):
     rows = D.submissions(spark, folder)
     key = F.col("submission_id")
     decisions = rows.select(
@@ -412,7 +412,7 @@ def _decided(spark, folder):
     f"SELECT submission_id, status, reviewed_by, {TS.format('reviewed_at')} AS reviewed_at, review_comments FROM decided",
     "submissions", extra={"decisions": _DECISIONS, "decided": _DECIDED}))
 def officer_decisions(spark, folder):
-    return _decided(spark, folder).select("submission_id", "status", "reviewed_by",
+    return decided(spark, folder).select("submission_id", "status", "reviewed_by",
                                           stamp(F.col("reviewed_at")).alias("reviewed_at"), "review_comments")
 
 
@@ -421,14 +421,14 @@ def officer_decisions(spark, folder):
        SELECT vendor_id, arg_max({'status': status, 'score': composite_risk_score}, (reviewed_at, submission_id)) AS d FROM decided GROUP BY 1)""",
     "submissions", extra={"decisions": _DECISIONS, "decided": _DECIDED}))
 def vendor_state_changes(spark, folder):
-    return mutate.vendor_changes(_decided(spark, folder))
+    return mutate.vendor_changes(decided(spark, folder))
 
 
 @query("decision_events", "A8 H5", with_views(
     f"""SELECT reviewed_by AS user_id, 'submission.' || status AS action, submission_id AS entity_id, vendor_id, risk_level, {TS.format('reviewed_at')} AS created_at FROM decided""",
     "submissions", extra={"decisions": _DECISIONS, "decided": _DECIDED}))
 def decision_events(spark, folder):
-    rows = mutate.decision_events(_decided(spark, folder))
+    rows = mutate.decision_events(decided(spark, folder))
     return rows.select("user_id", "action", "entity_id", "details.vendor_id", "details.risk_level",
                        stamp(F.col("created_at")).alias("created_at"))
 
@@ -443,7 +443,7 @@ def decision_events(spark, folder):
 def vendor_change_diff(spark, folder):
     scored = F.col("risk_score").isNotNull().alias("scored")
     before = D.vendors(spark, folder).select("vendor_id", "status", scored)
-    after = mutate.vendor_changes(_decided(spark, folder)).select("vendor_id", "status", scored)
+    after = mutate.vendor_changes(decided(spark, folder)).select("vendor_id", "status", scored)
     return mutate.changed_columns(before, after, "vendor_id", ["status", "scored"])
 
 
@@ -482,7 +482,7 @@ def processed_notices(spark, folder):
        FROM decided d JOIN vendors v USING (vendor_id) JOIN officers r ON r.user_id = d.reviewed_by, officers o)""",
     "submissions", "vendors", "officers", extra={"decisions": _DECISIONS, "decided": _DECIDED}))
 def decision_notices(spark, folder):
-    rows = notices.decided(_decided(spark, folder), D.vendors(spark, folder), D.users(spark, folder))
+    rows = notices.decided(decided(spark, folder), D.vendors(spark, folder), D.users(spark, folder))
     return rows.select("user_id", "subject", "body", "submission_id")
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_log(rows: DataFrame, path: str, on: str = "created_at") -> None:
-    """Append-only table partitioned by day."""
-    rows.withColumn("day", F.to_date(on)).write.mode("append").partitionBy("day").parquet(path)
+def append_log(rows: DataFrame, path: str, on: str = "created_at", unit: str = "day") -> None:
+    """Append-only table partitioned by day, or by the first day of a coarser unit where
+    a batch spans years. A batch adds a file per unit and shuffle partition at most."""
+    day = F.to_date(on) if unit == "day" else F.to_date(F.date_trunc(unit, on))
+    rows.withColumn("day", day).repartition("day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_version(rows: DataFrame, root: str) -> str:
@@ -24,3 +26,9 @@ def write_version(rows: DataFrame, root: str) -> str:
 def export_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header, quoted where needed."""
     rows.write.mode("errorifexists").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """One text file per (folder, name) of rows (folder, name, body), each body ended by
+    a line feed: ``path/folder=.../name=.../part-*``. Rows of one name should be one."""
+    rows.select("folder", "name", "body").write.mode("errorifexists").partitionBy("folder", "name").text(path)

@@ -76,39 +76,38 @@ def scored_documents(spark: SparkSession, root: str) -> DataFrame:
 FINISHED = "submission_id long, finished boolean, composite_risk_score double, revision int"
 
 
+STATE = ("expected int, revision int, finished boolean, risk double, "
+         "documents array<struct<document_id: long, version: string, terminal: boolean, risk: double>>")
+
+
 class Barrier(StatefulProcessor):
     """Keyed state of a submission: the newest state of each of its documents, and
     what was last emitted. A row goes out when the submission is finished for the
-    first time (revision 1), and again only if a later state changes that answer."""
+    first time (revision 1), and again only if a later state changes that answer.
+
+    All of it is one value, read and written once per submission and batch: a round
+    trip to the state store costs more than the few documents of a submission."""
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def __init__(self, shape: T.StructType, keep_ms: int | None = None):
+        self.shape, self.keep_ms = shape, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = T.StructType([T.StructField("version", T.StringType()), T.StructField("terminal", T.BooleanType()), T.StructField("risk", T.DoubleType())])
-        self.documents = handle.getMapState("documents", T.StructType([T.StructField("document_id", T.LongType())]), shape, self.keep_ms)
-        self.emitted = handle.getValueState("emitted", T.StructType([T.StructField("expected", T.IntegerType()), T.StructField("revision", T.IntegerType()),
-                                                                     T.StructField("finished", T.BooleanType()), T.StructField("risk", T.DoubleType())]))
+        self.held = handle.getValueState("held", self.shape, self.keep_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
-        before = self.emitted.get()
-        expected, revision, finished, risk = tuple(before) if before is not None else (0, 0, False, None)
-        fresh: dict[int, tuple] = {}
+        before = self.held.get()
+        expected, revision, finished, risk, listed = tuple(before) if before is not None else (0, 0, False, None, [])
+        known = {d[0]: tuple(d[1:]) for d in listed}
         for row in rows:
             expected = max(expected, row.expected or 0)
             state = (row.version or "", row.processing_status in rollup.TERMINAL, row.risk)
-            if row.document_id is not None and (row.document_id not in fresh or _order(state) > _order(fresh[row.document_id])):
-                fresh[row.document_id] = state
-        known = {k[0]: tuple(v) for k, v in self.documents.iterator()}
-        for document, state in fresh.items():
-            if document not in known or _order(state) > _order(known[document]):
-                known[document] = state
-                self.documents.updateValue((document,), state)
+            if row.document_id is not None and (row.document_id not in known or _order(state) > _order(known[row.document_id])):
+                known[row.document_id] = state
         done = sum(terminal for _, terminal, _ in known.values())
         now = expected > 0 and done >= expected and done == len(known)
         score = max((r for _, _, r in known.values() if r is not None), default=None) if now else None
         changed = (now, score) != (finished, risk)
-        self.emitted.update((expected, revision + changed, now, score))
+        self.held.update((expected, revision + changed, now, score, [(d, *state) for d, state in known.items()]))
         if changed:
             yield Row(submission_id=key[0], finished=now, composite_risk_score=score, revision=revision + 1)
 
@@ -135,14 +134,14 @@ def finish_submissions(stream: DataFrame, root: str, keep_ms: int | None = None)
     brings and nothing stored is read again. The order of arrival does not matter: of
     a document the state of the highest version counts, also within a batch. Whoever
     is late changes the answer by a new revision, whoever reopens it takes it back
-    (finished false). ``keep_ms`` lets the state of documents expire that long after
-    their last change."""
+    (finished false). ``keep_ms`` lets the state of a submission expire that long after
+    its last change."""
     spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         answers = stream.groupBy("submission_id").transformWithState(
-            Barrier(keep_ms), spark.createDataFrame([], FINISHED).schema, "Update", "None" if keep_ms is None else "ProcessingTime")
+            Barrier(spark.createDataFrame([], STATE).schema, keep_ms), spark.createDataFrame([], FINISHED).schema, "Update", "None" if keep_ms is None else "ProcessingTime")
         table = finished_table(spark, root)
         run_available(answers, lambda batch, n: table.apply(batch, n, newest(table.keys, ["revision"])), root, mode="update")
     finally:
