@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from credence.session import ensure_checkpoint_dir
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _LIBC = ctypes.CDLL(None)
 #: A-Z become a-z; every other byte stays.
@@ -42,13 +43,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Write the rows to the cluster's shared folder and go on from there, so that
     a lost executor costs one task and never a different recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (tests, single machines) a folder below the warehouse is taken."""
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    session of one process gets a temporary folder, a cluster an error."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "steps")
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
