@@ -398,6 +398,12 @@ def clone_flags(spark, folder):
            CASE o_orderkey % 4 WHEN 3 THEN CAST(NULL AS TIMESTAMP) WHEN 2 THEN date_trunc('day', o_orderdate + to_days(CAST(o_custkey % 9 - 4 AS INTEGER))) ELSE o_orderdate + to_days(CAST(o_custkey % 9 - 4 AS INTEGER)) + INTERVAL 10 HOUR END AS modified,
            CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 2 DAY END AS issued FROM orders))"""))
 def metadata_checks(spark, folder):
+    rows = forensics.metadata_checks(_provenance(D.table(spark, folder, "orders")))
+    return rows.select("document_id", "score", "editor", F.array_join("flags", "; ").alias("flags"))
+
+
+def _provenance(orders):
+    """Provenance fields of a file per row of (o_orderkey, o_custkey, o_orderdate)."""
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     tools = F.get(F.array(*[F.lit(x) for x in ("Adobe Photoshop 25", "HP Scan", None, "GIMP 2.10", "Adobe PDF Library", "Canon iR")]), (key % 6).cast("int"))
     changed = day + F.make_dt_interval((F.col("o_custkey") % 9 - 4).cast("int"), F.lit(10))
@@ -406,11 +412,29 @@ def metadata_checks(spark, folder):
                 .when(key % 4 == 2, F.date_format(changed, "yyyy-MM-dd")).otherwise("unknown"))
     created = F.when(key % 11 != 0, F.date_format(day + F.expr("INTERVAL 9 HOURS"), "yyyy:MM:dd HH:mm:ss"))
     issued = F.when(key % 7 != 0, F.date_format(day + F.expr("INTERVAL 2 DAYS"), "yyyy-MM-dd")).otherwise("MAR 2017")
-    files = D.table(spark, folder, "orders").select(
+    return orders.select(
         key.alias("document_id"), tools.alias("software"), F.lit(None).cast("string").alias("producer"), created.alias("create_date"),
         modified.alias("modify_date"), issued.alias("issue_date"))
-    rows = forensics.metadata_checks(files)
-    return rows.select("document_id", "score", "editor", F.array_join("flags", "; ").alias("flags"))
+
+
+_PHOTOS = "(SELECT s_suppkey AS o_orderkey, s_nationkey AS o_custkey, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 300 AS INTEGER)) AS o_orderdate FROM supplier)"
+
+
+@query("enrolment_reasons", "F12 E31 E34", page_sql(f"""SELECT photo_id, concat_ws('; ', nullif(m.flags, ''), c.flag) AS reasons, m.flags <> '' OR c.flag IS NOT NULL AS hard_flag FROM (
+    SELECT document_id AS photo_id, flags FROM ({STATEMENTS["metadata_checks"].replace("FROM orders", "FROM " + _PHOTOS)})) m
+    LEFT JOIN (SELECT page_id AS photo_id, 'Copy-move: ' || v1 || ' cloned keypoints at offset [' || ox || ', ' || oy || ']' AS flag FROM cloned) c USING (photo_id)""", {**_POINTS, "cloned": _CLONED}))
+def enrolment_reasons(spark, folder):
+    """Reasons against every enrolment photo (a supplier's) from its file's provenance
+    and its keypoints; any one fails it."""
+    day = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("s_suppkey") % 300).cast("int"))
+    photos = D.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("o_orderkey"), F.col("s_nationkey").alias("o_custkey"), day.alias("o_orderdate"))
+    read = forensics.metadata_checks(_provenance(photos)).select(F.col("document_id").alias("photo_id"), "flags")
+    points = keypoints(spark, folder)
+    cloned = forensics.clone_flags(forensics.clone_scores(points, forensics.offset_votes(forensics.nearest_descriptors(points))))
+    both = read.join(cloned.select(F.col("page_id").alias("photo_id"), F.array("flag").alias("cloned")), "photo_id", "left")
+    reasons = forensics.enrolment_forensics(F.col("flags"), F.coalesce("cloned", F.array().cast("array<string>")))
+    return both.select("photo_id", F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) > 0).alias("hard_flag"))
+
 
 def _document_tamper_sql() -> str:
     techniques = {"metadata": 0.2, "ela": 0.25, "copy_move": 0.25, "font": 0.15, "cross_reference": 0.15}
