@@ -51,15 +51,16 @@ COLUMNS = {
         "certificate_no": f"'BN ' || {_text('p_partkey + 1000000')}", "trn_no": f"'DTI-' || {_text(f'{_P} % 9 + 2015')} || '-' || {_text('p_partkey', 8)}",
     }),
 }
-#: Form -> lines of its page: literals, and columns in braces.
+#: Form -> lines of its page: literals, and columns in braces. The captions are those
+#: that the field rules look for; what stands around them is made up.
 LINES = {
     "bir": ("REPUBLIC OF THE PHILIPPINES", "BUREAU OF INTERNAL REVENUE", "REVENUE REGION NO. {revenue_region_no}", "REVENUE DISTRICT NO. {rdo_code}", "Form No. 2303", "{ocn}", "OCN",
             "CERTIFICATE OF REGISTRATION", "TIN NAME REGISTRATION DATE", "{tin} | {registered_name}  {registration_date}", "REGISTERED ADDRESS", "{registered_address}", "TAX TYPE", "{tax_types}",
             "TRADE NAME", "{trade_name}", "LINE OF BUSINESS / INDUSTRY", "{line_of_business}", "REVENUE DISTRICT OFFICER: {revenue_district_officer}", "Date Issued {date_issued}"),
-    "permit": ("Republic of the Philippines", "CITY OF {city_issued}", "BUSINESS PERMIT", "{name_of_proprietor}", "NAME OF PROPRIETOR", "{trade_name}.", "TRADE NAME", "{business_location}", "BUSINESS LOCATION",
-               "{kind_of_business}", "KIND OF BUSINESS", "Issued this  {date_issued}, at City Hall."),
-    "dti": ("DEPARTMENT OF TRADE & INDUSTRY", "This certifies that", "{business_name}", "{business_address}", "is a business name registered in this office pursuant to the provisions", "certificate issued to",
-            "{owner_representative_name}", "is valid from {date_issued} to {expiry_date} subject to compliance", "Certificate No. {certificate_no}", "TRN: {trn_no}"),
+    "permit": ("Copy kept by the CITY OF {city_issued}", "BUSINESS PERMIT of one year", "{kind_of_business}", "KIND OF BUSINESS", "{business_location}", "BUSINESS LOCATION",
+               "{trade_name}.", "TRADE NAME", "{name_of_proprietor}", "NAME OF PROPRIETOR", "Sealed and issued this  {date_issued}, fee paid"),
+    "dti": ("TRN: {trn_no}", "Certificate No. {certificate_no}", "Extract from the DEPARTMENT OF TRADE", "The clerk certifies that", "{business_name}", "{business_address}",
+            "is a BUSINESS NAME in the books, issued to", "{owner_representative_name}", "Good for use and valid from {date_issued} to {expiry_date}, both days counted"),
 }
 #: Form -> (template, place of its page ids among three).
 TEMPLATES = {"bir": ("bir", 0), "permit": ("business_permit", 1), "dti": ("dti", 2)}
