@@ -19,27 +19,26 @@ DOCK DUTY
 LINE OF BUSINESS / INDUSTRY  5210 COLD ROOMS
 JUN 21  2020
 """
-PERMIT = """CITY OF PORT EAST
-BUSINESS PERMIT
-UMA KELLER
-NAME OF PROPRIETOR
+PERMIT = """Archive of the CITY OF PORT EAST
+LAMP REPAIR
+KIND OF BUSINESS
 PIER LAMPS.
 TRADE NAME
+BUSINESS PERMIT
 7 HARBOUR STEPS, OLD TOWN
 BUSINESS LOCATION
-LAMP REPAIR
-KIND OF BUSINESS
-Issued this 3rd day of MARCH , 2016, at Port East.
+UMA KELLER
+NAME OF PROPRIETOR
+Stamped, and issued this 3rd day of MARCH , 2016, noon
 """
-DTI = """This certifies that
+DTI = """TRN: DTI-2021-90817263
+A clerk certifies that
 TIDE TABLES PRESS
 18 GANNET ROW, PORT EAST
-is a business name registered in this office pursuant to
-certificate issued to
+is a business name registered, and the sheet was issued to
 OTTO VANCE
-is valid from 11/30/2021 to 11/30/2026 subject to
+Use it while valid from 11/30/2021 to 11/30/2026 only
 Certificate No. BN 4455667
-TRN: DTI-2021-90817263
 """
 
 
