@@ -279,7 +279,7 @@ def page_timings(spark, folder):
     return rollup.page_timings(rows.drop("qty").join(totals, "document_id"))
 
 
-_RUN_SQL = {"runs_": """SELECT document_id, supp, page_index AS version, CASE WHEN part % 7 <> 0 THEN [part % 900, price % 700, 10 + supp % 80, qty] END AS signature_bbox, CASE WHEN supp % 5 <> 0 THEN [part % 640, price % 480, 40, 40] END AS stamp_bbox,
+_RUN_SQL = {"runs_": """SELECT document_id, supp, {'p': page_index, 'a': price, 'q': qty, 'd': disc} AS version, CASE WHEN part % 7 <> 0 THEN [part % 900, price % 700, 10 + supp % 80, qty] END AS signature_bbox, CASE WHEN supp % 5 <> 0 THEN [part % 640, price % 480, 40, 40] END AS stamp_bbox,
       class_status = 'completed' AS c_ran, label, confidence, authenticity, qty % 4 <> 0 AS o_ran, 'page ' || part AS text, disc * 10.0::DOUBLE AS ocr_confidence, (100 - price % 50) / 100.0::DOUBLE AS text_score, qty % 6 AS matched,
       CASE WHEN part % 3 = 0 THEN 'City ' || (supp % 20) END AS city, price % 5 <> 0 AS s_there, price % 5 > 2 AS s_ran, price % 5 = 1 AS s_unknown, qty / 20.0::DOUBLE AS distance,
       supp % 4 <> 0 AS t_there, supp % 4 > 1 AS t_ran, CASE supp % 4 WHEN 1 THEN 'no_stamp_detected' WHEN 2 THEN 'unreferenced_logo' END AS t_reason, (700 + part % 300) / 1000.0::DOUBLE AS stamp_similarity,
@@ -314,7 +314,7 @@ def result_columns(spark, folder):
     distance, similarity = c("qty") / 20.0, (700 + c("part") % 300) / 1000.0
     stamp_reason = F.when(c("supp") % 4 == 1, "no_stamp_detected").when(c("supp") % 4 == 2, "unreferenced_logo")
     runs = pages(spark, folder).select(
-        "document_id", c("page_index").alias("version"),
+        "document_id", F.struct("page_index", "price", "qty", "disc").alias("version"),
         F.when(c("part") % 7 != 0, F.array(c("part") % 900, c("price") % 700, 10 + c("supp") % 80, c("qty"))).alias("signature_bbox"),
         F.when(c("supp") % 5 != 0, F.array(c("part") % 640, c("price") % 480, lit(40), lit(40))).alias("stamp_bbox"),
         F.struct(c("class_status").alias("status"), "label", "confidence", "authenticity").alias("classification"),
