@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from credence.session import ensure_checkpoint_dir
 
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LIBC = ctypes.CDLL(None)
 #: A-Z become a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,10 +45,19 @@ def durable(df: DataFrame) -> DataFrame:
     a lost executor costs one task and never a different recomputation.
 
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
-    session of one process gets a temporary folder, a cluster an error."""
+    session of one process gets a temporary folder, a cluster an error. Shuffle
+    files go with the write: later steps read the table."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,12 +68,17 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``: bounds what one step holds
-    when texts are long."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and, but for single rows that
+    are larger, ``size`` bytes: bounds what one step holds when texts are long."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            n = min(rows, batch.num_rows - start)
+            while n > 1 and batch.slice(start, n).nbytes > size:
+                n //= 2
+            yield batch.slice(start, n)
+            start += n
 
 
 def give_back() -> None:

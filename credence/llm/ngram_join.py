@@ -12,8 +12,8 @@ Documents with equal sets form a class; the join is between classes.
 * **Length and positional filters** use the sizes and the places of the shared
   n-gram. **The suffix filter** splits the universe of n-grams into fixed parts by
   hash: wherever two sets' counts in a part differ, they hold different n-grams,
-  and the number of these has a bound. The parities of 1,024 counts are sixteen longs,
-  compared inside the join; a second split, by each pair's own quartiles, precedes
+  and the number of these has a bound. The parities of 1,024 counts are sixteen longs;
+  folded to four they are compared inside the join, whole on each pair; a second split, by each pair's own quartiles, precedes
   the exact count.
 * **Verification** of each remaining pair, once, from the whole sets.
 
@@ -27,6 +27,7 @@ N-grams are 64-bit hashes (56 bits in the order), classes 64-bit hashes of sets.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -39,33 +40,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from credence.llm.common import byte_column, durable, mapped, slices, words
+from credence.llm.common import byte_column, durable, mapped, slices
 from credence.llm.components import components
 
 N = 5
 SKETCH_BITS, BLOCK = 20, 4096
-PARTS = 1024
+PARTS, FOLDED = 1024, 4
 #: Prefix n-grams of a class before the present one that a candidate is compared on,
 #: so as not to be given again.
 RECENT = 8
 REMEMBERED = 150_000
+#: Bytes of text whose words are hashed at once.
+STEP = 1 << 18
 _SIGNS = [f"s{i}" for i in range(PARTS // 64)]
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
-        return made
+#: 64-bit numbers of the bytes, capitals like their small letters.
+_LETTER = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_next_blank = re.compile(rb"[\x20\x09-\x0D]").search
 
 
-def _mix(h: np.ndarray, size: int, at: int, n: int) -> np.ndarray:
-    """Hashes of the ``n`` runs of ``size`` words that start at ``at`` and later."""
+def _powers(base: int) -> np.ndarray:
+    """``base`` to the powers 0 .. ``STEP``, modulo 2^64."""
+    out = np.full(STEP + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = x[1:] != x[:-1]
+    return x if new.all() else x[np.concatenate([[True], new])]
+
+
+def _mix(h: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Hashes of the first ``n`` runs of ``size`` words."""
     g = np.full(n, size, np.uint64)
     for k in range(size):
-        x = h[at + k:at + k + n]
+        x = h[k:k + n]
         g = g * _ODD[1] + (x ^ (x >> np.uint64(29))) * _ODD[k % 5]
     g ^= g >> np.uint64(32)
     g *= _ODD[0]
@@ -73,24 +90,76 @@ def _mix(h: np.ndarray, size: int, at: int, n: int) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of word n-grams of whole texts."""
+    """Sets of word n-grams of whole texts. A word's hash is the polynomial of its
+    bytes' numbers, taken from running sums over many texts at a time."""
 
     def __init__(self) -> None:
-        self.hashes = _Words()
+        self.power, self.inverse = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the words of at most ``STEP`` bytes."""
+        codes = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(_BLANK[codes], prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_LETTER[codes] * self.power[:len(codes)], out=sums[1:])
+        return starts, (sums[ends] - sums[starts]) * self.inverse[starts]
+
+    def _long_word(self, data: bytes) -> np.ndarray:
+        """The hash of one word of any length, block by block."""
+        total = 0
+        for at in range(0, len(data), STEP):
+            codes = np.frombuffer(data, np.uint8, min(STEP, len(data) - at), at)
+            total += int((_LETTER[codes] * self.power[:len(codes)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+        return np.array([total % (1 << 64)], np.uint64)
+
+    def _long_text(self, data: bytes) -> np.ndarray:
+        """Word hashes of a text longer than ``STEP``, in pieces cut at white space."""
+        found, at = [], 0
+        while at < len(data):
+            stop = min(len(data), at + STEP)
+            if stop < len(data):
+                cut = 1 + max(data.rfind(bytes([b]), at, stop) for b in np.flatnonzero(_BLANK).tolist())
+                if cut <= at:  # a word longer than a piece
+                    blank = _next_blank(data, stop)
+                    stop = blank.start() if blank else len(data)
+                    found.append(self._long_word(data[at:stop]))
+                    at = stop
+                    continue
+                stop = cut
+            found.append(self._words(data[at:stop])[1])
+            at = stop
+        return np.concatenate(found)
+
+    def _sets(self, h: np.ndarray, counts: list[int]) -> list[np.ndarray]:
+        """Sets of consecutive texts from their words' hashes, ``counts`` for each."""
+        grams, out, at = _mix(h, N, max(0, len(h) - N + 1)), [], 0
+        for n in counts:
+            if n >= N:
+                out.append(_sorted_distinct(grams[at:at + n - N + 1]))
+            else:
+                out.append(_mix(h[at:at + n], n, 1) if n else np.empty(0, np.uint64))
+            at += n
+        return out
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Sorted distinct n-gram hashes of each text. With fewer than five words
         the whole sequence is the only n-gram; without words the set is empty."""
-        lists = [words(t) if t else [] for t in texts]
-        get = self.hashes.__getitem__
-        out = []
-        with np.errstate(over="ignore"):
-            for some in lists:
-                h = np.fromiter(map(get, some), np.uint64, len(some))
-                if len(h) >= N:
-                    out.append(np.unique(_mix(h, N, 0, len(h) - N + 1)))
-                else:
-                    out.append(_mix(h, len(h), 0, 1) if len(h) else h)
+        out, i = [], 0
+        while i < len(texts):
+            group, size = [], 0
+            while i < len(texts) and size + len(texts[i] or b"") + 1 <= STEP:
+                group.append(texts[i] or b"")
+                size += len(group[-1]) + 1
+                i += 1
+            if group:
+                starts, h = self._words(b" ".join(group))
+                begin = np.cumsum([0, *(len(t) + 1 for t in group)])
+                out += self._sets(h, np.diff(np.searchsorted(starts, begin)).tolist())
+            else:
+                h = self._long_text(texts[i])
+                out += self._sets(h, [len(h)])
+                i += 1
         return out
 
 
@@ -239,11 +308,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(pairs.select("a", "b").join(one, "a").join(two, "b"), run, "a long, b long, common long")
 
 
-def _fits(left: str, right: str):
-    """Length and suffix filters on two rows with n and parities."""
+def _fits(left: str, right: str, signs: list[str]):
+    """Length and suffix filters on two rows with n and the parities ``signs``."""
     total = F.col(f"{left}.n") + F.col(f"{right}.n")
     need = F.floor((4 * total + 8) / 9)
-    different = reduce(add, [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _SIGNS])
+    different = reduce(add, [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in signs])
     length = 5 * F.least(f"{left}.n", f"{right}.n") >= 4 * F.greatest(f"{left}.n", f"{right}.n")
     return length & (different <= total - 2 * need), need
 
@@ -267,14 +336,19 @@ class Join:
     def _with_ends(self) -> DataFrame:
         """Candidates of every class and the first and last class of its lists."""
         ends = self.lists.select("cls", F.explode(F.array("low", "high")).alias("end")).where("cls <> end")
-        pairs = ends.select(F.least("end", "cls").alias("a"), F.greatest("end", "cls").alias("b")).distinct()
-        fits, _ = _fits("x", "y")
+        return self._fitting(ends.select(F.least("end", "cls").alias("a"), F.greatest("end", "cls").alias("b")).distinct())
+
+    def _fitting(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that pass the length filter and the suffix filter of all parities."""
+        fits, _ = _fits("x", "y", _SIGNS)
         return (pairs.join(self.classes.alias("x"), F.col("a") == F.col("x.cls")).join(self.classes.alias("y"), F.col("b") == F.col("y.cls"))
                 .where(fits).select("a", "b"))
 
     def pairs(self, roots: DataFrame | None = None) -> DataFrame:
         """Candidates (a < b) that share a prefix n-gram and pass all filters;
         with ``roots`` (node, root) only those from different components."""
+        # parities of coarser parts, a quarter as many, are exact as a filter too: parts added up differ in parity only if one of them does
+        folded = [reduce(lambda p, q: p.bitwiseXOR(q), map(F.col, _SIGNS[i::FOLDED])).alias(f"f{i}") for i in range(FOLDED)]
         rows = self.lists.select("key", "cls", "place").distinct()
         if roots is None:
             rows = rows.withColumn("root", F.col("cls"))
@@ -282,14 +356,14 @@ class Join:
             rows = rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
             split = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
             rows = rows.join(split, "key", "left_semi")
-        rows = durable(rows.join(self.classes.select("cls", *_SIGNS), "cls").withColumn("n", F.shiftright("place", 32)).withColumn("at", F.col("place").bitwiseAND(F.lit((1 << 32) - 1))))
+        rows = durable(rows.join(self.classes.select("cls", *folded), "cls").withColumn("n", F.shiftright("place", 32)).withColumn("at", F.col("place").bitwiseAND(F.lit((1 << 32) - 1))))
         # a pair is given at its first shared n-gram: where both hold one of the last few before, it has been
         last = Window.partitionBy("cls").orderBy("at").rowsBetween(-RECENT, -1)
         rows = rows.withColumn("recent", F.collect_list("key").over(last))
-        fits, need = _fits("x", "y")
+        fits, need = _fits("x", "y", [f"f{i}" for i in range(FOLDED)])
         place = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1) >= need
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits & place & ~F.arrays_overlap("x.recent", "y.recent")
-        return rows.alias("x").join(rows.alias("y"), met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        return self._fitting(rows.alias("x").join(rows.alias("y"), met).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
 
     def roots(self) -> DataFrame:
         """(node, root) of the classes that have a link."""

@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from credence.llm import ngram_join
+from credence.llm.common import slices
 from credence.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,6 +51,29 @@ def corpus():
     return rows
 
 
+def test_sets_of_texts_in_groups_and_in_pieces():
+    rng = random.Random(1)
+    texts = [None, b"", b" \n", b"A", b"a b c d", b"a b c d e", b"A B c D e f\tg"]
+    texts += [b" ".join(bytes(rng.choice(b"abXY\xc3") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for word in (b"q" * 700_000, b"Q" * 700_000, b"q" * 700_001):  # longer than a piece
+        texts += [word, b"x y " + word + b" z u v w " + b"ab " * 150_000 + b"end"]
+    texts.append(b" ".join(b"w%d" % i for i in range(100_000)))
+    rng.shuffle(texts)
+    shingler, named = ngram_join.Shingler(), {}
+    for text, grams, alone in zip(texts, shingler.sets(texts), [shingler.sets([t])[0] for t in texts], strict=True):
+        plain = shingles((text or b"").decode("latin-1"))
+        assert grams.tolist() == alone.tolist() == sorted(set(grams.tolist())) and len(grams) == len(plain)
+        assert named.setdefault(ngram_join.class_of(grams), plain) == plain
+    assert len(named) == len(set(named.values()))
+
+
+def test_slices_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (1 << 20)] * 60 + ["y" * (40 << 20)] + [None, ""] * 300)], ["text"])
+    parts = list(slices([batch]))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.nbytes <= 1 << 24 for p in parts) and max(p.num_rows for p in parts) == 256
+
+
 def test_components_equal_brute_force(docs_of, corpus):
     sets, _, roots = brute(corpus)
     got = {r.doc_id: r for r in ngram_join.near_components(docs_of(corpus)).collect()}
