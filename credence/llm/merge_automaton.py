@@ -25,6 +25,7 @@ import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,8 +37,9 @@ from credence.llm.common import byte_column, mapped, slices
 END = "\x00"
 #: Fixed by the tokenizer file: how a normalised text is cut into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
-#: A worker forgets what it has encoded once it holds this many runs or words.
-REMEMBERED = 150_000
+#: A worker that holds this many runs sets them aside, and forgets those that it set
+#: aside before; what is met again comes back. So often for words within runs.
+REMEMBERED = 75_000
 
 
 def byte_symbols() -> list[str]:
@@ -61,8 +63,16 @@ class MergeAutomaton:
         self.labels = [b""] * size
         for token, i in vocabulary.items():
             self.labels[i] = token.encode()
-        #: Every token and every start of one; -1 where the start is no token.
-        self.starts = {token[:k]: -1 for token in self.ids for k in range(1, len(token))} | self.ids
+        #: Every token and every start of one, with the longest token that it starts with (-1: none).
+        self.starts: dict[str, int] = {}
+        for start in sorted({token[:k] for token in self.ids for k in range(1, len(token) + 1)}, key=len):
+            self.starts[start] = self.ids.get(start, self.starts.get(start[:-1], -1))
+        self.length, self.shorter = [0] * size, [-1] * size
+        trie = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            trie.add_word(token, i)
+            self.length[i], self.shorter[i] = len(token), self.starts.get(token[:-1], -1)
+        self.trie = trie
         self.born = [0] * size
         self.left, self.right = [-1] * size, [-1] * size
         self.cut: dict[tuple[int, int], int] = {}
@@ -103,47 +113,39 @@ class MergeAutomaton:
         whole = self.ids.get(text)
         if whole is not None:
             return [whole]
-        n, tables, choices = len(text), self.arcs, self._choices
+        n, tables, length, shorter = len(text), self.arcs, self.length, self.shorter
         path: list[int] = []
-        stack: list[tuple[list[tuple[int, int]], int]] = []
         dead: set[int] = set()
-        options = choices(text, 0)
+        at, last, token = 0, -1, self._longest(text)
         while True:
-            row = tables[path[-1]] if path else None
-            while options:
-                stop, token = options.pop()
-                if stop in dead:
-                    continue
-                if row is None:
-                    break
-                known = row.get(token)
-                if known is None:
-                    known = row[token] = self._resolve(path[-1], token)
-                if known:
-                    break
+            while token >= 0:
+                stop = at + length[token]
+                if stop not in dead:
+                    if last < 0:
+                        break
+                    row = tables[last]
+                    known = row.get(token)
+                    if known is None:
+                        known = row[token] = self._resolve(last, token)
+                    if known:
+                        break
+                token = shorter[token]
             else:  # no arc leads on; the spelling up to here is unique, so never come back
                 if not path:
                     raise ValueError(f"the base symbols don't spell {word!r}")
-                path.pop()
-                options, at = stack.pop()
                 dead.add(at)
+                token = path.pop()
+                at -= length[token]
+                last, token = path[-1] if path else -1, shorter[token]
                 continue
             path.append(token)
             if stop == n:
                 return path
-            stack.append((options, stop))
-            options = choices(text, stop)
-
-    def _choices(self, text: str, at: int) -> list[tuple[int, int]]:
-        """The labels that continue ``text`` from ``at``, with their ends, the longest last."""
-        found, starts = [], self.starts
-        for stop in range(at + 1, len(text) + 1):
-            token = starts.get(text[at:stop])
-            if token is None:
-                break
-            if token >= 0:
-                found.append((stop, token))
-        return found
+            at, last, token = stop, token, self._longest(text[stop:])
+
+    def _longest(self, rest: str) -> int:
+        """The longest label that ``rest`` starts with; ``shorter`` leads to the others."""
+        return self.starts.get(rest[:self.trie.longest_prefix(rest)], -1)
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels of the arcs, joined as a file without a decoder asks for."""
@@ -169,11 +171,13 @@ class TextEncoder(dict):
         self.beyond = re.compile("[^\\x00-\\x1b\\x20-\\u052f\\u2010-\\u2027\\u20a0-\\u20b5]").search
         self.splitter = Tokenizer.from_str(definition.decode())
         self.table = dict(enumerate(byte_symbols()))
+        self.before: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, list[int]] = {}
 
     def forget(self) -> None:
         """Drop what was remembered; the automaton stays."""
         self.clear()
+        self.before = {}
         self.words.clear()
 
     def _ids(self, symbols: str) -> list[int]:
@@ -184,15 +188,24 @@ class TextEncoder(dict):
             known = self.words[symbols] = self.automaton.encode(symbols)
         return known
 
-    def _pair(self, pieces: list[str]) -> tuple[bytes, bytes]:
-        ids = [i for symbols in pieces for i in self._ids(symbols)]
+    def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
         return struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids)
 
+    def _pair(self, pieces: list[str]) -> tuple[bytes, bytes]:
+        return self._packed([i for symbols in pieces for i in self._ids(symbols)])
+
     def __missing__(self, run: str) -> tuple[bytes, bytes]:
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        table = self.table
-        made = self[run] = self._pair([w.encode().decode("latin-1").translate(table) for w in self.pieces(run)])
+        made = self.before.get(run)
+        if made is None:
+            if run.isascii() and run.isalpha():  # one word, its letters stand for themselves
+                made = self._packed(self.automaton.encode(run))
+            else:
+                table = self.table
+                made = self._pair([w.encode().decode("latin-1").translate(table) for w in self.pieces(run)])
+        self[run] = made
         return made
 
     def _segment(self, text: str) -> list[tuple[bytes, bytes]]:
