@@ -14,10 +14,12 @@ def submission_reference(submission_id: Column) -> Column:
 
 
 def byte_size(size: Column) -> Column:
-    """KB with one decimal below 1 MiB, MB with two from there on."""
+    """KB with one decimal below 1 MiB, MB with two from there on. Megabytes are taken
+    to six decimals before they are rounded half up, as the SQL of the list states: a
+    size one byte below such a half is printed as the half."""
     exact = size.cast("decimal(20,0)")  # rounded half up before it is printed
     kb = F.format_number(F.round(exact / F.lit(1024), 1).cast("decimal(20,1)"), 1)
-    mb = F.format_number(F.round(exact / F.lit(1048576), 2).cast("decimal(20,2)"), 2)
+    mb = F.format_number(F.round((size / F.lit(1048576)).cast("decimal(20,6)"), 2).cast("decimal(20,2)"), 2)
     return F.when(size < 1048576, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 

@@ -136,3 +136,11 @@ def test_files_from_disk(spark, tmp_path):
 def test_sizes_round_half_up(one):
     assert one(formatting.byte_size(F.lit(1280))) == "1.3 KB"
     assert one(formatting.byte_size(F.lit(1_048_575))) == "1,024.0 KB"
+
+
+def test_sizes_in_mb_round_as_the_sql_of_the_list(one):
+    import duckdb
+    sql = "SELECT CAST(round(CAST(CAST(? AS BIGINT) / 1048576 AS DECIMAL(20,6)) * 100, 0) AS BIGINT)"
+    for size in (3_350_200, 3_350_199, 3_350_201, 1_053_819, 1_048_576):
+        hundredths, = duckdb.execute(sql, [size]).fetchone()
+        assert one(formatting.byte_size(F.lit(size))) == f"{hundredths // 100}.{hundredths % 100:02d} MB"
