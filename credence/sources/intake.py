@@ -106,6 +106,6 @@ def read_written(spark: SparkSession, path: str) -> DataFrame:
     """Files as ``sinks.write_files`` leaves them: folder, name, content, length and
     modificationTime. Columns that are not asked for are not read; without ``content``
     the scan only lists."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    part = lambda key: F.regexp_extract("path", rf"/{key}=([^/]+)", 1).alias(key)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "name=*").load(path)
+    part = lambda key: F.url_decode(F.regexp_extract("path", rf"/{key}=([^/]*)", 1)).alias(key)
     return files.select(part("folder"), part("name"), "content", "length", "modificationTime")

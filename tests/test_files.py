@@ -30,3 +30,11 @@ def test_logs_by_day_and_by_year(spark, tmp_path):
         sinks.append_log(rows, path, unit=unit)
         read = spark.read.parquet(path)
         assert read.count() == 4 and {str(r.day) for r in read.select("day").distinct().collect()} == days
+
+
+def test_a_class_is_one_folder(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id % 3 AS folder", "'f-' || id AS name", "'x' AS body")
+    sinks.write_files(rows, str(tmp_path / "f"))
+    assert sum(p.is_dir() for p in (tmp_path / "f").rglob("*")) == 3
+    files = intake.read_written(spark, str(tmp_path / "f")).groupBy("folder").count()
+    assert {tuple(r) for r in files.collect()} == {("0", 100), ("1", 100), ("2", 100)}
