@@ -38,3 +38,11 @@ def test_a_class_is_one_folder(spark, tmp_path):
     assert sum(p.is_dir() for p in (tmp_path / "f").rglob("*")) == 3
     files = intake.read_written(spark, str(tmp_path / "f")).groupBy("folder").count()
     assert {tuple(r) for r in files.collect()} == {("0", 100), ("1", 100), ("2", 100)}
+
+
+def test_any_name_comes_back(spark, tmp_path):
+    names = ["a b.pdf", "50% off+.pdf", "x=y", "_hidden", ".dot", "ä/ß.png"]
+    rows = spark.createDataFrame([("c d", n, n) for n in names], "folder string, name string, body string")
+    sinks.write_files(rows, "file://" + str(tmp_path / "f"))
+    found = intake.read_written(spark, "file://" + str(tmp_path / "f")).collect()
+    assert {(r.folder, r.name, bytes(r.content).decode()) for r in found} == {("c d", n, n + "\n") for n in names}
