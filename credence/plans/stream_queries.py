@@ -37,10 +37,10 @@ def retry_ledger(spark, folder):
 
 def _arriving(rows, root, files, name="in"):
     """The rows as a stream of files, dealt by a hash so that every file holds early
-    and late ones, two to a batch."""
+    and late ones, a third of them to a batch."""
     source = os.path.join(root, name)
     rows.repartition(files, F.xxhash64(*rows.columns)).write.option("maxRecordsPerFile", 0).parquet(source)
-    return jobs.table_stream(rows.sparkSession, source, "part-", rows.schema, files_per_trigger=2)
+    return jobs.table_stream(rows.sparkSession, source, "part-", rows.schema, files_per_trigger=files // 3)
 
 
 @query("stream_activity", "C7 J6", """
@@ -83,7 +83,7 @@ def stream_barrier(spark, folder):
     risk = score_document(D.component_columns(), F.col("tamper_confidence"))["score"]
     at = F.lpad(F.col("attempt_order").cast("string"), 38, "0")
     step = lambda state, number, score: F.struct(F.concat(at, F.lit(number)).alias("version"), state.alias("processing_status"), score.alias("risk"))
-    states = attempts.select("submission_id", "document_id", F.inline(F.array(
+    states = attempts.join(expected, "submission_id").select("submission_id", "document_id", "expected", F.inline(F.array(
         step(F.lit("verifying"), "0", F.lit(None).cast("double")), step(F.col("processing_status"), "1", F.when(F.col("processing_status") != "verifying", risk)))))
-    jobs.finish_submissions(_arriving(states.join(expected, "submission_id"), root, 6), root)
+    jobs.finish_submissions(_arriving(states, root, 48), root)
     return jobs.finished_submissions(spark, root).select("submission_id", "composite_risk_score")

@@ -8,16 +8,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from credence.operators import rollup
 from credence.session import ensure_checkpoint_dir
-from credence.streaming.keyed import KeyedTable, newest, replacing
+from credence.streaming.keyed import KeyedTable, Merge, newest, replacing
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -74,78 +73,72 @@ def scored_documents(spark: SparkSession, root: str) -> DataFrame:
 
 # --- submission barrier -----------------------------------------------------------
 FINISHED = "submission_id long, finished boolean, composite_risk_score double, revision int"
+#: A document of a submission in its newest state. A row without a document only says how many to expect.
+HELD = "submission_id long, document_id long, expected int, version string, terminal boolean, risk double, seen timestamp"
+BUCKETS = 64
 
 
-STATE = ("expected int, revision int, finished boolean, risk double, "
-         "documents array<struct<document_id: long, version: string, terminal: boolean, risk: double>>")
-
-
-class Barrier(StatefulProcessor):
-    """Keyed state of a submission: the newest state of each of its documents, and
-    what was last emitted. A row goes out when the submission is finished for the
-    first time (revision 1), and again only if a later state changes that answer.
-
-    All of it is one value, read and written once per submission and batch: a round
-    trip to the state store costs more than the few documents of a submission."""
-
-    def __init__(self, shape: T.StructType, keep_ms: int | None = None):
-        self.shape, self.keep_ms = shape, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", self.shape, self.keep_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
-        before = self.held.get()
-        expected, revision, finished, risk, listed = tuple(before) if before is not None else (0, 0, False, None, [])
-        known = {d[0]: tuple(d[1:]) for d in listed}
-        for row in rows:
-            expected = max(expected, row.expected or 0)
-            state = (row.version or "", row.processing_status in rollup.TERMINAL, row.risk)
-            if row.document_id is not None and (row.document_id not in known or _order(state) > _order(known[row.document_id])):
-                known[row.document_id] = state
-        done = sum(terminal for _, terminal, _ in known.values())
-        now = expected > 0 and done >= expected and done == len(known)
-        score = max((r for _, _, r in known.values() if r is not None), default=None) if now else None
-        changed = (now, score) != (finished, risk)
-        self.held.update((expected, revision + changed, now, score, [(d, *state) for d, state in known.items()]))
-        if changed:
-            yield Row(submission_id=key[0], finished=now, composite_risk_score=score, revision=revision + 1)
-
-    def close(self) -> None:
-        pass
-
-
-def _order(state: tuple) -> tuple:
-    """Newest version first; states of one version stand by being terminal, then risk."""
-    version, terminal, risk = state
-    return version, terminal, risk is not None, risk or 0.0
+def held_table(spark: SparkSession, root: str) -> KeyedTable:
+    """The newest state of each document, by submission."""
+    return KeyedTable(spark, os.path.join(root, "held"), HELD, ["submission_id"], BUCKETS)
 
 
 def finished_table(spark: SparkSession, root: str) -> KeyedTable:
-    """The latest answer on each submission that ever was finished."""
-    return KeyedTable(spark, os.path.join(root, "finished"), FINISHED, ["submission_id"])
+    """The latest answer on each submission that ever was finished, in the same buckets."""
+    return KeyedTable(spark, os.path.join(root, "finished"), FINISHED, ["submission_id"], BUCKETS)
+
+
+def _newest_states(keep_ms: int | None) -> Merge:
+    """Of a document the state of the highest version stays; states of one version stand
+    by being terminal, then risk. Submissions not seen for ``keep_ms`` are forgotten."""
+    def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+        if keep_ms is not None:
+            last = stored.groupBy("submission_id").agg(F.max("seen").alias("_last"))
+            alive = F.unix_millis("_last") + keep_ms >= F.unix_millis(F.current_timestamp())
+            stored = stored.join(last.where(alive).select("submission_id"), "submission_id", "left_semi")
+        newest_state = F.max(F.struct("version", "terminal", "risk")).alias("_state")
+        rows = stored.unionByName(fresh).groupBy("submission_id", "document_id").agg(F.max("expected").alias("expected"), newest_state, F.max("seen").alias("seen"))
+        return rows.select("*", "_state.*").drop("_state")
+    return merge
+
+
+def submission_answers(held: DataFrame, before: DataFrame) -> DataFrame:
+    """What changed for the submissions of ``held`` against the answers of ``before``: a
+    row when a submission is finished for the first time (revision 1), and again only if
+    a later state changes that answer."""
+    known, terminal = F.col("document_id").isNotNull(), F.col("terminal")
+    totals = held.groupBy("submission_id").agg(
+        F.max("expected").alias("_expected"), F.count_if(known).alias("_known"), F.count_if(known & terminal).alias("_done"), F.max(F.when(known, F.col("risk"))).alias("_risk"))
+    now = (F.col("_expected") > 0) & (F.col("_done") >= F.col("_expected")) & (F.col("_done") == F.col("_known"))
+    fresh = totals.select("submission_id", F.coalesce(now, F.lit(False)).alias("_now"), F.when(now, F.col("_risk")).alias("_score"))
+    same = (F.col("_now") == F.coalesce("finished", F.lit(False))) & F.col("_score").eqNullSafe(F.col("composite_risk_score"))
+    return fresh.join(before, "submission_id", "left").where(~same).select(
+        "submission_id", F.col("_now").alias("finished"), F.col("_score").alias("composite_risk_score"), (F.coalesce("revision", F.lit(0)) + 1).alias("revision"))
 
 
 def finish_submissions(stream: DataFrame, root: str, keep_ms: int | None = None) -> None:
     """Emit each submission when all its documents are terminal.
 
     stream: submission_id, document_id, expected, processing_status, risk, version (a
-    string that sorts by time). Documents are held in keyed state, so a batch costs what it
-    brings and nothing stored is read again. The order of arrival does not matter: of
-    a document the state of the highest version counts, also within a batch. Whoever
-    is late changes the answer by a new revision, whoever reopens it takes it back
-    (finished false). ``keep_ms`` lets the state of a submission expire that long after
-    its last change."""
-    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        answers = stream.groupBy("submission_id").transformWithState(
-            Barrier(spark.createDataFrame([], STATE).schema, keep_ms), spark.createDataFrame([], FINISHED).schema, "Update", "None" if keep_ms is None else "ProcessingTime")
-        table = finished_table(spark, root)
-        run_available(answers, lambda batch, n: table.apply(batch, n, newest(table.keys, ["revision"])), root, mode="update")
-    finally:
-        spark.conf.set(provider, before)
+    string that sorts by time). Documents are held in a keyed table: a batch reads and
+    rewrites the buckets of the submissions it brings, never the history. The order of
+    arrival does not matter: of a document the state of the highest version counts, also
+    within a batch. Whoever is late changes the answer by a new revision, whoever reopens
+    it takes it back (finished false). With ``keep_ms`` a batch forgets submissions of its
+    buckets that were not seen for that long; their answers stay. A batch that was killed
+    between its two tables is answered from the first when it is replayed."""
+    spark = stream.sparkSession
+    states = stream.select(
+        "submission_id", "document_id", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("version", F.lit("")).alias("version"),
+        F.coalesce(F.col("processing_status").isin(*rollup.TERMINAL), F.lit(False)).alias("terminal"), "risk", F.current_timestamp().alias("seen"))
+    held, finished = held_table(spark, root), finished_table(spark, root)
+
+    def each(batch: DataFrame, n: int) -> None:
+        held.apply(batch, n, _newest_states(keep_ms))
+        touched = held.written_by(n)
+        finished.apply(submission_answers(held.read(n, touched), finished.read(buckets=touched)), n, newest(finished.keys, ["revision"]))
+
+    run_available(states, each, root)
 
 
 def finished_submissions(spark: SparkSession, root: str) -> DataFrame:

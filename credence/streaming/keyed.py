@@ -59,9 +59,15 @@ class KeyedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[self._path("data", f"v={v}", f"_bucket={b}") for b, v in sorted(places.items())])
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of the table now, or as one of its versions left it."""
-        return self._buckets(self.manifest(version))
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of the table now, or as one of its versions left it; of ``buckets``
+        only, where these are named."""
+        places = self.manifest(version)
+        return self._buckets(places if buckets is None else {b: places[b] for b in buckets if b in places})
+
+    def written_by(self, batch: int) -> list[int]:
+        """Buckets that a committed batch rewrote."""
+        return [b for b, v in self.manifest(batch).items() if v == batch]
 
     def apply(self, rows: DataFrame, batch: int, merge: Merge) -> None:
         """Bring in one batch. ``merge(stored, fresh)`` gives the rows that replace the

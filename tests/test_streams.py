@@ -129,3 +129,23 @@ def test_sinks_append_and_version(spark, tmp_path):
     sinks.export_csv(rows, str(tmp_path / "csv"))
     back = spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv")).first()
     assert back.details == 'a,"b"'
+
+
+def test_barrier_replays_and_forgets(spark, tmp_path):
+    root = str(tmp_path / "work")
+    held, finished = jobs.held_table(spark, root), jobs.finished_table(spark, root)
+    rows = spark.sql("SELECT 1L AS submission_id, 10L AS document_id, 1 AS expected, '1' AS version, true AS terminal, 5.0D AS risk, TIMESTAMP'2020-01-01 00:00:00' AS seen")
+    held.apply(rows, 0, jobs._newest_states(None))  # a batch killed before its answers
+    held.apply(rows, 0, jobs._newest_states(None))
+    touched = held.written_by(0)
+    fresh = jobs.submission_answers(held.read(0, touched), finished.read(buckets=touched))
+    assert [tuple(r) for r in fresh.collect()] == [(1, True, 5.0, 1)]
+    finished.apply(fresh, 0, newest(finished.keys, ["revision"]))
+    assert jobs.submission_answers(held.read(), finished.read()).count() == 0
+    held.apply(rows.withColumn("document_id", F.lit(11).cast("long")), 1, jobs._newest_states(1000))
+    assert [r.document_id for r in held.read().collect()] == [11]  # the state of 2020 is forgotten
+
+
+def test_barrier_runs_without_python_rows(spark, tmp_path):
+    plan = jobs.submission_answers(jobs.held_table(spark, str(tmp_path)).read(), jobs.finished_table(spark, str(tmp_path)).read())._jdf.queryExecution().optimizedPlan().toString()
+    assert not hasattr(jobs, "Barrier") and "Python" not in plan
