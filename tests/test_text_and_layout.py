@@ -134,3 +134,18 @@ def test_retry_ledger_cases(spark):
     got = {(r.document_id, r.event_id): (r.attempt, r.action, r.flag) for r in retries.retry_ledger(rows).collect()}
     assert got[(1, 3)] == (3, "failed", "pipeline_exhausted") and got[(1, 4)] == (1, "retry", None) and got[(1, 5)] == (2, "done", None)
     assert got[(2, 1)] == (1, "failed", "pipeline_request_failed") and got[(2, 2)] == (1, "done", None)
+
+
+def test_lines_are_cut_and_trimmed_in_one_pass(one):
+    import re
+    from credence.functions import text as T
+    for raw in ("", " \n ", "a\r\nb", " a \t b  \n　c\x1cd \x1d\x1e e  f\u0085 ", "x\x0b \x0cy\r\r\nz", "\x1c a \x1c", "​ q    r"):
+        lines = [re.sub("[ \t]+", " ", x) for x in re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]", raw)]
+        white = "\t\n\x0b\x0c\r \u0085      　" + "".join(map(chr, range(0x2000, 0x200B)))
+        assert one(T.clean_lines(F.lit(raw))) == [x.strip(white) for x in lines if x.strip(white)]
+
+
+def test_pages_of_one_file_are_dealt_before_extraction(spark):
+    from credence.operators import extraction
+    pages = spark.range(4000).coalesce(1).selectExpr("id AS page_id", "'dti' AS template", "'TRN: ' || id AS text")
+    assert len(extraction.store_pages(pages).inputFiles()) >= 8
