@@ -11,6 +11,7 @@ from credence.plans.domain_sql import quoted, with_views
 from credence.plans.page_queries import pages, sql as page_sql
 from credence.plans.printed import RECORDS, records
 from credence.plans.registry import query
+from credence.session import spread, stored
 from credence.sources import intake
 
 # --- a two-column form laid out from the records: (field, text, left, top) ------
@@ -22,8 +23,9 @@ _VALUES = [("tin", 40, 140), ("registered_name", 300, 140), ("registration_date"
 
 def form_words(spark, folder):
     """Word boxes of one printed form per customer; every seventh form carries a
-    misread caption."""
-    record = records(spark, folder, "bir")
+    misread caption. Forms are dealt evenly by page before their words are laid out, so
+    what groups a page's words needs no shuffle of them."""
+    record = spread(records(spark, folder, "bir"), "k")
     caption = lambda text: F.when(F.col("k") % 7 == 0, F.replace(F.lit(text), F.lit("REGISTRATION"), F.lit("REGISTRAUION"))).otherwise(text)
     parts = [(F.lit(i), caption(text), left, top) for i, (_, text, left, top) in enumerate(_CAPTIONS)]
     parts += [(F.lit(len(_CAPTIONS) + i), F.col(name), left, top) for i, (name, left, top) in enumerate(_VALUES)]
@@ -74,7 +76,8 @@ def positional_override(spark, folder):
         "page_id", "field_key", F.lit("typed").alias("value"), F.lit(True).alias("matched"), F.lit(12.5).alias("confidence"))
     form = form_words(spark, folder)
     words = form.withColumn("conf", 45 + (F.col("pos").cast("long") * 37 + F.col("page_id") * 101) % 55)
-    merged = extraction.merge_positional(typed, layout.positional_fields(form), words)
+    placed = stored(layout.positional_fields(form))  # read twice
+    merged = extraction.merge_positional(typed, placed, words)
     return merged.select("page_id", "field_key", "value", "confidence")
 
 
