@@ -308,12 +308,16 @@ def _latest(value: str, when: str) -> str:
 def result_columns(spark, folder):
     """The result row of every document after all its runs: a page is a run, and
     stages are absent, skipped or completed on it. A group of columns keeps what the
-    last run left that filled it."""
+    last run left that filled it.
+
+    Line items are shuffled and put in order by document before stages are spelled out,
+    so that neither a shuffle nor a sort holds the wide rows."""
+    items = D.table(spark, folder, "lineitem").repartition("l_orderkey").sortWithinPartitions("l_orderkey")
     c, lit = F.col, lambda v: F.lit(v)
     state = lambda done, reason=None: (F.when(done, "completed").otherwise("skipped").alias("status"), *([] if reason is None else [reason.alias("reason")]))
     distance, similarity = c("qty") / 20.0, (700 + c("part") % 300) / 1000.0
     stamp_reason = F.when(c("supp") % 4 == 1, "no_stamp_detected").when(c("supp") % 4 == 2, "unreferenced_logo")
-    runs = pages(spark, folder).select(
+    runs = pages(spark, folder, items).select(
         "document_id", F.struct("page_index", "price", "qty", "disc").alias("version"),
         F.when(c("part") % 7 != 0, F.array(c("part") % 900, c("price") % 700, 10 + c("supp") % 80, c("qty"))).alias("signature_bbox"),
         F.when(c("supp") % 5 != 0, F.array(c("part") % 640, c("price") % 480, lit(40), lit(40))).alias("stamp_bbox"),

@@ -13,3 +13,8 @@ def test_forms_are_dealt_before_their_words_are_laid_out(spark):
     form = layout_queries.form_words(spark, FOLDER)
     assert form.rdd.getNumPartitions() >= 32
     assert _plan(catalog.QUERIES["caption_boxes"](spark, FOLDER)).count("Exchange") == 1
+
+
+def test_result_columns_shuffle_line_items_only(spark):
+    plan = _plan(catalog.QUERIES["result_columns"](spark, FOLDER))
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "hashpartitioning(l_orderkey" in plan
