@@ -72,9 +72,13 @@ def summary_sql(body: str) -> str:
     return with_views(body, *_NEEDS, extra=SUMMARY)
 
 
-def _summary(spark, folder):
-    return review.summaries(D.submissions(spark, folder), D.vendors(spark, folder), D.users(spark, folder),
-                            D.documents(spark, folder), D.results(spark, folder), D.document_types(spark))
+def _summary(spark, folder, *status):
+    """Queue rows of the submissions in a status. Documents are read once, only those of
+    these submissions: scores, types and flags come from one digest, which is joined to
+    the submissions once."""
+    rows = D.submission_rows(spark, folder).where(F.col("status").isin(*status))
+    digest = review.digests(D.judged(spark, folder, rows), D.document_types(spark))
+    return review.summary_rows(D.rated(rows, digest), D.vendors(spark, folder), D.users(spark, folder))
 
 
 def _shown(rows):
@@ -87,21 +91,21 @@ def _shown(rows):
 @query("pending_queue", "C1 D3 D4 E26 G1", summary_sql(
     f"SELECT {_SHOWN_SQL} FROM summary WHERE status = 'pending_review' ORDER BY composite_risk_score DESC NULLS LAST, submission_id"))
 def pending_queue(spark, folder):
-    return _shown(review.pending(_summary(spark, folder)).orderBy(*review.by_urgency()))
+    return _shown(review.pending(_summary(spark, folder, review.PENDING)).orderBy(*review.by_urgency()))
 
 
 @query("pending_queue_search", "C1 C5", summary_sql(
     f"""SELECT {_SHOWN_SQL} FROM summary WHERE status = 'pending_review' AND risk_level = 'medium'
         AND contains(lower(ref || ' ' || company || ' ' || vendor || ' ' || document_type), 'permit')"""))
 def pending_queue_search(spark, folder):
-    return _shown(review.pending(_summary(spark, folder), risk="medium", term=" Permit "))
+    return _shown(review.pending(_summary(spark, folder, review.PENDING), risk="medium", term=" Permit "))
 
 
 @query("archived_reports", "C1 C2 C5 G1", summary_sql(
     f"""SELECT {_SHOWN_SQL} FROM summary WHERE status IN ('approved', 'resubmission_requested')
         AND status = 'resubmission_requested' ORDER BY reviewed_at DESC, submission_id"""))
 def archived_reports(spark, folder):
-    rows = review.archived(_summary(spark, folder), decision="resubmission_requested")
+    rows = review.archived(_summary(spark, folder, "resubmission_requested"), decision="resubmission_requested")
     return _shown(rows.orderBy(F.col("reviewed_at").desc_nulls_last(), "submission_id"))
 
 
@@ -159,8 +163,12 @@ _LOG_SHOWN = """type, severity, title, detail, strftime(raised_at, '%Y-%m-%d %H:
 
 
 def _log(spark, folder):
-    return review.risk_log(D.submissions(spark, folder), _summary(spark, folder), D.documents(spark, folder),
-                           D.results(spark, folder))
+    summary = _summary(spark, folder, *review.PROCESSED)
+    return review.risk_log(summary, D.results(spark, folder, _processed(spark, folder)))
+
+
+def _processed(spark, folder):
+    return D.submission_rows(spark, folder).where(F.col("status").isin(*review.PROCESSED))
 
 
 def _log_shown(rows, *extra):
@@ -173,10 +181,10 @@ def _log_shown(rows, *extra):
         title, type, severity, submission_id, document_id, CAST(pos AS INTEGER) AS pos FROM ({_LOG})"""))
 def risk_log_numbered(spark, folder):
     """The whole log with its running number."""
-    processed = D.submissions(spark, folder).where(F.col("status").isin(*review.PROCESSED)).select(
+    processed = D.submissions(spark, folder, *review.PROCESSED).select(
         "submission_id", "risk_level", F.col("created_at").alias("submitted_at"), "status")
     bare = processed.withColumns({c: F.lit("") for c in ("ref", "vendor", "company", "document_type")})
-    log = review.risk_log(bare, bare, D.documents(spark, folder), D.results(spark, folder))
+    log = review.risk_log(bare, D.results(spark, folder, _processed(spark, folder)))
     slim = log.select("raised_at", "submission_id", "document_id", "pos", "title", "type", "severity")
     return ordering.number_rows(slim, review.log_order()).drop("raised_at")
 
@@ -289,8 +297,7 @@ def primary_document_per_type(spark, folder):
     "documents", "results"))
 def component_breakdown(spark, folder):
     """Component rows of each submission's riskiest document."""
-    picks = review.primary_documents(D.documents(spark, folder), D.results(spark, folder)).select("document_id")
-    return review.component_set(D.results(spark, folder).join(picks, "document_id", "left_semi"))
+    return review.component_set(review.riskiest(D.judged(spark, folder)).where("scored").drop("scored"))
 
 
 _SET_SQL = """SELECT submission_id, document_id, CAST(ord AS INTEGER) AS ord, key, label, component, CAST(round(CAST(score * 100 AS DECIMAL(20,9)), 0) AS BIGINT) AS percent, passed, CASE WHEN scored THEN detail ELSE 'Stage not yet available.' END AS detail FROM (
