@@ -11,6 +11,7 @@ from credence.plans import domain as D
 from credence.plans.domain_sql import with_views
 from credence.plans.operations_queries import decided
 from credence.plans.registry import STATEMENTS, query
+from credence.session import stored
 from credence.sources import intake, sinks
 from credence.streaming.jobs import work_folder
 
@@ -91,7 +92,8 @@ def audit_export_file(spark, folder):
 def decision_log(spark, folder):
     """Decisions appended to the log in two batches, by year, and read back."""
     path = work_folder(spark, "decisions")
-    rows = mutate.decision_events(decided(spark, folder)).select("user_id", "action", "entity_id", "details.vendor_id", "details.risk_level", "created_at")
+    events = mutate.decision_events(decided(spark, folder)).select("user_id", "action", "entity_id", "details.vendor_id", "details.risk_level", "created_at")
+    rows = stored(events)  # read once a batch
     for rest in (0, 1):
         sinks.append_log(rows.where(F.col("entity_id") % 2 == rest), path, unit="year")
     return spark.read.parquet(path).select("user_id", "action", "entity_id", "vendor_id", "risk_level", stamp(F.col("created_at")).alias("created_at"))

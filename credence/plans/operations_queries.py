@@ -16,6 +16,7 @@ from credence.operators.verify import usable_reference
 from credence.plans import domain as D
 from credence.plans.domain_sql import quoted, with_views
 from credence.plans.registry import query
+from credence.session import stored
 
 NOW = "2024-01-31 00:00:00"
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -397,7 +398,9 @@ _DECIDED = """SELECT s.submission_id, s.vendor_id, d.decision AS status, d.offic
 
 
 def decided(spark, folder):
-    rows = D.submissions(spark, folder)
+    """Submissions that await review with their decisions; they are stored, as both
+    sides read them."""
+    rows = stored(D.submissions(spark, folder, "pending_review"))
     key = F.col("submission_id")
     decisions = rows.select(
         "submission_id", (-(F.col("vendor_id") % 25) - 1).alias("officer_id"),
