@@ -15,7 +15,8 @@ Documents with equal sets form a class; the join is between classes.
   and the number of these has a bound. The parities of 1,024 counts are sixteen longs;
   folded to four they are compared inside the join, whole on each pair; a second split, by each pair's own quartiles, precedes
   the exact count.
-* **Verification** of each remaining pair, once, from the whole sets.
+* **Verification** of each remaining pair, once, from the whole sets. These are made
+  of the classes in such a pair only, not of all that a list holds.
 
 For components a group of near copies must not be spelled out in pairs. A first
 round compares every class of an n-gram's list only with the two ends of the list
@@ -53,6 +54,7 @@ REMEMBERED = 150_000
 #: Bytes of text whose words are hashed at once.
 STEP = 1 << 18
 _SIGNS = [f"s{i}" for i in range(PARTS // 64)]
+_WIDTHS = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -185,14 +187,14 @@ def ranks_of(sketch: np.ndarray) -> np.ndarray:
     return np.minimum(255, 6 * np.log2(1.0 + sketch)).astype(np.uint8)
 
 
-def _sparse(counts: np.ndarray) -> bytes:
-    at = np.flatnonzero(counts)
-    return at.astype(np.uint16).tobytes() + counts[at].astype(np.int64).tobytes()
+def _packed(counts: np.ndarray) -> bytes:
+    """A block of the sketch in the fewest bytes a count that hold its largest, after that number."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(_WIDTHS[width]).tobytes()
 
 
 def _added(into: np.ndarray, packed: bytes) -> None:
-    n = len(packed) // 10
-    into[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.int64, n, 2 * n)
+    into += np.frombuffer(packed, _WIDTHS[packed[0]], offset=1)
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -211,7 +213,7 @@ def described(docs: DataFrame) -> DataFrame:
             columns = [batch.column(batch.schema.get_field_index("doc_id")), [len(s) for s in sets], [class_of(s) for s in sets], *signs.T, *[[None] * len(sets)] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
         held = [b for b in range(len(counts) // BLOCK) if counts[b * BLOCK:(b + 1) * BLOCK].any()]
-        columns = [*[[None] * len(held)] * (3 + len(_SIGNS)), [part] * len(held), held, [_sparse(counts[b * BLOCK:(b + 1) * BLOCK]) for b in held]]
+        columns = [*[[None] * len(held)] * (3 + len(_SIGNS)), [part] * len(held), held, [_packed(counts[b * BLOCK:(b + 1) * BLOCK]) for b in held]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
     shape = "doc_id long, n int, cls long, " + ", ".join(f"{s} long" for s in _SIGNS) + ", part int, block int, counts binary"
     return mapped(docs.select("doc_id", "text"), run, shape)
@@ -225,7 +227,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for packed in batch.column(batch.schema.get_field_index("counts")).to_pylist():
                 _added(sums, packed)
-        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([_sparse(sums)], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([_packed(sums)], pa.binary())], ["block", "counts"])
     parts = rows.where("block is not null").select("block", "part", "counts")
     some = parts.groupBy("block", "part").applyInArrow(total, "block int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -318,20 +320,26 @@ def _fits(left: str, right: str, signs: list[str]):
 
 
 class Join:
-    """The written steps of one join: descriptions, classes, lists and sets."""
+    """The written steps of one join: descriptions, classes and lists."""
 
     def __init__(self, docs: DataFrame):
-        docs = docs.select("doc_id", "text")
-        rows = durable(described(docs))
+        self.docs = docs.select("doc_id", "text")
+        rows = durable(described(self.docs))
         self.documents = rows.where("block is null").select("doc_id", "n", "cls")
-        ranks = ranks_of(sketch_of(rows))
+        self.ranks = ranks_of(sketch_of(rows))
         self.classes = durable(rows.where("block is null and n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"), *(F.min(s).alias(s) for s in _SIGNS)))
-        entries = prefixes(docs, ranks)
+        entries = prefixes(self.docs, self.ranks)
         shared = entries.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
         self.lists = durable(entries.join(shared, "key"))
-        listed = self.lists.select("cls").distinct().join(self.classes, "cls").where("rep is not null")
-        self.sets = durable(whole_sets(docs, listed.select("cls", "rep"), ranks))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The candidates (a, b) of a written table that link, with their overlap. Only
+        the classes of a candidate are spelled out as whole sets, which are many times
+        larger than all else that the join writes about a class."""
+        named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        wanted = durable(self.classes.join(named, "cls").where("rep is not null").select("cls", "rep"))
+        return verified(pairs, durable(whole_sets(self.docs, wanted, self.ranks)))
 
     def _with_ends(self) -> DataFrame:
         """Candidates of every class and the first and last class of its lists."""
@@ -368,9 +376,9 @@ class Join:
     def roots(self) -> DataFrame:
         """(node, root) of the classes that have a link."""
         first = durable(self._with_ends())
-        roots = components(verified(first, self.sets), "a", "b")
-        rest = self.pairs(roots).join(first, ["a", "b"], "left_anti")
-        links = verified(rest, self.sets).select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(self.linked(first), "a", "b")
+        rest = durable(self.pairs(roots).join(first, ["a", "b"], "left_anti"))
+        links = self.linked(rest).select("a", "b").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         return components(links, "a", "b")
 
 
@@ -378,7 +386,7 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     """All links between classes: a_doc, b_doc (the smallest ids of the two
     classes, the smaller first) and common (n-grams in both)."""
     join = Join(docs)
-    links = verified(join.pairs(), join.sets)
+    links = join.linked(durable(join.pairs()))
     ids = join.classes.select("cls", "rep")
     both = links.join(ids.toDF("a", "ra"), "a").join(ids.toDF("b", "rb"), "b")
     return both.select(F.least("ra", "rb").alias("a_doc"), F.greatest("ra", "rb").alias("b_doc"), "common")

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -133,3 +134,32 @@ def test_unlinked_texts_of_one_id_both_stay(docs_of):
     for parts in (1, 4):
         kept = ngram_join.one_of_each(docs_of(rows).repartition(parts)).collect()
         assert sorted((str(r.doc_id), r.text) for r in kept) == want
+
+
+def test_whole_sets_are_made_of_candidates_only(docs_of, monkeypatch):
+    # every long text holds a short one and words that all long ones hold, so lists hold both, but their sizes differ too much
+    common = [f"c{i}" for i in range(60)]
+    short = [[f"own{k}x{i}" for i in range(30)] for k in range(40)]
+    near = [f"near{i}" for i in range(50)]
+    texts = [*short, *(s + common for s in short), near, [*near, "end"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    made, whole = [], ngram_join.whole_sets
+    monkeypatch.setattr(ngram_join, "whole_sets", lambda docs, classes, ranks: made.append(classes.count()) or whole(docs, classes, ranks))
+    join = ngram_join.Join(docs_of(rows))
+    assert join.lists.select("cls").distinct().count() == 82
+    near_class = {r.node for r in join.roots().collect()}
+    assert len(near_class) == 2 and sum(made) == 2
+    links = ngram_join.linked_classes(docs_of(rows)).collect()
+    assert [(r.a_doc, r.b_doc, r.common) for r in links] == [(80, 81, 46)]
+
+
+def test_blocks_of_the_sketch_are_added_in_any_width():
+    sums, want = np.zeros(ngram_join.BLOCK, np.int64), np.zeros(ngram_join.BLOCK, np.int64)
+    for top in (0, 1, 255, 256, 65_535, 65_536, (1 << 32) - 1, 1 << 32, 1 << 60):
+        counts = np.zeros(ngram_join.BLOCK, np.int64)
+        counts[[0, 7, ngram_join.BLOCK - 1]] = top
+        packed = ngram_join._packed(counts)
+        assert len(packed) <= 1 + ngram_join.BLOCK * (1 if top < 256 else 8)
+        ngram_join._added(sums, packed)
+        want += counts
+    assert sums.tolist() == want.tolist()
